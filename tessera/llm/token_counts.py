@@ -69,8 +69,6 @@ class TokenTree:
         while region and region[-1] not in " \t\n\r" and j + 1 < len(self.text_leaves):
             j += 1
             region += self.text_leaves[j]
-        if not region:
-            pass
         tokens = len(self.encoder.many([region])[0]) // 4
         self.encoded += tokens
         self.text_leaves[i : j + 1] = [region] + [""] * (j - i)
@@ -137,5 +135,8 @@ def count_tokens(docs: DataFrame, edits: Column | None = None, id_col: str = "do
 
 def redactions(text: Column, kinds: list[tuple[str, str]] = REDACTIONS) -> Column:
     """Edits that replace every match of the patterns."""
-    found = [F.transform(regex_spans(text, p), lambda s, r=r: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(r).alias("replacement"))) for p, r in kinds]
-    return F.concat(*found)
+
+    def one(pattern: str, new: str) -> Column:
+        return F.transform(regex_spans(text, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(new).alias("replacement")))
+
+    return F.concat(*(one(*k) for k in kinds))
