@@ -213,3 +213,33 @@ def test_locations():
     for bad in ("", "ftp://h/x", "http://u:p@h/x", "s3://b/x"):
         with pytest.raises(ValueError):
             recipe.reference(bad)
+
+
+def test_crs_round_trips():
+    from tessera.functions.crs import system, transform
+
+    lon, lat = transform("2056", "EPSG:4326")(np.array([2600000.0, 2600000.0]), np.array([1200002.0, 1200000.0]))
+    assert abs(lon[0] - 7.438632) < 1e-6 and abs(lat[0] - 46.951101) < 1e-6
+    x, y = np.meshgrid(np.linspace(6, 10.4, 7), np.linspace(45.9, 47.7, 7))
+    for code in ("2056", "3857", "32632", "32732", "4326"):
+        s = system(code)
+        a, b = s.to_degrees(*s.from_degrees(x, y))
+        assert np.abs(a - x).max() < 2e-8 and np.abs(b - y).max() < 2e-8
+    e, n = system("EPSG:32632").from_degrees(np.array([9.0]), np.array([0.0]))
+    assert abs(e[0] - 500000) < 1e-6 and abs(n[0]) < 1e-6
+    for bad in ("", "EPSG:1", "32661"):
+        with pytest.raises(ValueError):
+            system(bad)
+
+
+def test_warp_between_systems(spark):
+    grid = Grid(2, 2, 1, 0, 0, -1, 2600000.5, 1200001.5)
+    r = raster(spark, [[[0, 10], [20, 30]]], grid=grid)
+    r = Raster(r.pixels, Descriptor(grid, r.descriptor.bands, "EPSG:2056"))
+    got = r.reproject(1e-5, target_crs="EPSG:4326")
+    assert got.descriptor.crs == "EPSG:4326" and abs(got.grid.m02 - 7.43863) < 1e-4 and abs(got.grid.m12 - 46.95108) < 1e-4
+    assert {0.0, 10.0, 20.0, 30.0} & {v for v in values(got) if not math.isnan(v)}
+    wide = Raster(r.pixels, Descriptor(Grid(2, 2, 2, 0, 0, -1, 179, 1.5), r.descriptor.bands, "EPSG:3857"))
+    wide = Raster(r.pixels, Descriptor(Grid(2, 2, 2e7, 0, 0, -1, 1e7, 1.5), wide.descriptor.bands, "EPSG:3857"))
+    with pytest.raises(ValueError, match="longitude"):
+        wide.reproject(1, target_crs="4326")
