@@ -15,10 +15,12 @@ cost rule chooses between two exact ways to find candidates:
 Each task first links the sets on its own part of a list to the least id
 there, so a list never has more entries than there are tasks, and then every
 list's entries to the list's least id. These links are checked by exact set
-intersection. On lists where a check failed and that still hold sets of
-different components, all pairs across components are checked too. Hence
-components are exact, while a group of copies costs as many checks as it has
-members, not as many as it has pairs.
+intersection. On lists where a check failed, pairs of different components are
+compared by their *sketches* (one bit for each of SKETCH_BITS hash ranges, the
+parity of the elements in it; the bits that differ are a lower bound of the
+elements that differ), and those that can link are checked. Hence components
+are exact, while a group of copies costs as many checks as it has members, not
+as many as it has pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, text_or_empty
@@ -37,7 +39,8 @@ from tessera.llm.common import materialize, text_or_empty
 #: Costs of one enumerated subset and of one inverted-list entry (which is longer to verify).
 SUBSET_COST, LIST_COST = 1.0, 2.5
 #: Keys that a task gathers before it links them.
-CHUNK_KEYS = 1_000_000
+CHUNK_KEYS = 500_000
+SKETCH_BITS = 2048
 BLOOM_BITS = 1 << 23
 
 
@@ -198,11 +201,19 @@ def keys_of(elements, plan: Scheme):
     return np.unique(np.concatenate(out))
 
 
+def sketch(elements):
+    """Parities of the elements in each of SKETCH_BITS ranges, as 64-bit integers."""
+    import numpy as np
+
+    counts = np.bincount((elements >> np.uint64(21)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 # Kinds of entries: a set itself (other, more: its digest); a set equal to
 # another of the same task; a place on list ``key``; a set linked to another of
 # the same task for list ``more``. All but places are dealt by their id.
 SET, EQUAL, PLACE, NEAR = 0, 1, 2, 3
-ENTRY = "key long, id long, other long, more long, n int, kind byte"
+ENTRY = "key long, id long, other long, more long, n int, kind byte, sketch array<long>"
 
 
 def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -216,13 +227,13 @@ def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
         equal: dict[tuple, int] = {}
         held: list[tuple] = []  # keys, id
 
-        def batch_of(kind, ident, other=0, more=0, n=0, key=None) -> pa.RecordBatch:
+        def batch_of(kind, ident, other=0, more=0, n=0, sketches=None, key=None) -> pa.RecordBatch:
             size = len(ident)
             wide = lambda x: pa.array(np.broadcast_to(np.asarray(x, dtype=np.int64), size))
             ident = np.asarray(ident, dtype=np.int64)
             key = Shingler.mix(ident.view(np.uint64)).view(np.int64) if key is None else key
-            cols = [wide(key), wide(ident), wide(other), wide(more), pa.array(np.broadcast_to(np.asarray(n, dtype=np.int32), size)), pa.array(np.full(size, kind, dtype=np.int8))]
-            return pa.RecordBatch.from_arrays(cols, names=["key", "id", "other", "more", "n", "kind"])
+            cols = [wide(key), wide(ident), wide(other), wide(more), pa.array(np.broadcast_to(np.asarray(n, dtype=np.int32), size)), pa.array(np.full(size, kind, dtype=np.int8)), pa.array(sketches if sketches is not None else [None] * size, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, names=["key", "id", "other", "more", "n", "kind", "sketch"])
 
         def lists() -> Iterator:
             """Link the places of this task on each list to the least id there."""
@@ -245,7 +256,7 @@ def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 elements = shingler.set_of(text)
                 a, b = digest(elements)
-                sets.append((ident, a, b, len(elements)))
+                sets.append((ident, a, b, len(elements), sketch(elements)))
                 if not len(elements):
                     continue
                 first = equal.setdefault((a, b, len(elements)), ident)
@@ -357,7 +368,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     by_list, place = Window.partitionBy("key"), F.col("kind") == PLACE
     dealt = entries(rows, words, percent).withColumns({"least": F.min(F.when(place, F.col("id"))).over(by_list), "last": F.max(F.when(place, F.col("id"))).over(by_list)})
     kept = dealt.where(~place | (F.col("least") < F.col("last")))
-    found = materialize(kept.select("id", F.when(place, F.col("least")).otherwise(F.col("other")).alias("other"), F.when(place, F.col("key")).otherwise(F.col("more")).alias("key"), "n", "kind"), "places")
+    found = materialize(kept.select("id", F.when(place, F.col("least")).otherwise(F.col("other")).alias("other"), F.when(place, F.col("key")).otherwise(F.col("more")).alias("key"), "n", "kind", "sketch"), "places")
 
     sets = found.where(F.col("kind") == SET)
     # Equal sets across tasks: linked to the least id, counted by partial sums.
@@ -369,29 +380,42 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     on_lists = found.where(F.col("kind").isin(PLACE, NEAR))
     pairs = on_lists.where("id != other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
     known = equal.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    checked = materialize(verified(materialize(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), rows, words, percent), "checked")
-    edges = equal.union(checked.where("linked").select("a", "b"))
-    failed = checked.where("NOT linked")
+    pairs = materialize(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+    brief = sets.select("id", "n", "sketch")
+    likely = pairs.join(brief.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    likely = likely.join(brief.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where(can_link(percent)).select("a", "b").distinct()
+    checked = materialize(verified(materialize(likely, "likely"), rows, words, percent), "checked")
+    linked = checked.where("linked").select("a", "b").distinct()
+    edges = equal.union(linked)
+    failed = pairs.join(linked, ["a", "b"], "left_anti")
     if not failed.isEmpty():
-        edges = edges.union(across(on_lists, failed, edges, rows, words, percent))
+        edges = edges.union(across(on_lists, failed, edges, brief, rows, words, percent))
     label = components(edges)
     once = sets.groupBy("id").agg(F.max("n").cast("long").alias("n_shingles"))
     return once.join(label, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def can_link(percent: int) -> Column:
+    """Whether sizes na, nb and sketches sa, sb allow a link; never false for a pair that links."""
+    na, nb = F.col("na"), F.col("nb")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    sized = (100 * na >= percent * nb) & (100 * nb >= percent * na)
+    return sized & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+
+
+def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between different components on the lists where a check failed."""
     label = materialize(components(edges), "labels")
     pair = on_lists.where("id != other").select("key", F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
-    doubtful = pair.join(failed.select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
+    doubtful = pair.join(failed, ["a", "b"], "left_semi").select("key").distinct()
     places = on_lists.join(doubtful, "key", "left_semi")
     members = places.select("key", "id").union(places.select("key", F.col("other").alias("id"))).distinct()
-    members = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    members = members.join(label, "id", "left").join(brief, "id").select("key", "id", F.coalesce("component", "id").alias("component"), "n", "sketch")
     members = materialize(members, "members")
-    x = members.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = members.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "key").where("a > b AND ca != cb").select("a", "b").distinct()
-    pairs = materialize(pairs.join(failed.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    x = members.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = members.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & can_link(percent)).select("a", "b").distinct()
+    pairs = materialize(pairs.join(failed, ["a", "b"], "left_anti"), "pairs")
     return verified(pairs, rows, words, percent).where("linked").select("a", "b")
 
 
