@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from tessera.queries import ORACLE_SQL, QUERIES
+from tessera.file_queries import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
