@@ -64,4 +64,45 @@ QUERIES = {
     for f in (op1_exact_dedup, op2_packing, op3_quality, op4_mixing, op5_url_filter, op6_secrets, op7_ngram_join, op8_html_extract, op9_topk, op10_token_counts, pipeline)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP1_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+OP9_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def url_filter_sql() -> str:
+    """The path-template tree, a level at a time."""
+    u = url_filter
+    rules = sorted(u.RULES, key=lambda r: -len(r[1]))
+    fits = {text: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')" for _, text in rules for h, _, p in [text.partition("/")]}
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits[text]} THEN '{value(what, text)}'" for what, text in rules) + " END"
+    marked = f"list_has_any(regexp_split_to_array(host, '[.-]'), {u.BAD_WORDS})"
+    ctes = [
+        "a AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages)",
+        f"b AS (SELECT *, {case(lambda what, text: text)} AS rule, {case(lambda what, text: what)} AS by_rule, list_filter(string_split(path, '/'), lambda s: s <> '') AS every FROM a)",
+        f"rows_ AS (SELECT *, list_concat(list_transform(every[1:{u.DEPTH}], lambda s: regexp_replace(s, '[0-9a-fA-F]{{8,}}|[0-9]+', '*', 'g')), CASE WHEN len(every) > {u.DEPTH} THEN ['**'] ELSE [] END) AS segs FROM b)",
+        f"t0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (by_rule = 'allow' AND NOT {marked}) AS good, count(*) FILTER (coalesce(by_rule = 'block', false) OR {marked}) AS bad, '' AS up FROM rows_ GROUP BY host, segs)",
+    ]
+    for d in range(1, u.DEPTH + 1):
+        ctes += [
+            f"v{d} AS (SELECT host, up, count(DISTINCT segs[{d}]) AS values_, sum(n) AS n FROM t{d - 1} WHERE len(segs) >= {d} GROUP BY host, up)",
+            f"t{d} AS (SELECT t.host, t.segs, t.n, t.good, t.bad, t.up || CASE WHEN len(segs) < {d} THEN '' WHEN v.values_ > {u.MANY_VALUES} AND v.n < {u.FEW_PAGES} * v.values_ THEN '/*' ELSE '/' || segs[{d}] END AS up FROM t{d - 1} t LEFT JOIN v{d} v ON v.host = t.host AND v.up = t.up)",
+        ]
+    ctes += [
+        f"tree AS (SELECT host, segs, good, bad, up || CASE WHEN len(segs) > {u.DEPTH} THEN '/**' ELSE '' END AS template FROM t{u.DEPTH})",
+        "nodes AS (SELECT host, template, regexp_extract(template, '^(.*)/[^/]*$', 1, 's') AS parent, sum(good)::DOUBLE AS good, sum(good + bad)::DOUBLE AS m FROM tree GROUP BY host, template)",
+        "pooled AS (SELECT host, parent, sum(good) / nullif(sum(m), 0) AS share FROM nodes GROUP BY host, parent)",
+        f"judged AS (SELECT n.*, m > 0 AND abs(good / nullif(m, 0) - share) - 0.5::DOUBLE / nullif(m, 0) <= {u.DEVIATIONS}::DOUBLE * sqrt(share * (1 - share) / nullif(m, 0)) AS alike FROM nodes n JOIN pooled p ON p.host = n.host AND p.parent = n.parent)",
+        "merged AS (SELECT host, parent, sum(good) AS mg, sum(m) AS mm FROM judged WHERE alike GROUP BY host, parent)",
+        f"pure AS (SELECT j.host, j.template, (CASE WHEN alike THEN mg ELSE good END + {u.PRIOR_PURITY * u.PRIOR_WEIGHT!r}::DOUBLE) / (CASE WHEN alike THEN mm ELSE m END + {u.PRIOR_WEIGHT}::DOUBLE) AS purity FROM judged j LEFT JOIN merged g ON g.host = j.host AND g.parent = j.parent)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN purity < {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity FROM rows_ r JOIN tree t ON t.host = r.host AND t.segs = r.segs JOIN pure p ON p.host = t.host AND p.template = t.template"
+
+
+#: The other operators learn, tokenize or need places of matches: they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": url_filter_sql(), "op9_topk": OP9_SQL}
