@@ -1,4 +1,4 @@
-"""What the operators share: the shared work folder and word-wise tokenizing."""
+"""What the operators share: tables in the work folder, spans, word-wise tokenizing."""
 
 from __future__ import annotations
 
@@ -11,20 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_WORK_DIR = "file:///tmp/checkpoints/tessera"
-
-
-def work_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) is a local one set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = DEFAULT_WORK_DIR
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from tessera.shared import work_dir
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
