@@ -168,3 +168,44 @@ def test_scan_reads_only_the_window(dem, spark, tmp_path):
     with pytest.raises(ValueError, match="outside"):
         scan_tiles(spark, path, window=(0, 0, 101, 1))
     assert math.isclose(plane(read_raster(spark, path)).max(), plane(dem).max())
+
+
+def test_recipes_open_what_they_plan(dem, spark, tmp_path):
+    from tessera import api, recipe
+
+    path = str(tmp_path / "a.tif")
+    write_raster(dem, path, str(tmp_path), block=32)
+    first = api.describe(path)
+    box = "POLYGON ((2600002 1200002, 2600020 1200002, 2600020 1200015, 2600002 1200015, 2600002 1200002))"
+    clipped = api.derive_clip(first, box, mask=True, bands=[1])
+    warped = api.derive_reproject(clipped, 0.5, interpolation="BILINEAR")
+    assert first["steps"] == [] and len(clipped["steps"]) == 1  # branches are independent
+    back = recipe.decode(recipe.encode(warped))
+    lazy = api.open_raster(spark, back)
+    staged = str(tmp_path / "b.tif")
+    write_raster(dem.clip(box, mask=True, bands=[1]), staged, str(tmp_path), block=32)
+    want = plane(read_raster(spark, staged).reproject(0.5, interpolation="BILINEAR"))
+    assert np.array_equal(plane(lazy), want, equal_nan=True)
+    assert [r.location for r in api.described(spark, [path]).collect()] == [path]
+    damaged = back | {"descriptor": back["descriptor"] | {"color": "RGB"}}
+    with pytest.raises(ValueError, match="metadata changed"):
+        api.open_raster(spark, damaged)
+    write_raster(dem, path, str(tmp_path), block=16, overwrite=True)
+    with pytest.raises(OSError, match="changed"):
+        api.open_raster(spark, back)
+
+
+def test_direct_files_and_zone_systems(dem, spark, tmp_path):
+    from tessera import api
+
+    a, b, c = (str(tmp_path / n) for n in ("a.tif", "b.tif", "c.tif"))
+    write_raster(dem, a, str(tmp_path), block=32)
+    box = "POLYGON ((2600002 1200002, 2600020 1200002, 2600020 1200015, 2600002 1200015, 2600002 1200002))"
+    api.clip_file(spark, a, box, b, str(tmp_path), band=1)
+    assert (plane(read_raster(spark, b)) == plane(dem.clip(box, bands=[1]))).all()
+    api.reproject_file(spark, a, c, str(tmp_path), 0.5)
+    assert (plane(read_raster(spark, c)) == plane(dem.reproject(0.5))).all()
+    zones = spark.createDataFrame([(1, box)], "zone_id int, wkt string")
+    there = api.zones_in(api.zones_in(zones, "2056", "4326"), "4326", "2056")
+    assert there.first().wkt != box
+    assert dem.zonal(there).first()["count"] == dem.zonal(zones).first()["count"]
