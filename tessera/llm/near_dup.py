@@ -12,11 +12,13 @@ cost rule chooses between two exact ways to find candidates:
   list for each single shingle has a length that grows with the square of a
   common passage's use; a block of several shingles doesn't.)
 
-Each task first links the sets on its own part of a list to the least id
-there, so a list never has more entries than there are tasks, and then every
-list's entries to the list's least id. These links are checked by exact set
-intersection. On lists where a check failed, pairs of different components are
-compared by their *sketches* (one bit for each of SKETCH_BITS hash ranges, the
+Each task first links the sets on its own part of a list to one of them, so a
+list never has more entries than there are tasks, and then every list's entries
+to one of the list. Which one is drawn by a hash, in one of ORDERS ways by the
+list's key: so members of a group of copies meet several of the group, one of
+which is likely close to them. These links are checked by exact set
+intersection. On lists where a check failed, another member is drawn and
+tried; then pairs of members of components that still differ are compared by their *sketches* (one bit for each of SKETCH_BITS hash ranges, the
 parity of the elements in it; the bits that differ are a lower bound of the
 elements that differ), and those that can link are checked. Hence components
 are exact, while a group of copies costs as many checks as it has members, not
@@ -41,6 +43,7 @@ SUBSET_COST, LIST_COST = 1.0, 2.5
 #: Keys that a task gathers before it links them.
 CHUNK_KEYS = 500_000
 SKETCH_BITS = 2048
+ORDERS = 4
 BLOOM_BITS = 1 << 23
 
 
@@ -236,20 +239,21 @@ def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, names=["key", "id", "other", "more", "n", "kind", "sketch"])
 
         def lists() -> Iterator:
-            """Link the places of this task on each list to the least id there."""
+            """Link the places of this task on each list to the first of them."""
             if not held:
                 return
             key = np.concatenate([k for k, _ in held]).view(np.int64)
             ident = np.repeat(np.array([i for _, i in held], dtype=np.int64), [len(k) for k, _ in held])
-            order = np.lexsort((ident, key))
+            way = key.view(np.uint64) % np.uint64(ORDERS)
+            order = np.lexsort((Shingler.mix(ident.view(np.uint64) + (way << np.uint64(56))), key))
             key, ident = key[order], ident[order]
             first = np.r_[True, key[1:] != key[:-1]]
-            least = ident[first][np.cumsum(first) - 1]
+            hub = ident[first][np.cumsum(first) - 1]
             held.clear()
             yield batch_of(PLACE, ident[first], key=key[first])
-            rest = ~first & (ident != least)
+            rest = ~first & (ident != hub)
             if rest.any():
-                yield batch_of(NEAR, ident[rest], least[rest], key[rest])
+                yield batch_of(NEAR, ident[rest], hub[rest], key[rest])
 
         for batch in batches:
             sets, same = [], []
@@ -366,9 +370,10 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty().alias("text"))
     # A list has one place for each chunk of a task at most.
     by_list, place = Window.partitionBy("key"), F.col("kind") == PLACE
-    dealt = entries(rows, words, percent).withColumns({"least": F.min(F.when(place, F.col("id"))).over(by_list), "last": F.max(F.when(place, F.col("id"))).over(by_list)})
-    kept = dealt.where(~place | (F.col("least") < F.col("last")))
-    found = materialize(kept.select("id", F.when(place, F.col("least")).otherwise(F.col("other")).alias("other"), F.when(place, F.col("key")).otherwise(F.col("more")).alias("key"), "n", "kind", "sketch"), "places")
+    drawn = F.when(place, F.struct(F.xxhash64("id", F.pmod("key", F.lit(ORDERS))), "id"))
+    dealt = entries(rows, words, percent).withColumns({"hub": F.min(drawn).over(by_list)["id"], "n_places": F.count(drawn).over(by_list)})
+    kept = dealt.where(~place | (F.col("n_places") > 1))
+    found = materialize(kept.select("id", F.when(place, F.col("hub")).otherwise(F.col("other")).alias("other"), F.when(place, F.col("key")).otherwise(F.col("more")).alias("key"), "n", "kind", "sketch"), "places")
 
     sets = found.where(F.col("kind") == SET)
     # Equal sets across tasks: linked to the least id, counted by partial sums.
@@ -410,13 +415,23 @@ def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: Data
     doubtful = pair.join(failed, ["a", "b"], "left_semi").select("key").distinct()
     places = on_lists.join(doubtful, "key", "left_semi")
     members = places.select("key", "id").union(places.select("key", F.col("other").alias("id"))).distinct()
-    members = members.join(label, "id", "left").join(brief, "id").select("key", "id", F.coalesce("component", "id").alias("component"), "n", "sketch")
-    members = materialize(members, "members")
+    members = materialize(members.join(brief, "id").select("key", "id", "n", "sketch"), "members")
+
+    # Another drawn member of each list first: what it links needs no pairs.
+    labelled = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    hub = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id"), "id", "component", "n", "sketch")).alias("hub"))
+    met = labelled.join(hub, "key").select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("sketch").alias("sa"), F.col("hub.sketch").alias("sb"))
+    near = materialize(met.where((F.col("ca") != F.col("cb")) & can_link(percent)).select("a", "b").distinct(), "near")
+    near = materialize(verified(near, rows, words, percent), "checked")
+    linked = near.where("linked").select("a", "b")
+    label = materialize(components(edges.union(linked)), "labels")
+    failed = failed.union(near.where("NOT linked").select("a", "b"))
+    members = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     x = members.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     y = members.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & can_link(percent)).select("a", "b").distinct()
     pairs = materialize(pairs.join(failed, ["a", "b"], "left_anti"), "pairs")
-    return verified(pairs, rows, words, percent).where("linked").select("a", "b")
+    return linked.union(verified(pairs, rows, words, percent).where("linked").select("a", "b"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
