@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 # The rules, and words of host names that mark a page as bad.
 RULES = [
     ("allow", "com/"),
@@ -79,23 +81,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad_words: lis
     found = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), count(good).alias("good"), count(bad).alias("bad"))
 
     # From the root down: which segments vary, given the template above them.
-    tree = found.withColumn("up", F.lit(""))
+    # Each level reads the one before twice: tables keep the plans short.
+    tree = materialize(found.withColumn("up", F.lit("")), "templates")
     for d in range(1, DEPTH + 1):
         tree = tree.withColumn("seg", F.try_element_at("segs", F.lit(d)))
         values = tree.where("seg IS NOT NULL").groupBy("host", "up", "seg").agg(F.sum("n").alias("n"))
         varied = values.groupBy("host", "up").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n")).where((F.col("values") > MANY_VALUES) & (F.col("n") < FEW_PAGES * F.col("values"))).select("host", "up", F.lit(True).alias("varied"))
         step = F.when(F.col("seg").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("varied"), "*").otherwise(F.col("seg"))))
-        tree = tree.join(varied, ["host", "up"], "left").withColumn("up", F.concat("up", step)).drop("varied", "seg")
+        tree = materialize(tree.join(varied, ["host", "up"], "left").withColumn("up", F.concat("up", step)).drop("varied", "seg"), "templates")
     rest = F.when(F.size("segs") > DEPTH, "/**").otherwise("")
     tree = tree.select("host", "segs", "n", "good", "bad", F.concat("up", rest).alias("template"))
 
     nodes = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    nodes = nodes.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1))
+    nodes = materialize(nodes.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1)), "nodes")
     pooled = nodes.groupBy("host", "parent").agg(F.sum("good").alias("g"), F.sum(F.col("good") + F.col("bad")).alias("m"))
     labelled, share = F.col("good") + F.col("bad"), F.col("g") / F.col("m")
     apart = F.abs(F.col("good") / labelled - share) - 0.5 / labelled
     similar = F.when(labelled > 0, apart <= DEVIATIONS * F.sqrt(share * (1 - share) / labelled)).otherwise(False)
-    nodes = nodes.join(pooled, ["host", "parent"]).withColumn("similar", similar)
+    nodes = materialize(nodes.join(pooled, ["host", "parent"]).withColumn("similar", similar), "nodes")
     merged = nodes.where("similar").groupBy("host", "parent").agg(F.sum("good").alias("mg"), F.sum(F.col("good") + F.col("bad")).alias("mm"))
     nodes = nodes.join(merged, ["host", "parent"], "left")
     g, m = F.when(F.col("similar"), F.col("mg")).otherwise(F.col("good")), F.when(F.col("similar"), F.col("mm")).otherwise(labelled)
