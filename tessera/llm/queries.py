@@ -31,6 +31,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op5_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_by_tree(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_packing, op3_quality, op4_mixing, op5_url_filter, op6_secrets, op7_ngram_join, op8_html_extract, op9_topk, op10_token_counts, pipeline)
+    for f in (op1_exact_dedup, op2_packing, op3_quality, op4_mixing, op5_url_filter, op5_url_tree, op6_secrets, op7_ngram_join, op8_html_extract, op9_topk, op10_token_counts, pipeline)
 }
 
 OP1_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -10,10 +10,16 @@ purity is under the threshold is rejected.
 Labels come from the rules themselves (an allowed page is good, a blocked one
 bad) and from words in host names. Pages are only aggregated by (host,
 template), which combines within tasks, and joined back on it.
+
+:func:`judge` knows a template by its own labels and those it is merged with.
+:func:`judge_by_tree` also lets labels reach templates that have none, from
+other branches and other hosts, and follows paths to their full depth.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,13 +59,36 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return rule, verdict
 
 
-def segments(path: Column) -> Column:
-    """At most DEPTH + 1 segments, with numbers and hexadecimal runs as wildcards."""
+def segments(path: Column, whole: bool = False) -> Column:
+    """At most DEPTH + 1 segments, or all, with numbers and hexadecimal runs as wildcards."""
     all_ = F.filter(F.split(path, "/"), lambda s: s != "")
-    some = F.transform(F.slice(all_, 1, DEPTH), lambda s: F.regexp_replace(s, "[0-9a-fA-F]{8,}|[0-9]+", "*"))
+    some = F.transform(all_ if whole else F.slice(all_, 1, DEPTH), lambda s: F.regexp_replace(s, "[0-9a-fA-F]{8,}|[0-9]+", "*"))
+    if whole:
+        return some
     return F.when(F.size(all_) > DEPTH, F.concat(some, F.array(F.lit("**")))).otherwise(some)
 
 
+def labelled_rows(pages: DataFrame, rules: list[tuple[str, str]], bad_words: list[str], id_col: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows with their rules and segments, and the labels of each (host, segs)."""
+    rows = pages.select(F.col(id_col).alias("id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), segments(F.col("path"), whole).alias("segs"))
+    marked = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*(F.lit(w) for w in bad_words))) if bad_words else F.lit(False)
+    good = (F.col("by_rule") == "allow") & ~marked
+    bad = marked | (F.col("by_rule") == "block")
+    count = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0))
+    found = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), count(good).alias("good"), count(bad).alias("bad"))
+    return rows, found
+
+
+def one_level(tree: DataFrame) -> DataFrame:
+    """``tree`` with its column seg appended to the template ``up``, as a wildcard where it varies."""
+    values = tree.where("seg IS NOT NULL").groupBy("host", "up", "seg").agg(F.sum("n").alias("n"))
+    varied = values.groupBy("host", "up").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n")).where((F.col("values") > MANY_VALUES) & (F.col("n") < FEW_PAGES * F.col("values"))).select("host", "up", F.lit(True).alias("varied"))
+    step = F.when(F.col("seg").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("varied"), "*").otherwise(F.col("seg"))))
+    return tree.join(varied, ["host", "up"], "left").withColumn("up", F.concat("up", step)).drop("varied", "seg")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad_words: list[str] = BAD_WORDS, id_col: str = "page_id") -> DataFrame:
     """A verdict for each row of ``pages``.
 
@@ -71,24 +100,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad_words: lis
     Returns ``id_col``, host, path, rule (null if none fits), verdict,
     template, purity double.
     """
-    rows = pages.select(F.col(id_col).alias("id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), segments(F.col("path")).alias("segs"))
-    marked = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*(F.lit(w) for w in bad_words))) if bad_words else F.lit(False)
-    good = (F.col("by_rule") == "allow") & ~marked
-    bad = marked | (F.col("by_rule") == "block")
-    count = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0))
-    found = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), count(good).alias("good"), count(bad).alias("bad"))
+    rows, found = labelled_rows(pages, rules, bad_words, id_col)
 
     # From the root down: which segments vary, given the template above them.
     # Each level reads the one before twice: tables keep the plans short.
     tree = materialize(found.withColumn("up", F.lit("")), "templates")
     for d in range(1, DEPTH + 1):
         tree = tree.withColumn("seg", F.try_element_at("segs", F.lit(d)))
-        values = tree.where("seg IS NOT NULL").groupBy("host", "up", "seg").agg(F.sum("n").alias("n"))
-        varied = values.groupBy("host", "up").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n")).where((F.col("values") > MANY_VALUES) & (F.col("n") < FEW_PAGES * F.col("values"))).select("host", "up", F.lit(True).alias("varied"))
-        step = F.when(F.col("seg").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("varied"), "*").otherwise(F.col("seg"))))
-        tree = materialize(tree.join(varied, ["host", "up"], "left").withColumn("up", F.concat("up", step)).drop("varied", "seg"), "templates")
+        tree = materialize(one_level(tree), "templates")
     rest = F.when(F.size("segs") > DEPTH, "/**").otherwise("")
     tree = tree.select("host", "segs", "n", "good", "bad", F.concat("up", rest).alias("template"))
 
@@ -108,3 +127,54 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad_words: lis
     out = rows.join(judged, ["host", "segs"])
     method = F.when(F.col("purity") < THRESHOLD, "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "template", "purity")
+
+
+def whole_templates(found: DataFrame) -> DataFrame:
+    """host, segs, good, bad and the template to the path's full depth."""
+    open_ = materialize(found.withColumn("up", F.lit("")), "templates")
+    depth = open_.agg(F.max(F.size("segs"))).head()[0] or 0
+    ended = [open_.where(F.size("segs") == 0)]
+    for d in range(1, depth + 1):
+        # Each level reads the one before twice; paths that end are set aside.
+        step = one_level(open_.where(F.size("segs") >= d).withColumn("seg", F.try_element_at("segs", F.lit(d))))
+        open_ = materialize(step, "templates")
+        ended.append(open_.where(F.size("segs") == d))
+    return reduce(DataFrame.unionByName, ended).select("host", "segs", "good", "bad", F.col("up").alias("template"))
+
+
+def judge_by_tree(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad_words: list[str] = BAD_WORDS, id_col: str = "page_id") -> DataFrame:
+    """A verdict for each row of ``pages``, from labels anywhere in the trees.
+
+    As :func:`judge`, but templates go to the path's full depth, and a
+    template's purity is smoothed towards the pooled purity of its parent,
+    that towards its host's, that towards all hosts' same template and only
+    that towards the prior. Each step weighs PRIOR_WEIGHT pages.
+
+    Returns ``id_col``, host, path, rule (null if none fits), verdict,
+    template, purity double, level (the nearest that has labels: template,
+    parent, host, hosts, or prior if none has) and by (what decides: rule,
+    tree, or prior).
+    """
+    rows, found = labelled_rows(pages, rules, bad_words, id_col, whole=True)
+    tree = whole_templates(found)
+    nodes = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum(F.col("good") + F.col("bad")).alias("m"))
+    nodes = materialize(nodes.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1)), "nodes")
+    pool = lambda df, g, m, *keys: df.groupBy(*keys).agg(F.sum("good").alias(g), F.sum("m").alias(m))
+    nodes = nodes.join(pool(nodes, "g_parent", "m_parent", "host", "parent"), ["host", "parent"])
+    share = F.col("g_parent") / F.col("m_parent")
+    apart = F.abs(F.col("good") / F.col("m") - share) - 0.5 / F.col("m")
+    similar = F.when(F.col("m") > 0, apart <= DEVIATIONS * F.sqrt(share * (1 - share) / F.col("m"))).otherwise(False)
+    nodes = materialize(nodes.withColumn("similar", similar), "nodes")
+    nodes = nodes.join(pool(nodes.where("similar"), "mg", "mm", "host", "parent"), ["host", "parent"], "left")
+    nodes = nodes.join(pool(nodes, "g_host", "m_host", "host"), "host").join(pool(nodes, "g_hosts", "m_hosts", "template"), "template")
+    g, m = (F.when(F.col("similar"), F.col(a)).otherwise(F.col(b)) for a, b in (("mg", "good"), ("mm", "m")))
+    purity = F.lit(PRIOR_PURITY)
+    for good, all_ in ((F.col("g_hosts"), F.col("m_hosts")), (F.col("g_host"), F.col("m_host")), (F.col("g_parent"), F.col("m_parent")), (g, m)):
+        purity = (good + purity * PRIOR_WEIGHT) / (all_ + PRIOR_WEIGHT)
+    level = F.when(F.col("m") > 0, "template").when(F.col("m_parent") > 0, "parent").when(F.col("m_host") > 0, "host").when(F.col("m_hosts") > 0, "hosts").otherwise("prior")
+    nodes = materialize(nodes.select("host", "template", purity.alias("purity"), level.alias("level")), "nodes")
+
+    out = rows.join(tree.select("host", "segs", "template").join(nodes, ["host", "template"]), ["host", "segs"])
+    method = F.when(F.col("purity") < THRESHOLD, "block").otherwise("allow")
+    by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("level") == "prior", "prior").otherwise("tree")
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "template", "purity", "level", by.alias("by"))

@@ -245,6 +245,69 @@ def test_url_variable_segments(spark):
     assert {r.template for r in url_filter.judge(rows).collect()} == {"/user/*/p"}
 
 
+def brute_tree(urls):
+    """Purity, template and nearest level with labels for each url, from the definition."""
+    u, rows = url_filter, []
+    for url in urls:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(t), w) for w, t in u.RULES for n, _, p in [t.partition("/")] if (host == n or host.endswith("." + n)) and path.startswith("/" + p)]
+        rule = max(fits)[1] if fits else None
+        marked = bool(set(re.split(r"[.-]", host)) & set(u.BAD_WORDS))
+        rows.append((host, tuple(re.sub("[0-9a-fA-F]{8,}|[0-9]+", "*", s) for s in path.split("/") if s), int(rule == "allow" and not marked), int(rule == "block" or marked), rule))
+    up = [""] * len(rows)
+    for d in range(max(len(r[1]) for r in rows)):
+        values = defaultdict(Counter)
+        for r, t in zip(rows, up, strict=True):
+            if len(r[1]) > d:
+                values[r[0], t][r[1][d]] += 1
+        varied = {k for k, v in values.items() if len(v) > u.MANY_VALUES and sum(v.values()) < u.FEW_PAGES * len(v)}
+        up = [t + ("" if len(r[1]) <= d else "/*" if (r[0], t) in varied else "/" + r[1][d]) for r, t in zip(rows, up, strict=True)]
+    good, all_ = defaultdict(int), defaultdict(int)
+    above = lambda t: t.rpartition("/")[0]
+    for (host, _, g, b, _), t in zip(rows, up, strict=True):
+        for k in (("t", host, t), ("p", host, above(t)), ("h", host), ("a", t)):
+            good[k] += g
+            all_[k] += g + b
+    alike, merged = set(), defaultdict(lambda: [0, 0])
+    for host, t in {(r[0], t) for r, t in zip(rows, up, strict=True)}:
+        m, p = all_["t", host, t], ("p", host, above(t))
+        if m and abs(good["t", host, t] / m - good[p] / all_[p]) - 0.5 / m <= u.DEVIATIONS * (good[p] / all_[p] * (1 - good[p] / all_[p]) / m) ** 0.5:
+            alike.add((host, t))
+            merged[p][0] += good["t", host, t]
+            merged[p][1] += m
+    out = []
+    for (host, _, _, _, rule), t in zip(rows, up, strict=True):
+        keys, purity = {"hosts": ("a", t), "host": ("h", host), "parent": ("p", host, above(t)), "template": ("t", host, t)}, u.PRIOR_PURITY
+        for name, k in keys.items():
+            g, m = merged["p", host, above(t)] if name == "template" and (host, t) in alike else (good[k], all_[k])
+            purity = (g + purity * u.PRIOR_WEIGHT) / (m + u.PRIOR_WEIGHT)
+        level = next((n for n in reversed(keys) if all_[keys[n]]), "prior")
+        out.append((t, round(purity, 9), level, rule or ("block" if purity < u.THRESHOLD else "allow")))
+    return out
+
+
+def test_url_tree(spark, sf_dir):
+    urls = [r.url for r in real(spark, sf_dir, "pages").collect()] + [None, "http://x.org/en/1", "http://x.net/es/1", "http://x.net/it/1", "http://x.net", "http://new.org/none/1"]
+    urls += [f"http://d.com/a/b/c/d/e/{w}/{i}" for w in ("f", "g") for i in range(3)] + [f"http://y.org/user/name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in url_filter.judge_by_tree(rows).collect()}
+    want = brute_tree(urls)
+    assert [(got[i].template, round(got[i].purity, 9), got[i].level, got[i].verdict) for i in range(len(urls))] == want
+    assert url_filter.judge_by_tree(rows.limit(0)).count() == 0
+
+
+def test_url_tree_labels_reach_other_branches_and_hosts(spark):
+    urls = ["http://a.net/es/1"] * 9 + ["http://a.net/it/1", "http://b.org/es/1", "http://b.org/pt/1", "http://d.com/a/b/c/d/e/f", "http://e.org/a/b/c/d/e/f", "http://e.org/a/b/c/d/e/g"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.level, r.by) for r in url_filter.judge_by_tree(rows).collect()}
+    assert got[0] == ("block", "template", "rule")
+    assert got[9] == ("block", "host", "tree")  # a sibling branch's labels
+    assert got[10] == ("block", "hosts", "tree")  # another host's same template
+    assert got[11] == ("allow", "prior", "prior")
+    assert got[13] == ("allow", "hosts", "tree") and got[14] == ("allow", "prior", "prior")  # apart at the sixth segment
+
+
 # --- secrets ----------------------------------------------------------------
 
 
