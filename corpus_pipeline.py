@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import exact_dedup, mixing, near_dup, packing, quality
 from tessera.llm.common import materialize, table
 
-#: Words and percentage of similarity for near copies; share of the tokens that the mix may take.
-SHINGLE_WORDS, SIMILAR_PERCENT, MIX_SHARE = 5, 80, 0.6
+#: Words and percentage of similarity for near copies.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that meet the weights of domains, languages and sources, each once at most."""
-    return mixing.take(docs, MIX_SHARE)
+    """Documents that meet the weights of domains, languages and sources: each once at least, those of short leaves several times."""
+    return mixing.take(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

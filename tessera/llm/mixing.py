@@ -85,6 +85,20 @@ def budgets(supply: dict[tuple, int], weights: dict[tuple, float], total: int, d
     return {leaf: at[leaf].budget for leaf in supply}
 
 
+def whole_budget(own: dict[tuple, int], weights: dict[tuple, float], max_epochs: int) -> int:
+    """The least budget at which every leaf gives each of its documents, if short ones are repeated ``max_epochs`` times at most."""
+    supply = {leaf: n * max_epochs for leaf, n in own.items()}
+    low, high = sum(own.values()), sum(supply.values())
+    while low < high:
+        middle = (low + high) // 2
+        got = budgets(supply, weights, middle)
+        if all(got[leaf] >= n for leaf, n in own.items()):
+            high = middle
+        else:
+            low = middle + 1
+    return high
+
+
 def drawn(seed: int, epoch: Column, id_col: Column) -> Column:
     """A document's place in an epoch: 60 bits of a digest of seed, epoch and id."""
     text = F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_col.cast("string"), F.lit("")))
@@ -96,38 +110,43 @@ def mix(
     weights: dict[tuple, float],
     levels: dict[str, Column],
     budget: int | None = None,
-    share: float = 0.5,
+    share: float | None = 0.5,
     max_epochs: int = 4,
     seed: int = 17,
     id_col: str = "doc_id",
     tokens: Column | None = None,
+    with_row: bool = False,
 ) -> DataFrame:
     """How often each document is taken, for the mix to meet ``weights``.
 
     ``levels`` names the levels of the tree and says how to get them; a null
     level is the empty name. ``budget`` is in tokens (default: ``share`` of all
-    tokens there are); ``tokens`` counts a document's (default: words between
-    white space; a null text has 0). A leaf supplies its tokens ``max_epochs``
-    times at most. A document is taken in its last epoch if the tokens before
-    it are short of the leaf's budget; so a leaf exceeds its budget by less
-    than one document. Documents without tokens are taken with the place they
-    were drawn. Ties in the drawn order go to the smaller id; rows that repeat
-    are separate rows. An empty table gives no rows.
+    tokens there are, or :func:`whole_budget` if that is None); ``tokens``
+    counts a document's (default: words between white space; a null text has
+    0). A leaf supplies its tokens ``max_epochs`` times at most. A document is
+    taken in its last epoch if the tokens before it are short of the leaf's
+    budget; so a leaf exceeds its budget by less than one document. Documents
+    without tokens are taken with the place they were drawn. Ties in the drawn
+    order go to the smaller id; rows that repeat are separate rows. An empty
+    table gives no rows.
 
     Returns ``id_col``, the levels, n_tokens long, leaf_tokens long,
-    leaf_budget long, copies int.
+    leaf_budget long, copies int and, if asked for, row (a struct of the
+    columns of ``docs``).
     """
     names = list(levels)
     words = F.size(F.filter(F.split(text_or_empty(), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
     n_tokens = F.coalesce(tokens if tokens is not None else words, F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), n_tokens.alias("n_tokens"))
+    whole = [F.struct("*").alias("whole")] if with_row else []
+    rows = docs.select(F.col(id_col).alias("id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), n_tokens.alias("n_tokens"), *whole)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "mixing")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("leaf_tokens")).limit(MAX_LEAVES + 1).collect()
     if len(leaves) > MAX_LEAVES:
         raise ValueError(f"over {MAX_LEAVES} leaves: the last level of the tree must be a source, not a document")
     own = {tuple(r[n] for n in names): r["leaf_tokens"] for r in leaves}
-    total = sum(own.values())
-    wanted = budgets({leaf: n * max_epochs for leaf, n in own.items()}, weights, int(total * share) if budget is None else budget)
+    if budget is None:
+        budget = whole_budget(own, weights, max_epochs) if share is None else int(sum(own.values()) * share)
+    wanted = budgets({leaf: n * max_epochs for leaf, n in own.items()}, weights, budget)
     spark = docs.sparkSession
     plan = [(*leaf, n, wanted[leaf], wanted[leaf] // n if n else 0, wanted[leaf] % n if n else 0) for leaf, n in own.items()]
     schema = ", ".join(f"`{n}` string" for n in names) + ", leaf_tokens long, leaf_budget long, epochs long, rest long"
@@ -135,7 +154,8 @@ def mix(
     rows = rows.join(F.broadcast(plan), names).withColumn("place", drawn(seed, F.col("epochs"), F.col("id")))
     taken = prefix(rows, names)
     again = F.when(F.col("taken"), 1).otherwise(0)
-    return taken.select(F.col("id").alias(id_col), *names, "n_tokens", "leaf_tokens", "leaf_budget", (F.col("epochs") + again).cast("int").alias("copies"))
+    whole = [F.col("whole").alias("row")] if with_row else []
+    return taken.select(F.col("id").alias(id_col), *names, "n_tokens", "leaf_tokens", "leaf_budget", (F.col("epochs") + again).cast("int").alias("copies"), *whole)
 
 
 def prefix(rows: DataFrame, names: list[str], few: int = FEW) -> DataFrame:
@@ -190,8 +210,14 @@ def production_tree() -> tuple[dict[tuple, float], dict[str, Column]]:
     return weights, {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
 
 
-def take(docs: DataFrame, share: float, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
-    """The documents of the production mix, once each, with the columns of ``docs``."""
+def take(docs: DataFrame, share: float | None = None, seed: int = 17, id_col: str = "doc_id", max_epochs: int = 4) -> DataFrame:
+    """The documents of the production mix, each as often as it is taken, with the columns of ``docs``.
+
+    Without ``share`` the budget follows from the supplies: no document is
+    left out, and leaves that are short are repeated. A leaf without tokens has
+    no budget; its documents are kept once.
+    """
     weights, levels = production_tree()
-    left = mix(docs, weights, levels, share=share, max_epochs=1, seed=seed, id_col=id_col).where("copies > 0").select(F.col(id_col).alias("_taken"))
-    return docs.join(left, docs[id_col].eqNullSafe(F.col("_taken")), "left_semi")
+    mixed = mix(docs, weights, levels, share=share, max_epochs=max_epochs, seed=seed, id_col=id_col, with_row=True)
+    copies = F.when(F.col("leaf_tokens") == 0, 1).otherwise(F.col("copies"))
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")

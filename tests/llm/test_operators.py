@@ -225,6 +225,22 @@ def test_mix_edge_cases(docs, none):
     assert mixing.take(docs, 0.5).columns == docs.columns
 
 
+def test_take_leaves_no_document_out(spark):
+    weights, levels = mixing.production_tree()
+    own = {("web", "en", "src0"): 300, ("web", "en", "src1"): 100, ("books", "de", "src9"): 10, ("code", "fr", "src12"): 50}
+    total = mixing.whole_budget(own, weights, 4)
+    short = mixing.budgets({k: 4 * n for k, n in own.items()}, weights, total - 1)
+    got = mixing.budgets({k: 4 * n for k, n in own.items()}, weights, total)
+    assert all(got[k] >= n for k, n in own.items()) and any(short[k] < n for k, n in own.items())
+    d = real(spark, "/root/testdata/sf0.001", "documents")
+    extra = spark.createDataFrame([(10**9, "", "xx", "src0", 0), (10**9 + 1, None, "xx", "src0", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    d = d.unionByName(extra.select(d.columns))
+    copies = Counter(r.doc_id for r in mixing.take(d).collect())
+    assert set(copies) == {r.doc_id for r in d.collect()} and max(copies.values()) <= 4
+    want = {r.doc_id: r.copies if r.leaf_tokens else 1 for r in mixing.mix(d, weights, levels, share=None).collect()}
+    assert copies == want
+
+
 # --- urls -------------------------------------------------------------------
 
 
