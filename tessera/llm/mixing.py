@@ -25,6 +25,8 @@ from tessera.llm.common import materialize, text_or_empty
 BITS = 10  # of the drawn order in each histogram
 FEW = 2_000  # rows of a leaf that one task may sort
 MAX_LEAVES = 100_000
+#: Columns that place a leaf's rows, and their bits: drawn by id, drawn by id and text, a running number.
+ORDER = [("place", 60), ("tie", 60), ("row", 70)]
 
 
 @dataclass
@@ -126,9 +128,9 @@ def mix(
     0). A leaf supplies its tokens ``max_epochs`` times at most. A document is
     taken in its last epoch if the tokens before it are short of the leaf's
     budget; so a leaf exceeds its budget by less than one document. Documents
-    without tokens are taken with the place they were drawn. Ties in the drawn
-    order go to the smaller id; rows that repeat are separate rows. An empty
-    table gives no rows.
+    without tokens are taken with the place they were drawn. Rows with equal or
+    null ids are separate rows, in an order drawn from their text as well; of
+    equal rows any may be first. An empty table gives no rows.
 
     Returns ``id_col``, the levels, n_tokens long, leaf_tokens long,
     leaf_budget long, copies int and, if asked for, row (a struct of the
@@ -138,7 +140,8 @@ def mix(
     words = F.size(F.filter(F.split(text_or_empty(), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
     n_tokens = F.coalesce(tokens if tokens is not None else words, F.lit(0)).cast("long")
     whole = [F.struct("*").alias("whole")] if with_row else []
-    rows = docs.select(F.col(id_col).alias("id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), n_tokens.alias("n_tokens"), *whole)
+    digest = F.md5(text_or_empty()) if "text" in docs.columns else F.lit("")
+    rows = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), n_tokens.alias("n_tokens"), *whole)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "mixing")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("leaf_tokens")).limit(MAX_LEAVES + 1).collect()
     if len(leaves) > MAX_LEAVES:
@@ -152,6 +155,7 @@ def mix(
     schema = ", ".join(f"`{n}` string" for n in names) + ", leaf_tokens long, leaf_budget long, epochs long, rest long"
     plan = spark.createDataFrame(plan, schema)  # MAX_LEAVES rows at most
     rows = rows.join(F.broadcast(plan), names).withColumn("place", drawn(seed, F.col("epochs"), F.col("id")))
+    rows = rows.withColumn("tie", drawn(seed, F.col("epochs"), F.concat_ws("|", F.col("id").cast("string"), "digest")))
     taken = prefix(rows, names)
     again = F.when(F.col("taken"), 1).otherwise(0)
     whole = [F.col("whole").alias("row")] if with_row else []
@@ -161,31 +165,51 @@ def mix(
 def prefix(rows: DataFrame, names: list[str], few: int = FEW) -> DataFrame:
     """``rows`` with taken: the tokens of the leaf's rows placed before are under ``rest``.
 
-    Each round counts the tokens of the rows in the leaf's open range of places
-    in 2^BITS bins and opens the bin where the sum reaches ``rest``. The last
-    range, of few rows (or of one place), is summed in order.
+    Rows are placed by ORDER. Each round counts the tokens of the rows in the
+    leaf's open range of places in 2^BITS bins and opens the bin where the sum
+    reaches ``rest``; where a range is down to one place, the next column of
+    ORDER parts its rows. The last range, of few rows, is summed in order.
     """
     spark = rows.sparkSession
-    state, shift, fields = None, 60, ", ".join(f"`{n}` string" for n in names)
-    while True:
-        shift -= BITS
-        open_rows = rows if state is None else rows.join(F.broadcast(state), names).where(F.shiftright("place", shift + BITS) == F.col("range"))
-        before = F.lit(0) if state is None else F.col("before")
-        bins = open_rows.withColumn("bin", F.shiftright("place", shift)).groupBy(*names, "bin").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"), F.first(before).alias("b"))
-        order = Window.partitionBy(*names).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.withColumn("before", F.col("b") + F.coalesce(F.sum("t").over(order), F.lit(0)))
-        # The last bin that starts under the rest: for each leaf one row.
-        hit = bins.where(F.col("before") < F.col("rest")).groupBy(*names).agg(F.max(F.struct("bin", "before", "n")).alias("m"))
-        got = hit.select(*names, F.col("m.bin").alias("range"), F.col("m.before").alias("before"), F.col("m.n").alias("n")).collect()
-        most = max((r["n"] for r in got), default=0)
-        state = spark.createDataFrame([tuple(r)[:-1] for r in got], f"{fields}, range long, before long")  # MAX_LEAVES rows at most
-        if most <= few or shift <= 0:
+    leaf = ", ".join(f"`{n}` string" for n in names)
+    parts: list[Column] = []  # what places a row in this round's ranges
+    edges: dict[tuple, tuple] = {}  # for each leaf its open range, a value for each of parts
+    sums: dict[tuple, int] = {}  # and the tokens before it
+
+    def judged(how: str) -> tuple[DataFrame, Column, Column]:
+        """``rows`` with their leaf's open range (null without one), their place and the range's."""
+        fields = "".join(f", edge{i} long" for i in range(len(parts)))
+        state = spark.createDataFrame([(*k, *e, sums[k]) for k, e in edges.items()], f"{leaf}{fields}, before long")  # MAX_LEAVES rows at most
+        at = F.struct(*(c.alias(f"p{i}") for i, c in enumerate(parts)))
+        edge = F.struct(*(F.col(f"edge{i}").alias(f"p{i}") for i in range(len(parts))))
+        return rows.join(F.broadcast(state), names, how), at, edge
+
+    for column, bits in ORDER:
+        for shift in range(bits - BITS, -1, -BITS):
+            open_rows = rows.withColumn("before", F.lit(0).cast("long"))
+            if parts:
+                found, at, edge = judged("inner")
+                open_rows = found.where(at == edge)
+            bins = open_rows.withColumn("bin", F.shiftright(column, shift)).groupBy(*names, "bin").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"), F.first("before").alias("b"))
+            order = Window.partitionBy(*names).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+            bins = bins.withColumn("before", F.col("b") + F.coalesce(F.sum("t").over(order), F.lit(0)))
+            # The last bin that starts under the rest: for each leaf one row.
+            hit = bins.where(F.col("before") < F.col("rest")).groupBy(*names).agg(F.max(F.struct("bin", "before", "n")).alias("m"))
+            got = hit.select(*names, F.col("m.bin").alias("range"), F.col("m.before").alias("before"), F.col("m.n").alias("n")).collect()
+            first = shift == bits - BITS
+            keys = {r: tuple(r[n] for n in names) for r in got}
+            edges = {k: (*(edges.get(k, ()) if first else edges[k][:-1]), r["range"]) for r, k in keys.items()}
+            sums = {k: r["before"] for r, k in keys.items()}
+            parts = [*(parts if first else parts[:-1]), F.shiftright(column, shift)]
+            most = max((r["n"] for r in got), default=0)
+            if most <= few:
+                break
+        if most <= few:
             break
-    at = F.shiftright("place", shift)
-    judged = rows.join(F.broadcast(state), names, "left")
-    clear = judged.where(F.col("range").isNull() | (at != F.col("range"))).withColumn("taken", F.coalesce(at < F.col("range"), F.lit(False)))
-    order = Window.partitionBy(*names).orderBy("place", "id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    last = judged.where(at == F.col("range")).withColumn("taken", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) < F.col("rest"))
+    found, at, edge = judged("left")
+    clear = found.where(F.col("before").isNull() | (at != edge)).withColumn("taken", F.coalesce(F.col("before").isNotNull() & (at < edge), F.lit(False)))
+    order = Window.partitionBy(*names).orderBy(*(c for c, _ in ORDER)).rowsBetween(Window.unboundedPreceding, -1)
+    last = found.where(F.col("before").isNotNull() & (at == edge)).withColumn("taken", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) < F.col("rest"))
     return clear.unionByName(last)
 
 

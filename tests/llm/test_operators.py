@@ -225,6 +225,23 @@ def test_mix_edge_cases(docs, none):
     assert mixing.take(docs, 0.5).columns == docs.columns
 
 
+@pytest.mark.parametrize("few", [1, 7, 2000])
+def test_mix_repeated_ids(spark, monkeypatch, few):
+    """Rows that share an id are parted: a leaf exceeds its budget by less than a document."""
+    monkeypatch.setattr(mixing.prefix, "__defaults__", (few,))
+    rows = [(None, f"a b c {i % 20}", "en", "src0") for i in range(60)] + [(7, "x y", "en", "src0")] * 30 + [(7, f"z {i}", "de", "src1") for i in range(40)] + [(i, "u v w", "fr", "src2") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    weights, levels = mixing.production_tree()
+    left = mixing.mix(d, weights, levels, share=0.5, max_epochs=1).collect()
+    assert len(left) == len(rows)
+    taken = mixing.take(d, 0.5, max_epochs=1).collect()
+    for source in ("src0", "src1", "src2"):
+        leaf = [r for r in left if r.source == source]
+        got = sum(r.n_tokens * r.copies for r in leaf)
+        assert leaf[0].leaf_budget <= got < leaf[0].leaf_budget + 4 and 0 < leaf[0].leaf_budget < leaf[0].leaf_tokens
+        assert sum(len(r.text.split()) for r in taken if r.source == source) == got
+
+
 def test_take_leaves_no_document_out(spark):
     weights, levels = mixing.production_tree()
     own = {("web", "en", "src0"): 300, ("web", "en", "src1"): 100, ("books", "de", "src9"): 10, ("code", "fr", "src12"): 50}
