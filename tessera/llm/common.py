@@ -17,16 +17,55 @@ from tessera.shared import work_dir
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Cuts lineage in a way that outlives any executor. The table is removed
-    when the driver's JVM ends.
+    Cuts lineage in a way that outlives any executor. The table is removed by
+    :func:`discard`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, system = file_system(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        target, system = file_system(df.sparkSession, df.table_path)
+        system.delete(target, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: A key that holds over 1 / HOT_KEYS of the rows is joined by a broadcast: there are fewer than HOT_KEYS such.
+HOT_KEYS = 1024
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with one row for each key of ``side``.
+
+    ``count`` is the column of ``side`` with the number of rows that have the
+    key. Frequent keys, under HOT_KEYS of them, are broadcast, so that their
+    rows stay where they are; all others are shuffled. Both are read twice and
+    keys must not be null.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot = side.where(F.col(count) * HOT_KEYS > total)
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(side.where(F.col(count) * HOT_KEYS <= total), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -65,6 +104,9 @@ class WordEncoder:
     each ends. Words of any other shape are encoded by the library as they
     stand. A memo holds ids as little-endian unsigned 32-bit bytes and starts
     anew when it is full.
+
+    All this is tried on PROBES when a vocabulary is loaded; one for which it
+    doesn't hold has ``by_words`` false, and whole texts go to the library.
     """
 
     PLAIN = re.compile("(?m)^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*]*)|(.*))$")
@@ -79,6 +121,9 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.sizes: dict[str, int] = {"": 0}
+        self.by_words = True
+        self.by_words = self.many(PROBES) == list(self._whole(PROBES).values())
 
     def _whole(self, words: list[str]) -> dict[str, bytes]:
         import numpy as np
@@ -123,6 +168,9 @@ class WordEncoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            own = self._whole(list(set(texts)))
+            return [own[t] for t in texts]
         words = [split_words(t) for t in texts]
         seen: set[str] = set()
         for w in words:
@@ -139,16 +187,34 @@ class WordEncoder:
         get = self.memo.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
-    def lists(self, texts: list[str]) -> list[list[bytes]]:
-        """Ids of each word of each text."""
-        self.many(texts)
-        return [[self.memo[w] if w in self.memo else self._whole([w])[w] for w in split_words(t)] for t in texts]
+    def counts(self, words: list[list[str]]) -> list:
+        """The number of ids of each word of each list; words hold no ASCII white space."""
+        import numpy as np
+
+        if not self.by_words:
+            raise ValueError("Token counts by words need a vocabulary that never joins text across white space")
+        seen = {w for some in words for w in some} - {""}
+        missing = seen.difference(self.sizes)
+        if len(self.sizes) + len(missing) > self.limit:
+            self.sizes, missing = {"": 0}, seen
+        odd = [w for w in missing if len(w) > self.longest or OTHER_SPACE.search(w)]
+        self.sizes.update((w, len(b) // 4) for w, b in self._learn(list(missing.difference(odd))).items())
+        if not odd:
+            get = self.sizes.__getitem__
+            return [np.fromiter(map(get, some), dtype=np.int32, count=len(some)) for some in words]
+        own = dict(zip(odd, (len(b) // 4 for b in self.many(odd)), strict=True))
+        return [np.array([own[w] if w in own else self.sizes[w] for w in some], dtype=np.int32) for some in words]
 
 
 #: White space to Python's split(), but not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+#: White space to Python's split() beyond blanks, tabs and line ends.
+OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+PROBES = ["", "The cat, the dog.", "two  blanks\tand\n\nlines ", "don't can\u2019t 1234 5.6 x2y", "\u00dcn\u00ef,!! \u00c9*** stra\u00dfe", "a\xa0b\x0bc\x85d", "\u65e5\u672c\u8a9e \U0001f642\U0001f642 end."]
+
+
 def split_words(text: str) -> list[str]:
     """Words of ``text`` between runs of white space as the tokenizer knows it."""
     if SEPARATORS.search(text):
@@ -162,6 +228,15 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Spans whose places are summed at a time.
+SPAN_CHUNK = 64
+
+
 def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches of ``pattern``, with their places.
 
@@ -169,20 +244,31 @@ def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
     ``value`` is the match's ``group``. The pattern must not match an empty
     text. The text between matches and the matches themselves add up to the
     places, so only built-in functions are needed; a text without a match is
-    read once.
+    read once. Places are summed in chunks of SPAN_CHUNK and then over the
+    chunks, so that the work grows in proportion to the number of matches.
     """
-    regex = F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    values = found if group == 0 else F.regexp_extract_all(text, regex, F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("match"), values.alias("value"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), values.alias("value"))
+    # The last gap follows the last match.
+    steps = F.transform(F.filter(parts, lambda x: x["match"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("size"), x["value"].alias("value")))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast("array<int>")
+
+    def span(start: Column, end: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
+        start = acc["at"] + x["gap"]
+        end = start + x["size"]
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span(start, end, x["value"]))).alias("spans"))
 
-    # The last gap follows the last match.
-    walked = F.aggregate(F.slice(steps, 1, F.size(found)), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
-    return F.when(text.rlike(pattern), walked["spans"]).otherwise(empty)
+    def chunks(all_: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(SPAN_CHUNK))
+        return F.transform(firsts, lambda first: F.aggregate(F.slice(all_, first, SPAN_CHUNK), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step))
+
+    def placed(parts: Column) -> Column:
+        before = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("before")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")))["before"]
+        return F.flatten(F.zip_with(parts, before, lambda c, at: F.transform(c["spans"], lambda s: span(s["start"] + at, s["end"] + at, s["value"]))))
+
+    return F.when(text.rlike(pattern), let(let(steps, chunks), placed)).otherwise(empty)

@@ -1,9 +1,13 @@
 """Edit-aware token counts by a segment tree over each document's pre-tokens.
 
-A leaf is a word with the white space after it; a node holds the sum of its
-leaves' tokens. No token crosses the start of a leaf, so after an edit only
-the leaves that it touches, and the next one where the edited text no longer
-ends in white space, are encoded anew; the sums on the path to the root follow.
+A leaf is a word with the white space after it; the nodes above hold the sums
+of FANOUT nodes each, up to the root, whose sum is the document's count. Trees
+are columns of a table: code points of each leaf, and sums level by level. No
+token crosses the start of a leaf, so an edit concerns a *region*: the leaves
+that it touches, and those that follow while the edited text doesn't end in
+white space. To apply edits to a kept tree only the regions' new texts are
+encoded; the sums on the paths from their leaves to the root follow. The
+document's other text is neither read nor encoded again.
 """
 
 from __future__ import annotations
@@ -14,123 +18,217 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import default_tokenizer_path, regex_spans, text_or_empty, word_encoder
+from tessera.llm.common import OTHER_SPACE, default_tokenizer_path, discard, materialize, regex_spans, text_or_empty, word_encoder
 
-LEAF = re.compile(r"[^ \t\n\r]+[ \t\n\r]*|[ \t\n\r]+")
+SPACE = " \t\n\r"
+FANOUT = 16
 #: What the query's edits replace, and by what.
 REDACTIONS = [
-    (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", "<email>"),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
     (r"AKIA[A-Z0-9]{14,}", "<key>"),
     (r"[0-9a-f]{16,}", "<hex>"),
 ]
+EDITS = "array<struct<start:int,end:int,replacement:string>>"
+REGIONS = "array<struct<first:int,last:int,text:string>>"
 
 
-class TokenTree:
-    """Token sums over the leaves of one text; ``sums`` is a heap, the root at 1."""
-
-    def __init__(self, text: str, encoder):
-        self.encoder, self.text_leaves = encoder, LEAF.findall(text)
-        self.starts, at = [], 0
-        for leaf in self.text_leaves:
-            self.starts.append(at)
-            at += len(leaf)
-        self.length, self.encoded = at, 0
-        self.size = 1 << max(0, len(self.text_leaves) - 1).bit_length()
-        tokens = [len(b) // 4 for b in encoder.many(self.text_leaves)]
-        self.sums = [0] * self.size + tokens + [0] * (self.size - len(tokens))
-        for i in range(self.size - 1, 0, -1):
-            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
-
-    @property
-    def tokens(self) -> int:
-        return self.sums[1]
-
-    @property
-    def text(self) -> str:
-        return "".join(self.text_leaves)
-
-    def _set(self, leaf: int, tokens: int) -> None:
-        i = self.size + leaf
-        change = tokens - self.sums[i]
-        while change and i:
-            self.sums[i] += change
-            i >>= 1
-
-    def edit(self, start: int, end: int, new: str) -> None:
-        """Replace [start, end) of the first text; edits come from the last to the first."""
-        if not self.text_leaves:
-            self.text_leaves, self.starts = [""], [0]
-        i = max(0, bisect_right(self.starts, start) - 1)
-        j = max(i, bisect_right(self.starts, max(start, end - 1)) - 1)
-        region = "".join(self.text_leaves[i : j + 1])
-        region = region[: start - self.starts[i]] + new + region[end - self.starts[i] :]
-        # A start at a leaf's first place follows white space, or the text's start.
-        while region and region[-1] not in " \t\n\r" and j + 1 < len(self.text_leaves):
-            j += 1
-            region += self.text_leaves[j]
-        tokens = len(self.encoder.many([region])[0]) // 4
-        self.encoded += tokens
-        self.text_leaves[i : j + 1] = [region] + [""] * (j - i)
-        self._set(i, tokens)
-        for k in range(i + 1, j + 1):
-            self._set(k, 0)
+def leaf_lengths(text: str):
+    """Code points of each leaf; an empty text has one leaf without any."""
+    import numpy as np
+
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(codes):
+        return np.zeros(1, dtype=np.int32)
+    space = (codes == 32) | (codes == 10) | (codes == 9) | (codes == 13)
+    starts = np.flatnonzero(np.r_[True, space[:-1] & ~space[1:]])
+    return np.diff(np.r_[starts, len(codes)]).astype(np.int32)
+
+
+def leaf_words(text: str) -> list[str]:
+    """The word of each leaf, without its white space; '' for one that is all white space."""
+    words = text.split() if not OTHER_SPACE.search(text) else [w for w in re.split(r"[ \t\n\r]+", text) if w]
+    return ["", *words] if not text or text[0] in SPACE else words
+
+
+def sums_of(tokens):
+    """Sums of all levels: the leaves', then those of FANOUT nodes each, the root's last."""
+    import numpy as np
+
+    levels = [tokens]
+    while len(levels[-1]) > 1:
+        levels.append(np.add.reduceat(levels[-1], np.arange(0, len(levels[-1]), FANOUT)))
+    return np.concatenate(levels)
+
+
+def add_to(sums, leaves: int, leaf: int, change: int) -> None:
+    """Add to a leaf's sum and to those on its path to the root."""
+    first, size = 0, leaves
+    sums[leaf] += change
+    while size > 1:
+        first, size, leaf = first + size, -(-size // FANOUT), leaf // FANOUT
+        sums[first + leaf] += change
 
 
 def in_order(edits: list, length: int) -> list[tuple[int, int, str]]:
-    """The edits that hold, by start: within the text, and none into the one before."""
+    """The edits that hold, by start: within the text, and none into the one before; of those that start together the longest."""
     kept, last = [], 0
-    for e in sorted(edits, key=lambda e: (e["start"], e["end"])):
+    for e in sorted(edits, key=lambda e: (e["start"], -e["end"])):
         if last <= e["start"] <= e["end"] <= length:
             kept.append((e["start"], e["end"], e["replacement"] or ""))
             last = e["end"]
     return kept
 
 
+def regions_of(text: str, lengths, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(first leaf, last leaf, new text) for ``edits`` in order; regions don't overlap."""
+    starts, at = [], 0
+    for n in lengths:
+        starts.append(at)
+        at += int(n)
+    starts.append(at)
+    leaves = len(lengths)
+    leaf = lambda place: min(bisect_right(starts, place, hi=leaves) - 1, leaves - 1)
+    out, k = [], 0
+    while k < len(edits):
+        first = last = leaf(edits[k][0])
+        pieces, place, end = [], starts[first], ""
+        while True:
+            while k < len(edits) and leaf(edits[k][0]) <= last:
+                start, stop, new = edits[k]
+                pieces += [text[place:start], new]
+                end = new[-1:] or text[max(place, start - 1) : start] or end
+                place, last, k = stop, max(last, leaf(max(start, stop - 1))), k + 1
+            ends_with = text[starts[last + 1] - 1] if starts[last + 1] > place else end
+            if not ends_with or ends_with in SPACE or last + 1 == leaves:
+                break
+            last += 1
+        pieces.append(text[place : starts[last + 1]])
+        out.append((first, last, "".join(pieces)))
+    return out
+
+
+def list_column(arrays: list, kind):
+    """An Arrow list column of NumPy arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = np.cumsum([0, *(len(a) for a in arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
+def token_trees(docs: DataFrame, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """A tree for each row of ``docs``: its id, leaf_chars and sums, and the regions of its edits.
+
+    ``edits`` as in :func:`count_tokens`. A null text is empty. A tree takes
+    about two numbers for each word, whatever the text's length; a task holds
+    64 texts with their trees at a time.
+    """
+    path = tokenizer or default_tokenizer_path()
+    edits = F.coalesce(edits.cast(EDITS), F.array().cast(EDITS)) if edits is not None else F.array().cast(EDITS)
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), edits.alias("edits"))
+    id_type = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encoder = word_encoder(path)
+        region = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("text", pa.string())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = part.column(1).to_pylist()
+                lengths = [leaf_lengths(t) for t in texts]
+                sums = [sums_of(n) for n in encoder.counts([leaf_words(t) for t in texts])]
+                kept = [in_order(c, len(t)) for c, t in zip(part.column(2).to_pylist(), texts, strict=True)]
+                found = [[{"first": a, "last": b, "text": new} for a, b, new in regions_of(t, n, c)] if c else [] for t, n, c in zip(texts, lengths, kept, strict=True)]
+                counts = [len(c) for c in kept]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), list_column(lengths, pa.int32()), list_column(sums, pa.int32()), pa.array(found, region), pa.array(counts, pa.int64())],
+                    names=["id", "leaf_chars", "sums", "regions", "n_edits"],
+                )
+
+    return rows.mapInArrow(run, f"id {id_type}, leaf_chars array<int>, sums array<int>, regions {REGIONS}, n_edits long").withColumnRenamed("id", id_col)
+
+
+def apply_edits(trees: DataFrame, id_col: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
+    """Apply each tree's ``regions`` to it; no text but theirs is encoded.
+
+    Returns ``id_col``, n_tokens (the root before), n_edits, n_tokens_after
+    (the root after), n_encoded, leaf_chars and sums (the tree after; the
+    leaves that an edit joined to the one before are left empty).
+    """
+    path = tokenizer or default_tokenizer_path()
+    id_type = dict(trees.dtypes)[id_col]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        encoder = word_encoder(path)
+        for batch in batches:
+            before = [int(s[-1]) for s in (x.values.to_numpy(zero_copy_only=False) for x in batch.column(2))]
+            after, encoded, changed = list(before), [0] * len(before), {}
+            touched = np.flatnonzero(np.asarray(batch.column(3).value_lengths()) > 0).tolist()
+            for row in touched:
+                sums = np.array(batch.column(2)[row].values.to_numpy(zero_copy_only=False))
+                lengths = np.array(batch.column(1)[row].values.to_numpy(zero_copy_only=False))
+                regions = batch.column(3)[row].as_py()
+                for r, ids in zip(regions, encoder.many([r["text"] for r in regions]), strict=True):
+                    n = len(ids) // 4
+                    encoded[row] += n
+                    for leaf in range(r["first"], r["last"] + 1):
+                        add_to(sums, len(lengths), leaf, (n if leaf == r["first"] else 0) - int(sums[leaf]))
+                        lengths[leaf] = len(r["text"]) if leaf == r["first"] else 0
+                after[row], changed[row] = int(sums[-1]), (lengths, sums)
+            own = [c if not touched else list_column([changed[i][k] if i in changed else c[i].values.to_numpy(zero_copy_only=False) for i in range(len(before))], pa.int32()) for k, c in enumerate(batch.columns[1:3])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.int64()), batch.column(4), pa.array(after, pa.int64()), pa.array(encoded, pa.int64()), *own], names=[id_col, "n_tokens", "n_edits", "n_tokens_after", "n_encoded", "leaf_chars", "sums"])
+
+    return trees.select(id_col, "leaf_chars", "sums", "regions", "n_edits").mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, n_edits long, n_tokens_after long, n_encoded long, leaf_chars array<int>, sums array<int>")
+
+
 def count_tokens(docs: DataFrame, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, with_tree: bool = False) -> DataFrame:
-    """Token counts of each text before and after its edits.
+    """Token counts of each text before and after its edits, from kept trees.
 
     ``edits`` is an array of structs (start, end, replacement): code points of
     the text, end exclusive. They are applied together; one that starts before
-    the end of another, or ends after the text, is left out. A null text is
-    empty, a null array has no edits, a null replacement deletes. Rows that
-    repeat are counted each; an empty table gives no rows.
+    the end of another, or ends after the text, is left out, and of those that
+    start together the longest holds. A null text is empty, a null array has
+    no edits, a null replacement deletes. Rows that repeat are counted each;
+    an empty table gives no rows; very long texts take memory in proportion to
+    their words. The trees are kept as a table, and the edits applied to it.
 
     Returns ``id_col``, n_tokens, n_edits, n_tokens_after, n_encoded (tokens
-    that were encoded again) and, if asked for, tree (array, a heap of sums
-    after the edits; empty where there were none).
+    that were encoded again) and, if asked for, the tree after the edits
+    (leaf_chars, sums).
     """
+    trees = materialize(token_trees(docs, edits, id_col, text_col, tokenizer), "trees")
+    found = apply_edits(trees, id_col, tokenizer)
+    if with_tree:
+        return found
+    counts = materialize(found.drop("leaf_chars", "sums"), "counts")
+    discard(trees)
+    return counts
+
+
+def with_token_counts(docs: DataFrame, name: str, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """``docs`` with the number of tokens of each text (a null one has 0) as column ``name``."""
     path = tokenizer or default_tokenizer_path()
-    kind = "array<struct<start:int,end:int,replacement:string>>"
-    edits = F.coalesce(edits.cast(kind), F.array().cast(kind)) if edits is not None else F.array().cast(kind)
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), edits.alias("edits"))
-    id_type = dict(docs.dtypes)[id_col]
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         encoder = word_encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
-                before = [len(b) // 4 for b in encoder.many(texts)]
-                out: list[tuple] = []
-                for text, n, changes in zip(texts, before, part.column(2).to_pylist(), strict=True):
-                    if not (changes := in_order(changes, len(text))):
-                        out.append((n, 0, n, 0, []))
-                        continue
-                    tree = TokenTree(text, encoder)
-                    for change in reversed(changes):
-                        tree.edit(*change)
-                    out.append((n, len(changes), tree.tokens, tree.encoded, tree.sums if with_tree else []))
-                columns = list(zip(*out, strict=True))
-                arrays = [part.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded", "tree"])
-
-    found = rows.mapInArrow(run, f"id {id_type}, n_tokens long, n_edits long, n_tokens_after long, n_encoded long, tree array<long>")
-    found = found.withColumnRenamed("id", id_col)
-    return found if with_tree else found.drop("tree")
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                counts = [int(n.sum()) for n in encoder.counts([leaf_words(t) for t in texts])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*docs.columns, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def redactions(text: Column, kinds: list[tuple[str, str]] = REDACTIONS) -> Column:

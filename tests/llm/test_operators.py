@@ -125,6 +125,40 @@ def test_packing_loss_limit(spark, sf_dir):
         assert r.loss_tokens == max(0, r.start + r.length - max(r.start, r.doc_id % 7 * 20))
         loss[r.sequence_id] += r.loss_tokens
     assert max(loss.values()) <= 180
+    for wrong in ({"max_loss": 0}, {"max_segments": 0}, {"max_tokens": 0}):
+        with pytest.raises(ValueError):
+            packing.pack(d, **wrong)
+
+
+def test_packing_limits_bind(spark):
+    """Prompts fill sequences whose loss-bearing tokens are used up; segments are limited too."""
+    d = real(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", packing.first_line(F.col("text")).alias("prompt"))
+    rows = packing.pack(d, prompt_chars=F.col("prompt")).collect()
+    firsts = {r.doc_id: len(word_encoder(default_tokenizer_path()).many([(r.text or "")[: r.prompt]])[0]) // 4 for r in d.collect()}
+    tokens, loss, segments = Counter(), Counter(), Counter()
+    for r in rows:
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, firsts[r.doc_id]))
+        tokens[r.sequence_id] += r.length
+        loss[r.sequence_id] += r.loss_tokens
+        segments[r.sequence_id] += 1
+    assert max(tokens.values()) <= 2048 and max(loss.values()) <= packing.MAX_LOSS and max(segments.values()) <= packing.MAX_SEGMENTS
+    full = [s for s, n in tokens.items() if n == 2048]
+    assert len(full) > 0.8 * sum(tokens.values()) / 2048
+    assert sum(loss[s] > packing.MAX_LOSS - 8 for s in full) > 0.1 * len(full)
+    short = packing.pack(spark.range(3000).selectExpr("id AS doc_id", "concat('w', id) AS text").coalesce(1), prompt_chars=F.lit(0)).groupBy("sequence_id").count()
+    assert short.agg(F.max("count")).first()[0] == packing.MAX_SEGMENTS
+
+
+def test_packing_cuts_prompts_only_where_no_loss_is_left():
+    packer = packing.Packer(10, 5, 4, 8)
+    for doc, (length, first) in enumerate([(9, 5), (9, 9), (6, 0), (1, 1), (7, 2)]):
+        packer.add(doc, length, first)
+    packer.finish()
+    loss, covered = Counter(), Counter()
+    for doc, _, n, q, _, lost in packer.pieces:
+        loss[q] += lost
+        covered[doc] += n
+    assert max(loss.values()) <= 4 and covered == {0: 9, 1: 9, 2: 6, 3: 1, 4: 7}
 
 
 @pytest.mark.parametrize("text", ["", " \n\t ", "don't can’t 1234 5.6", "a\xa0b\x85c\x1cd", "<|endoftext|> foo<|startoftext|>bar", "ΑΣ ΣΑΣ. İI ß ẞ", "日本語 🙂🙂", "x" * 300, "a ́b Ünï,!! É***"])
@@ -137,18 +171,37 @@ def test_word_encoder(text):
 
 def test_token_trees():
     encoder, rng = word_encoder(default_tokenizer_path()), np.random.default_rng(3)
-    for _ in range(150):
-        text = "".join(rng.choice(list("ab cd\n e.,'"), rng.integers(0, 40)))
-        cuts = sorted(rng.integers(0, len(text) + 1, 2 * rng.integers(1, 4)).tolist())
+    size = lambda t: len(encoder.many([t])[0]) // 4
+    for _ in range(400):
+        text = "".join(rng.choice(list("ab cd\n e.,'\x0b\xa0"), rng.integers(0, 60)))
+        cuts = sorted(rng.integers(0, len(text) + 1, 2 * rng.integers(1, 6)).tolist())
         edits = [{"start": a, "end": b, "replacement": "".join(rng.choice(list("xy z"), rng.integers(0, 4)))} for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
-        held = token_counts.in_order(edits, len(text))
-        tree, want = token_counts.TokenTree(text, encoder), text
-        assert tree.tokens == len(encoder.many([text])[0]) // 4
+        held, want = token_counts.in_order(edits, len(text)), text
+        lengths, tokens = token_counts.leaf_lengths(text), encoder.counts([token_counts.leaf_words(text)])[0]
+        assert lengths.sum() == len(text) and len(lengths) == len(tokens)
+        sums = token_counts.sums_of(tokens)
+        assert sums[-1] == size(text)
         for a, b, new in reversed(held):
-            tree.edit(a, b, new)
             want = want[:a] + new + want[b:]
-        assert tree.text == want
-        assert tree.tokens == tree.sums[1] == len(encoder.many([want])[0]) // 4
+        leaves, at = [text[e - n : e] for n, e in zip(lengths.tolist(), np.cumsum(lengths).tolist(), strict=True)], -1
+        for first, last, new in token_counts.regions_of(text, lengths, held):
+            assert first > at
+            at = last
+            leaves[first : last + 1] = [new] + [""] * (last - first)
+            for k in range(first, last + 1):
+                token_counts.add_to(sums, len(lengths), k, (size(new) if k == first else 0) - int(sums[k]))
+        assert "".join(leaves) == want and sums[-1] == size(want)
+
+
+def test_token_counts_of_long_texts(spark):
+    """Only the regions are encoded again; work is in proportion to the edits."""
+    text = "some words of a text, then bob.smith@mail.example.com and more. " * 20_000 + "x" * 70 + "@example.com " + "0123456789abcdef" * 2 + "@example.org"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = token_counts.count_tokens(d, token_counts.redactions(F.col("text")), with_tree=True).first()
+    size = lambda t: len(word_encoder(default_tokenizer_path()).many([t])[0]) // 4
+    after = re.sub(token_counts.REDACTIONS[0][0], "<email>", text)
+    assert (r.n_edits, r.n_tokens, r.n_tokens_after) == (20_002, size(text), size(after))
+    assert r.n_encoded < r.n_tokens / 2 and r.sums[-1] == r.n_tokens_after and sum(r.leaf_chars) == len(after)
 
 
 def test_token_counts(docs, none):
