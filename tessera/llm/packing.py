@@ -1,14 +1,15 @@
 """Packing token sequences by a dot-product heuristic over several limits.
 
-A document's tokens are cut into full sequences; what is left of each waits in
+A document's tokens are cut into pieces that a sequence can hold, which wait in
 a bounded pool. An open sequence takes, again and again, the waiting piece
 whose demand vector (tokens, segments, loss-bearing tokens; each as a share of
 its limit) has the largest dot product with the room left, among those that
-fit. If none fits, the best one is cut to the room left, so sequences end up
-full. Each task packs what it reads: there is no shuffle, and memory is
-bounded by the pool. The few sequences that stay short (the last of a task, or
-where a limit other than tokens binds) are cut at powers of two, which need no
-padding.
+fit. If none fits, the best one is cut to the room left. A document's prompt
+bears no loss: where a sequence's loss-bearing tokens are used up, prompts of
+other documents fill it. Each task packs what it reads: there is no shuffle,
+and of a document only the tokens that still wait are held. The sequences that
+stay short (the last of a task, or where a limit other than tokens binds) are
+cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.common import default_tokenizer_path, word_encoder
 
@@ -30,10 +32,12 @@ class Packer:
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, pool: int):
         import numpy as np
 
+        if min(max_tokens, max_segments, max_loss, pool) < 1:
+            raise ValueError("Every limit of a sequence must be 1 at least")
         self.np = np
-        self.limits = np.array([max_tokens, max_segments, max_loss], dtype=np.float64)
+        self.limits = (float(max_tokens), float(max_segments), float(max_loss))
         self.max_tokens, self.max_segments, self.max_loss, self.size = max_tokens, max_segments, max_loss, pool
-        self.need = np.zeros((pool, 3))  # of the waiting pieces, as shares of the limits
+        self.need = np.zeros((3, pool))  # of the waiting pieces, as shares of the limits
         self.waiting: list[list[int]] = []  # doc, start, end, first loss-bearing token
         self.pieces: list[tuple[int, int, int, int, int, int]] = []
         self.sequences = 0
@@ -48,16 +52,16 @@ class Packer:
 
     def add(self, doc: int, length: int, first: int) -> None:
         start = 0
-        while (n := self.fitting(start, length, first, self.max_tokens, self.max_loss)) < length - start or n == self.max_tokens:
-            if n == 0:
-                break
-            self.close([(doc, start, start + n, self.loss(start, start + n, first))])
+        while start < length:
+            n = self.fitting(start, length, first, self.max_tokens, self.max_loss)
+            if n == self.max_tokens:
+                self.close([(doc, start, start + n, self.loss(start, start + n, first))])
+            else:
+                self.wait([doc, start, start + n, first])
+                if len(self.waiting) == self.size:
+                    while len(self.waiting) > self.size // 2:
+                        self.fill()
             start += n
-        if start < length:
-            self.wait([doc, start, length, first])
-            if len(self.waiting) == self.size:
-                while len(self.waiting) > self.size // 2:
-                    self.fill()
 
     def wait(self, item: list[int]) -> None:
         self.waiting.append(item)
@@ -65,13 +69,14 @@ class Packer:
 
     def rate(self, at: int) -> None:
         _, start, end, first = self.waiting[at]
-        self.need[at] = (end - start, 1, self.loss(start, end, first)) / self.limits
+        a, b, c = self.limits
+        self.need[:, at] = ((end - start) / a, 1 / b, self.loss(start, end, first) / c)
 
     def take(self, at: int) -> list[int]:
         item, last = self.waiting[at], self.waiting.pop()
         if at < len(self.waiting):
             self.waiting[at] = last
-            self.need[at] = self.need[len(self.waiting)]
+            self.need[:, at] = self.need[:, len(self.waiting)]
         return item
 
     def fill(self) -> None:
@@ -79,14 +84,17 @@ class Packer:
         np, held = self.np, []
         tokens, segments, loss = self.max_tokens, self.max_segments, self.max_loss
         while self.waiting and tokens and segments:
-            room = np.array([tokens, segments, loss]) / self.limits
-            need = self.need[: len(self.waiting)]
-            worth = need @ room
-            fits = (need <= room + 1e-12).all(axis=1)
+            room = (tokens / self.limits[0], segments / self.limits[1], loss / self.limits[2])
+            sizes, ones, lossy = self.need[:, : len(self.waiting)]
+            worth = sizes * room[0] + ones * room[1] + lossy * room[2]
+            fits = (sizes <= room[0] + 1e-12) & (lossy <= room[2] + 1e-12)
             if fits.any():
                 doc, start, end, first = self.take(int(np.where(fits, worth, -1).argmax()))
             else:
                 at = int(worth.argmax())
+                if not loss:  # only prompts can be cut to the room left
+                    prompts = lossy < sizes * (self.limits[0] / self.limits[2]) - 1e-12
+                    at = int(np.where(prompts, worth, -1).argmax())
                 item = self.waiting[at]
                 doc, start, _, first = item
                 n = self.fitting(start, item[2], first, tokens, loss)
@@ -122,47 +130,63 @@ class Packer:
             self.fill()
 
 
+#: Limits of a sequence beside its tokens, for instruction data.
+MAX_SEGMENTS, MAX_LOSS = 16, 1920
+
+
+def first_line(text: Column) -> Column:
+    """Code points of the prompt of a text: its first line, if others follow; else it has none."""
+    return F.coalesce(F.instr(text, "\n"), F.lit(0))
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     prompt_col: str | None = None,
+    prompt_chars: Column | None = None,
     max_tokens: int = 2048,
-    max_segments: int = 512,
-    max_loss: int | None = None,
+    max_segments: int = MAX_SEGMENTS,
+    max_loss: int = MAX_LOSS,
     tokenizer: str | None = None,
     end_id: int = END_ID,
-    pool: int = 1024,
+    pool: int = 512,
 ) -> DataFrame:
     """Pieces of documents, placed in sequences.
 
     A document is the ids of its whole text and ``end_id``; a null text is
     empty, so it holds ``end_id`` alone. With ``prompt_col`` (a column of
-    token counts; null is 0) so many leading tokens bear no loss. Each id lies
-    in exactly one piece. Rows with equal ids are separate documents, null ids
-    stay null, other columns are not read, an empty table gives no rows.
+    token counts; null is 0) so many leading tokens bear no loss; with
+    ``prompt_chars`` those of the words in so many leading code points. Each
+    id lies in exactly one piece. Rows with equal ids are separate documents,
+    null ids stay null, other columns are not read, an empty table gives no
+    rows. A text of any length is encoded at once; after that only its waiting
+    tokens are held. A limit under 1 is an error.
 
     Returns one row for each piece: doc_id, start, length, ids_crc32 (of the
     ids as little-endian unsigned 32-bit integers), doc_tokens, sequence_id,
     offset (in its sequence, gapless from 0), loss_tokens.
     """
     path = tokenizer or default_tokenizer_path()
-    limit = max_tokens if max_loss is None else max_loss
-    columns = [id_col, text_col] + ([prompt_col] if prompt_col else [])
+    Packer(max_tokens, max_segments, max_loss, pool)  # limits that can't hold fail here
+    prompt = F.col(prompt_col) if prompt_col else prompt_chars if prompt_chars is not None else F.lit(0)
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, packer = word_encoder(path), Packer(max_tokens, max_segments, limit, pool)
+        encoder, packer = word_encoder(path), Packer(max_tokens, max_segments, max_loss, pool)
         base = TaskContext.get().partitionId() << 40
         end = int(end_id).to_bytes(4, "little")
-        docs: dict[int, tuple] = {}  # those that still wait: id, bytes of ids
+        held: dict[int, tuple] = {}  # of documents that still wait: id, tokens, first token held, bytes of ids
         count, kind = 0, None
 
         def out() -> pa.RecordBatch:
-            rows = [(docs[d][0], s, n, zlib.crc32(docs[d][1][4 * s : 4 * (s + n)]), len(docs[d][1]) // 4, base + q, o, lost) for d, s, n, q, o, lost in packer.pieces]
+            rows = []
+            for d, s, n, q, o, lost in packer.pieces:
+                doc, total, first, ids = held[d]
+                rows.append((doc, s, n, zlib.crc32(ids[4 * (s - first) : 4 * (s - first + n)]), total, base + q, o, lost))
             packer.pieces.clear()
             columns = list(zip(*rows, strict=True)) or [()] * 8
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
@@ -173,16 +197,21 @@ def pack(
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                firsts = part.column(2).to_pylist() if prompt_col else [0] * len(texts)
-                for doc, ids, first in zip(part.column(0).to_pylist(), encoder.many(texts), firsts, strict=True):
-                    docs[count] = (doc, ids + end)
-                    packer.add(count, len(ids) // 4 + 1, int(first or 0))
+                firsts = [max(0, int(n or 0)) for n in part.column(2).to_pylist()]
+                found = encoder.many(texts)
+                if not prompt_col:
+                    firsts = [len(b) // 4 for b in encoder.many([t[:n] for t, n in zip(texts, firsts, strict=True)])]
+                for doc, ids, first in zip(part.column(0).to_pylist(), found, firsts, strict=True):
+                    held[count] = (doc, len(ids) // 4 + 1, 0, ids + end)
+                    packer.add(count, len(ids) // 4 + 1, first)
                     count += 1
                 yield out()
-                waits = {w[0] for w in packer.waiting}
-                docs = {d: v for d, v in docs.items() if d in waits}
+                least: dict[int, int] = {}
+                for d, start, _, _ in packer.waiting:
+                    least[d] = min(start, least.get(d, start))
+                held = {d: (held[d][0], held[d][1], s, held[d][3][4 * (s - held[d][2]) :]) for d, s in least.items()}
         if kind is not None:
             packer.finish()
             yield out()
 
-    return docs.select(*columns).mapInArrow(run, PIECE_SCHEMA.format(id=id_type))
+    return docs.select(id_col, text_col, prompt.cast("long").alias("prompt")).mapInArrow(run, PIECE_SCHEMA.format(id=id_type))

@@ -14,7 +14,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), prompt_chars=packing.first_line(F.col("text")))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
