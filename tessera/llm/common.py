@@ -187,13 +187,25 @@ class WordEncoder:
         get = self.memo.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
+    def heads(self, texts: list[str], chars: list[int]) -> list[int]:
+        """How many ids the words that start in the first ``chars`` code points of each text have, just after ``many`` of it."""
+        if not self.by_words:
+            return [len(b) // 4 for b in self.many([t[:n] for t, n in zip(texts, chars, strict=True)])]
+        get = lambda w: len(self.memo[w] if w in self.memo else self._whole([w])[w])
+        return [sum(map(get, split_words(self._whole_words(t, n)))) // 4 if n else 0 for t, n in zip(texts, chars, strict=True)]
+
+    @staticmethod
+    def _whole_words(text: str, chars: int) -> str:
+        rest = WORD_END.search(text, chars)
+        return text[:chars] if text[chars - 1 : chars].isspace() else text[: rest.start() if rest else len(text)]
+
     def counts(self, words: list[list[str]]) -> list:
         """The number of ids of each word of each list; words hold no ASCII white space."""
         import numpy as np
 
         if not self.by_words:
             raise ValueError("Token counts by words need a vocabulary that never joins text across white space")
-        seen = {w for some in words for w in some} - {""}
+        seen = set().union(*words) - {""}
         missing = seen.difference(self.sizes)
         if len(self.sizes) + len(missing) > self.limit:
             self.sizes, missing = {"": 0}, seen
@@ -215,6 +227,9 @@ OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2
 PROBES = ["", "The cat, the dog.", "two  blanks\tand\n\nlines ", "don't can\u2019t 1234 5.6 x2y", "\u00dcn\u00ef,!! \u00c9*** stra\u00dfe", "a\xa0b\x0bc\x85d", "\u65e5\u672c\u8a9e \U0001f642\U0001f642 end."]
 
 
+WORD_END = re.compile(r"[\s\x1c-\x1f]")
+
+
 def split_words(text: str) -> list[str]:
     """Words of ``text`` between runs of white space as the tokenizer knows it."""
     if SEPARATORS.search(text):

@@ -157,7 +157,7 @@ def pack(
     A document is the ids of its whole text and ``end_id``; a null text is
     empty, so it holds ``end_id`` alone. With ``prompt_col`` (a column of
     token counts; null is 0) so many leading tokens bear no loss; with
-    ``prompt_chars`` those of the words in so many leading code points. Each
+    ``prompt_chars`` those of the words that start in so many leading code points. Each
     id lies in exactly one piece. Rows with equal ids are separate documents,
     null ids stay null, other columns are not read, an empty table gives no
     rows. A text of any length is encoded at once; after that only its waiting
@@ -200,7 +200,7 @@ def pack(
                 firsts = [max(0, int(n or 0)) for n in part.column(2).to_pylist()]
                 found = encoder.many(texts)
                 if not prompt_col:
-                    firsts = [len(b) // 4 for b in encoder.many([t[:n] for t, n in zip(texts, firsts, strict=True)])]
+                    firsts = encoder.heads(texts, firsts)
                 for doc, ids, first in zip(part.column(0).to_pylist(), found, firsts, strict=True):
                     held[count] = (doc, len(ids) // 4 + 1, 0, ids + end)
                     packer.add(count, len(ids) // 4 + 1, first)
