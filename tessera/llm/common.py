@@ -50,18 +50,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: A key that holds over 1 / HOT_KEYS of the rows is joined by a broadcast: there are fewer than HOT_KEYS such.
-HOT_KEYS = 1024
+#: Tables of so few rows are broadcast whole; of larger ones only keys that hold over 1 / HOT_KEYS of the rows, of which there are fewer than HOT_KEYS.
+SMALL_ROWS, HOT_KEYS = 20_000, 1024
 
 
-def spread_join(rows: DataFrame, side: DataFrame, on: list[str], count: str) -> DataFrame:
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has SMALL_ROWS rows at most; reads no more than that."""
+    return df.select(F.lit(1)).limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], count: str, small: bool | None = None) -> DataFrame:
     """Inner join of ``rows`` with one row for each key of ``side``.
 
     ``count`` is the column of ``side`` with the number of rows that have the
-    key. Frequent keys, under HOT_KEYS of them, are broadcast, so that their
-    rows stay where they are; all others are shuffled. Both are read twice and
-    keys must not be null.
+    key. A small side (``small`` where it is known) is broadcast. Of a larger
+    one the frequent keys are, under HOT_KEYS of them, so that their rows stay
+    where they are; all others are shuffled. Both are then read twice. Keys
+    must not be null.
     """
+    if is_small(side) if small is None else small:
+        return rows.join(F.broadcast(side), on)
     total = side.agg(F.sum(count)).first()[0] or 0
     hot = side.where(F.col(count) * HOT_KEYS > total)
     cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(side.where(F.col(count) * HOT_KEYS <= total), on)

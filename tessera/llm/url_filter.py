@@ -1,19 +1,19 @@
 """URL filter by a path-template tree, in built-in functions only.
 
-Explicit rules decide first. For all other urls each host has a tree of path
-templates: numbers and long hexadecimal runs in a segment become wildcards at
-once, and a segment with many values, few pages each, becomes one where the
-data show it. Sibling branches whose labelled purity doesn't differ
-significantly from their common one are merged; a template whose smoothed
-purity is under the threshold is rejected.
-
-Labels come from the rules themselves (an allowed page is good, a blocked one
-bad) and from words in host names. Pages are only aggregated by (host,
-template), which combines within tasks, and joined back on it.
-
-:func:`judge` knows a template by its own labels and those it is merged with.
-:func:`judge_by_tree` also lets labels reach templates that have none, from
-other branches and other hosts, and follows paths to their full depth.
+Explicit rules decide first, and they are the labels: an allowed page is good,
+a blocked one bad (callers may label other pages). For all urls each host has
+a tree of path templates. A segment becomes a wildcard where the data show that
+it varies: many values below one template with few pages each, on the host or,
+where the host has too few pages to tell, over all hosts; values with a
+noticeable share of the pages stay. Sibling branches whose labelled purity
+doesn't differ significantly from their common one are merged. A template's
+purity is smoothed step by step: the prior, its host's, its parent's, the same
+template's over all hosts (one voice for each host, so a large one outweighs
+none), its own with those it is merged with. A template whose smoothed purity is
+under the threshold is rejected, with every page that it holds.
+
+Pages are only aggregated, which combines within tasks, and joined by keys of
+which the frequent ones are broadcast (see ``spread_join``).
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, is_small, materialize, spread_join
 
-# The rules, and words of host names that mark a page as bad.
+# The rules.
 RULES = [
     ("allow", "com/"),
     ("block", "example.com/en/"),
@@ -33,10 +33,9 @@ RULES = [
     ("block", "net/es/"),
     ("block", "net/fr/"),
 ]
-BAD_WORDS = ["ads", "adserver", "bet", "bets", "betting", "casino", "malware", "phishing", "pills", "porn", "spam", "track", "tracker", "viagra", "warez", "xxx"]
 
-DEPTH = 4  # segments of a template; what follows counts as one more
-MANY_VALUES, FEW_PAGES = 20, 3.0  # a segment is variable with so many values and so few pages for each
+MANY_VALUES, FEW_PAGES = 20, 3  # a segment varies with over so many values and under so many pages for each
+LITERAL_PAGES, LITERAL_SHARE = 3, 20  # a value of it stays with so many pages and 1 / so many of all
 PRIOR_PURITY, PRIOR_WEIGHT, THRESHOLD, DEVIATIONS = 0.6, 4.0, 0.5, 1.96
 
 
@@ -59,122 +58,120 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return rule, verdict
 
 
-def segments(path: Column, whole: bool = False) -> Column:
-    """At most DEPTH + 1 segments, or all, with numbers and hexadecimal runs as wildcards."""
-    all_ = F.filter(F.split(path, "/"), lambda s: s != "")
-    some = F.transform(all_ if whole else F.slice(all_, 1, DEPTH), lambda s: F.regexp_replace(s, "[0-9a-fA-F]{8,}|[0-9]+", "*"))
-    if whole:
-        return some
-    return F.when(F.size(all_) > DEPTH, F.concat(some, F.array(F.lit("**")))).otherwise(some)
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def labelled_rows(pages: DataFrame, rules: list[tuple[str, str]], bad_words: list[str], id_col: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The rows with their rules and segments, and the labels of each (host, segs)."""
-    rows = pages.select(F.col(id_col).alias("id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), segments(F.col("path"), whole).alias("segs"))
-    marked = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*(F.lit(w) for w in bad_words))) if bad_words else F.lit(False)
-    good = (F.col("by_rule") == "allow") & ~marked
-    bad = marked | (F.col("by_rule") == "block")
-    count = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0))
-    found = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), count(good).alias("good"), count(bad).alias("bad"))
-    return rows, found
-
-
-def one_level(tree: DataFrame) -> DataFrame:
-    """``tree`` with its column seg appended to the template ``up``, as a wildcard where it varies."""
-    values = tree.where("seg IS NOT NULL").groupBy("host", "up", "seg").agg(F.sum("n").alias("n"))
-    varied = values.groupBy("host", "up").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n")).where((F.col("values") > MANY_VALUES) & (F.col("n") < FEW_PAGES * F.col("values"))).select("host", "up", F.lit(True).alias("varied"))
-    step = F.when(F.col("seg").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("varied"), "*").otherwise(F.col("seg"))))
-    return tree.join(varied, ["host", "up"], "left").withColumn("up", F.concat("up", step)).drop("varied", "seg")
+def templates(found: DataFrame) -> DataFrame:
+    """``found`` (host, segs, n, good, bad) with the template of each path, to its full depth.
 
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad_words: list[str] = BAD_WORDS, id_col: str = "page_id") -> DataFrame:
-    """A verdict for each row of ``pages``.
-
-    A null url, or one without ``://``, has an empty host and path and is
-    judged as a template of the empty host; equal urls have equal verdicts;
-    rows that repeat are judged each; an empty table gives no rows; other
-    columns are not read.
-
-    Returns ``id_col``, host, path, rule (null if none fits), verdict,
-    template, purity double.
+    From the root down, a table for each level. A path ends where its segments
+    do, or where nothing else anywhere shares its template so far: then no
+    level below has anything to tell about it, and one long path costs no more
+    levels than others share with it.
     """
-    rows, found = labelled_rows(pages, rules, bad_words, id_col)
-
-    # From the root down: which segments vary, given the template above them.
-    # Each level reads the one before twice: tables keep the plans short.
-    tree = materialize(found.withColumn("up", F.lit("")), "templates")
-    for d in range(1, DEPTH + 1):
-        tree = tree.withColumn("seg", F.try_element_at("segs", F.lit(d)))
-        tree = materialize(one_level(tree), "templates")
-    rest = F.when(F.size("segs") > DEPTH, "/**").otherwise("")
-    tree = tree.select("host", "segs", "n", "good", "bad", F.concat("up", rest).alias("template"))
-
-    nodes = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    left, ended, used, d = materialize(found.withColumn("up", F.lit("")).withColumn("alone", F.lit(False)), "templates"), [], [], 0
+    while True:
+        over = F.col("alone") | (F.size("segs") == d)
+        ended.append(left.where(over).select("host", "segs", "n", "good", "bad", F.col("up").alias("template")))
+        used.append(left)
+        level = left.where(~over).withColumn("seg", F.try_element_at("segs", F.lit(d + 1))).drop("alone")
+        values = materialize(level.groupBy("host", "up", "seg").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")), "values")
+        if values.isEmpty():
+            discard(values)
+            break
+        d += 1
+        small = is_small(values)  # then all that follows from it is, and needs no tables
+        kept = []
+
+        def keep(df: DataFrame, name: str, small: bool = small, kept: list = kept) -> DataFrame:
+            if small:
+                return df
+            kept.append(materialize(df, name))
+            return kept[-1]
+
+        own = keep(values.groupBy("host", "up").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_own"), F.sum("rows").alias("n_rows")), "own")
+        world = values.groupBy("up", "seg").agg(F.sum("n").alias("n")).groupBy("up").agg(F.count(F.lit(1)).alias("all_values"), F.sum("n").alias("all_n"))
+        world = keep(world.join(own.groupBy("up").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n_rows").alias("all_rows")), "up"), "world")
+        varies = lambda n, values: (values > MANY_VALUES) & (n < FEW_PAGES * values)
+        by_host, by_all = varies(F.col("n_own"), F.col("n_values")), varies(F.col("all_n"), F.col("all_values"))
+        known = spread_join(own, world, ["up"], "hosts", small or None)
+        known = keep(known.select("host", "up", "n_own", "n_values", (by_host | ((F.col("n_values") <= MANY_VALUES) & by_all)).alias("varies"), (F.col("all_rows") == 1).alias("alone")), "known")
+        literal = (F.col("n") >= LITERAL_PAGES) & (F.col("n") * LITERAL_SHARE >= F.col("n_own"))
+        steps = spread_join(values, known, ["host", "up"], "n_values", small or None)
+        steps = keep(steps.select("host", "up", "seg", "rows", "alone", F.when(F.col("varies") & ~literal, "*").otherwise(F.col("seg")).alias("step")), "steps")
+        both = spread_join(level, steps, ["host", "up", "seg"], "rows", small or None)
+        rest = F.concat("up", F.lit("/"), F.array_join(F.slice("segs", d, F.size("segs")), "/"))
+        left = materialize(both.select("host", "segs", "n", "good", "bad", F.when(F.col("alone"), rest).otherwise(F.concat("up", F.lit("/"), "step")).alias("up"), "alone"), "templates")
+        discard(values, *kept)
+    out = materialize(reduce(DataFrame.unionByName, ended), "tree")
+    discard(*used)
+    return out
+
+
+def purities(tree: DataFrame) -> DataFrame:
+    """(host, template, paths, purity, level): the smoothed purity of each template, and the nearest level with labels."""
+    nodes = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum(F.col("good") + F.col("bad")).alias("m"), F.count(F.lit(1)).alias("paths"))
     nodes = materialize(nodes.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1)), "nodes")
-    pooled = nodes.groupBy("host", "parent").agg(F.sum("good").alias("g"), F.sum(F.col("good") + F.col("bad")).alias("m"))
-    labelled, share = F.col("good") + F.col("bad"), F.col("g") / F.col("m")
-    apart = F.abs(F.col("good") / labelled - share) - 0.5 / labelled
-    similar = F.when(labelled > 0, apart <= DEVIATIONS * F.sqrt(share * (1 - share) / labelled)).otherwise(False)
-    nodes = materialize(nodes.join(pooled, ["host", "parent"]).withColumn("similar", similar), "nodes")
-    merged = nodes.where("similar").groupBy("host", "parent").agg(F.sum("good").alias("mg"), F.sum(F.col("good") + F.col("bad")).alias("mm"))
-    nodes = nodes.join(merged, ["host", "parent"], "left")
-    g, m = F.when(F.col("similar"), F.col("mg")).otherwise(F.col("good")), F.when(F.col("similar"), F.col("mm")).otherwise(labelled)
-    nodes = nodes.select("host", "template", ((g + PRIOR_PURITY * PRIOR_WEIGHT) / (m + PRIOR_WEIGHT)).alias("purity"))
-
-    judged = tree.select("host", "segs", "template").join(nodes, ["host", "template"])
-    out = rows.join(judged, ["host", "segs"])
-    method = F.when(F.col("purity") < THRESHOLD, "block").otherwise("allow")
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "template", "purity")
 
-
-def whole_templates(found: DataFrame) -> DataFrame:
-    """host, segs, good, bad and the template to the path's full depth."""
-    open_ = materialize(found.withColumn("up", F.lit("")), "templates")
-    depth = open_.agg(F.max(F.size("segs"))).head()[0] or 0
-    ended = [open_.where(F.size("segs") == 0)]
-    for d in range(1, depth + 1):
-        # Each level reads the one before twice; paths that end are set aside.
-        step = one_level(open_.where(F.size("segs") >= d).withColumn("seg", F.try_element_at("segs", F.lit(d))))
-        open_ = materialize(step, "templates")
-        ended.append(open_.where(F.size("segs") == d))
-    return reduce(DataFrame.unionByName, ended).select("host", "segs", "good", "bad", F.col("up").alias("template"))
+    small, kept = is_small(nodes), [nodes]  # if small, all that follows from it is, and needs no tables
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        if small:
+            return df
+        kept.append(materialize(df, name))
+        return kept[-1]
+
+    def pool(name: str, *keys: str) -> DataFrame:
+        return keep(nodes.groupBy(*keys).agg(F.sum("good").alias(f"g_{name}"), F.sum("m").alias(f"m_{name}"), F.count(F.lit(1)).alias(f"n_{name}")), "pool")
+
+    # What all hosts say about a template: a voice for each that has labels for it.
+    voice = F.when(F.col("m") > 0, F.expr("good * 1000 DIV greatest(m, 1)"))
+    votes = keep(nodes.groupBy("template").agg(F.coalesce(F.sum(voice), F.lit(0)).alias("g_all"), F.count(voice).alias("m_all"), F.count(F.lit(1)).alias("n_all")), "votes")
+    known = spread_join(nodes, pool("parent", "host", "parent"), ["host", "parent"], "n_parent", small or None)
+    share = F.try_divide("g_parent", "m_parent")
+    apart = F.abs(F.try_divide("good", "m") - share) - F.try_divide(F.lit(0.5), "m")
+    known = keep(known.withColumn("similar", F.coalesce(apart <= DEVIATIONS * F.sqrt(F.try_divide(share * (1 - share), "m")), F.lit(False))), "known")
+    merged = known.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("n_merged"), *(F.sum(F.when(F.col("similar"), F.col(c)).otherwise(0)).alias(f"{c}_merged") for c in ("good", "m")))
+    known = spread_join(known, keep(merged, "merged"), ["host", "parent"], "n_merged", small or None)
+    known = spread_join(spread_join(known, pool("host", "host"), ["host"], "n_host", small or None), votes, ["template"], "n_all", small or None)
+    g, m = (F.when(F.col("similar"), F.col(f"{c}_merged")).otherwise(F.col(c)) for c in ("good", "m"))
+    purity = F.lit(PRIOR_PURITY)
+    for good, all_ in ((F.col("g_host"), F.col("m_host")), (F.col("g_parent"), F.col("m_parent")), (F.col("g_all") / 1000, F.col("m_all")), (g, m)):
+        purity = (good + purity * PRIOR_WEIGHT) / (all_ + PRIOR_WEIGHT)
+    level = F.when(F.col("m") > 0, "template").when(F.col("m_all") > 0, "hosts").when(F.col("m_parent") > 0, "parent").when(F.col("m_host") > 0, "host").otherwise("prior")
+    out = materialize(known.select("host", "template", "paths", purity.alias("purity"), level.alias("level")), "purities")
+    discard(*kept)
+    return out
 
 
-def judge_by_tree(pages: DataFrame, rules: list[tuple[str, str]] = RULES, bad_words: list[str] = BAD_WORDS, id_col: str = "page_id") -> DataFrame:
-    """A verdict for each row of ``pages``, from labels anywhere in the trees.
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", good: Column | None = None) -> DataFrame:
+    """A verdict for each row of ``pages``.
 
-    As :func:`judge`, but templates go to the path's full depth, and a
-    template's purity is smoothed towards the pooled purity of its parent,
-    that towards its host's, that towards all hosts' same template and only
-    that towards the prior. Each step weighs PRIOR_WEIGHT pages.
+    A rule's pages are labelled by it; ``good`` (boolean) labels others, null
+    ones stay unlabelled. A null url, or one without ``://``, has an empty host
+    and path and is judged as the root of the empty host; equal urls have equal
+    verdicts; rows that repeat are judged each; an empty table gives no rows;
+    other columns are not read; a path's length and depth are not limited. A
+    segment that is ``*`` itself counts as a wildcard.
 
     Returns ``id_col``, host, path, rule (null if none fits), verdict,
     template, purity double, level (the nearest that has labels: template,
-    parent, host, hosts, or prior if none has) and by (what decides: rule,
+    hosts, parent, host, or prior if none has) and by (what decides: rule,
     tree, or prior).
     """
-    rows, found = labelled_rows(pages, rules, bad_words, id_col, whole=True)
-    tree = whole_templates(found)
-    nodes = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum(F.col("good") + F.col("bad")).alias("m"))
-    nodes = materialize(nodes.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1)), "nodes")
-    pool = lambda df, g, m, *keys: df.groupBy(*keys).agg(F.sum("good").alias(g), F.sum("m").alias(m))
-    nodes = nodes.join(pool(nodes, "g_parent", "m_parent", "host", "parent"), ["host", "parent"])
-    share = F.col("g_parent") / F.col("m_parent")
-    apart = F.abs(F.col("good") / F.col("m") - share) - 0.5 / F.col("m")
-    similar = F.when(F.col("m") > 0, apart <= DEVIATIONS * F.sqrt(share * (1 - share) / F.col("m"))).otherwise(False)
-    nodes = materialize(nodes.withColumn("similar", similar), "nodes")
-    nodes = nodes.join(pool(nodes.where("similar"), "mg", "mm", "host", "parent"), ["host", "parent"], "left")
-    nodes = nodes.join(pool(nodes, "g_host", "m_host", "host"), "host").join(pool(nodes, "g_hosts", "m_hosts", "template"), "template")
-    g, m = (F.when(F.col("similar"), F.col(a)).otherwise(F.col(b)) for a, b in (("mg", "good"), ("mm", "m")))
-    purity = F.lit(PRIOR_PURITY)
-    for good, all_ in ((F.col("g_hosts"), F.col("m_hosts")), (F.col("g_host"), F.col("m_host")), (F.col("g_parent"), F.col("m_parent")), (g, m)):
-        purity = (good + purity * PRIOR_WEIGHT) / (all_ + PRIOR_WEIGHT)
-    level = F.when(F.col("m") > 0, "template").when(F.col("m_parent") > 0, "parent").when(F.col("m_host") > 0, "host").when(F.col("m_hosts") > 0, "hosts").otherwise("prior")
-    nodes = materialize(nodes.select("host", "template", purity.alias("purity"), level.alias("level")), "nodes")
-
-    out = rows.join(tree.select("host", "segs", "template").join(nodes, ["host", "template"]), ["host", "segs"])
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), (good if good is not None else F.lit(None).cast("boolean")).alias("good"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    label = F.coalesce(verdict == "allow", F.col("good"))
+    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), segments(F.col("path")).alias("segs"), label.alias("label"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    found = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), count(F.col("label")).alias("good"), count(~F.col("label")).alias("bad"))
+    tree = templates(found)
+    nodes = purities(tree)
+    judged = materialize(spread_join(tree.select("host", "segs", "template", F.col("n").alias("pages")), nodes, ["host", "template"], "paths"), "judged")
+    discard(tree, nodes)
+    out = spread_join(rows, judged.select("host", "segs", "template", "pages", "purity", "level"), ["host", "segs"], "pages")
     method = F.when(F.col("purity") < THRESHOLD, "block").otherwise("allow")
     by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("level") == "prior", "prior").otherwise("tree")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "template", "purity", "level", by.alias("by"))
