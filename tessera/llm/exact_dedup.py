@@ -2,10 +2,11 @@
 
 Equal texts share a SHA-256 digest. Digests that fill a noticeable share of
 the table are found by Misra-Gries summaries (one for each task, merged by
-addition) and counted exactly; the verified winners, at most ``counters + 1``
-of them, are broadcast, so their rows never take part in a shuffle. All other
-digests are grouped by an ordinary shuffle; by the summary's guarantee none of
-them holds over ``2 / (counters + 1)`` of the rows.
+addition) and counted exactly; those whose count is verified to be over
+``n / (counters + 1)`` of the n rows are the winners. There are at most
+``counters`` of them and they are broadcast, so their rows never take part in
+a shuffle. All other digests are grouped by an ordinary shuffle; by the
+summary's guarantee none of them holds over ``2 / (counters + 1)`` of the rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_or_empty
+from tessera.llm.common import fresh, materialize, text_or_empty
 
 COUNTERS = 1024
 
@@ -62,7 +63,8 @@ def duplicate_groups(docs: DataFrame, text: Column | None = None, id_col: str =
     ``text`` is the text that must be equal (default: column ``text``); a null
     text counts as empty. The row with the largest id stays; null ids are the
     smallest, and of rows that agree in id and text one stays. An empty table
-    gives no rows; other columns of ``docs`` are not read.
+    gives no rows; other columns of ``docs`` are not read. A text of any length
+    is read once and only its digest is kept.
 
     Returns ``id_col``, keep_id, group_size long, kept boolean, text_sha256.
     """
@@ -72,8 +74,9 @@ def duplicate_groups(docs: DataFrame, text: Column | None = None, id_col: str =
     last = [F.max(F.struct("id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size")]
 
     heavy = F.broadcast(frequent(rows, "digest", counters).select("digest"))
-    winners = materialize(rows.join(heavy, "digest").groupBy("digest").agg(*last), "winners")
-    winners = F.broadcast(winners)  # at most counters + 1 rows
+    winners = rows.join(heavy, "digest").groupBy("digest").agg(*last)
+    winners = materialize(winners.where(F.col("group_size") * (counters + 1) > rows.count()), "winners")
+    winners = F.broadcast(winners)  # at most counters rows
     light = rows.join(winners.select("digest"), "digest", "left_anti")
     found = rows.join(winners, "digest").unionByName(light.join(light.groupBy("digest").agg(*last), "digest"))
     return found.select(
@@ -86,18 +89,21 @@ def duplicate_groups(docs: DataFrame, text: Column | None = None, id_col: str =
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``.
+    """The rows of ``docs`` that stay, with the columns of ``docs`` whatever their names.
 
-    Rows are told apart by id and digest, so ids may repeat with other texts.
+    Rows are told apart by id and digest, so ids may repeat with other texts;
+    of rows that agree in both any one stays. Otherwise as in
+    :func:`duplicate_groups`.
     """
-    keyed = docs.withColumn("_sha256", F.sha2(text_or_empty().cast("binary"), 256))
+    digest, stay_id, stay_digest = (fresh(docs, c) for c in ("digest", "stay_id", "stay_digest"))
+    keyed = docs.withColumn(digest, F.sha2(text_or_empty().cast("binary"), 256))
     groups = duplicate_groups(docs, id_col=id_col, counters=counters)
-    stay = groups.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"))
-    left = keyed.join(stay, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_digest")), "left_semi")
-    again = docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_id"))
+    stay = groups.where("kept").select(F.col(id_col).alias(stay_id), F.col("text_sha256").alias(stay_digest))
+    left = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)) & (F.col(digest) == F.col(stay_digest)), "left_semi")
+    again = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(id_col).alias(stay_id))
     if again.isEmpty():
-        return left.drop("_sha256")
+        return left.drop(digest)
     # Rows that agree in id and text: the join keeps all of them.
-    once = left.join(again, left[id_col].eqNullSafe(F.col("_id")), "left_anti")
-    some = left.join(again, left[id_col].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col, "_sha256"])
-    return once.unionByName(some).drop("_sha256")
+    once = left.join(again, F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)), "left_anti")
+    some = left.join(again, F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)), "left_semi").dropDuplicates([id_col, digest])
+    return once.unionByName(some).drop(digest)
