@@ -16,9 +16,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import discard, materialize
+
 BINS = 512
 BLOCK = 4096  # queries scored against a batch of rows at a time
 ENOUGH = 8  # times k: so many scores are few enough to sort
+MOST = 2**62 - 1  # scores beyond it, either way, count as it
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -45,11 +48,21 @@ def matrix(column):
 
 
 def inner(x, y):
-    """Exact integer products; by floats where no sum can reach 2^53."""
+    """Exact integer products, kept within MOST; by floats where no sum can reach 2^53."""
     import numpy as np
 
-    most = (np.abs(x).max(initial=0)).astype(float) * (np.abs(y).max(initial=0)).astype(float) * max(1, x.shape[1])
-    return (x.astype(np.float64) @ y.T.astype(np.float64)).astype(np.int64) if most < 2**53 else x @ y.T
+    most = float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(y.astype(np.float64)).max(initial=0)) * max(1, x.shape[1])
+    if most < 2**53:
+        return (x.astype(np.float64) @ y.T.astype(np.float64)).astype(np.int64)
+    if most < 2**62:
+        return x @ y.T
+    # Rare: rows that can overflow are multiplied as Python's integers.
+    out = np.empty((len(x), len(y)), dtype=np.int64)
+    large = np.abs(y.astype(np.float64)).max(axis=1, initial=0) > 2.0**61 / max(1.0, float(np.abs(x.astype(np.float64)).sum(axis=1).max(initial=0)))
+    out[:, ~large] = x @ y[~large].T
+    exact = x.astype(object) @ y[large].T.astype(object)
+    out[:, large] = np.clip(exact, -MOST, MOST).astype(np.int64) if large.any() else 0
+    return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", bins: int = BINS, block: int = BLOCK) -> DataFrame:
@@ -59,45 +72,46 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     own id is no candidate; ties go to the smaller id. Vectors that are null
     or hold null or non-finite components take no part, nor do null ids; a
     query only meets vectors of its length. Rows that repeat are candidates
-    each. With fewer than k candidates all are returned; empty tables give no
-    rows. Other columns are not read.
+    each; of rows that repeat a query's id the least vector asks. With fewer
+    than k candidates all are returned; empty tables give no rows. Other
+    columns are not read. Components beyond the range of a long count as its
+    end, scores beyond MOST as MOST.
 
     Returns query_id, rank int from 1, vec_id, score long.
     """
     spark = vectors.sparkSession
-    rows = integer_rows(vectors, id_col, vector_col)
-    asked = integer_rows(queries, id_col, vector_col).dropDuplicates(["id"])
-    n = asked.count()
+    rows = materialize(integer_rows(vectors, id_col, vector_col), "vectors")
+    asked = integer_rows(queries, id_col, vector_col).groupBy("id").agg(F.min("x").alias("x"))
+    n, top = asked.count(), rows.select(F.max(F.array_max(F.transform("x", lambda v: F.greatest(v, F.lit(0) - F.greatest(v, F.lit(-MOST)))))).alias("m")).first()["m"] or 0
     blocks = max(1, -(-n // block))
-    parts = []
+    asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "asked")
+    found = None
     for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        got = mine.toArrow()  # about ``block`` vectors
+        got = asked.where(F.col("block") == b).drop("block").toArrow()  # about ``block`` vectors
         if got.num_rows:
-            parts.append(block_top_k(spark, rows, got, k, bins))
-    if not parts:
+            part = block_top_k(spark, rows, got, k, bins, top)
+            # A block's candidates are few; kept, they need no block's passes again.
+            part = materialize(part, "candidates") if blocks > 1 else part
+            found = part if found is None else found.unionByName(part)
+    discard(asked)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def block_top_k(spark, rows: DataFrame, got, k: int, bins: int) -> DataFrame:
+def block_top_k(spark, rows: DataFrame, got, k: int, bins: int, top: int) -> DataFrame:
     """The candidates of one block that can be among the first k."""
     import numpy as np
 
     ids = got.column("id").to_numpy()
     sized = {size: (at, x) for size, at, x in matrix(got.column("x").combine_chunks())}
-    # Bounds of the scores: the sum of |q_i| times the largest component there is.
-    top = rows.select(F.max(F.array_max(F.transform("x", lambda v: F.abs(v)))).alias("m")).first()["m"] or 0
+    # Bounds of the scores: the sum of |q_i| times the largest component ``top`` there is.
     reach = np.zeros(len(ids), dtype=object)
     for at, x in sized.values():
-        reach[at] = [int(v) * int(top) for v in np.abs(x).sum(1)]
+        reach[at] = [min(MOST, int(v) * int(top)) for v in np.abs(x.astype(object)).sum(axis=1)] if x.shape[1] else 0
     low = np.array([-int(r) for r in reach], dtype=np.int64)
     width = np.array([max(1, -(-(2 * int(r) + 1) // bins)) for r in reach], dtype=np.int64)
-    above = np.zeros(len(ids), dtype=np.int64)  # scores over the range
     open_ = np.ones(len(ids), dtype=bool)
     shared = spark.sparkContext.broadcast((ids, sized))  # one block of queries
 
