@@ -20,7 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_or_empty
+from tessera.llm.common import fresh, materialize, text_or_empty
+from tessera.llm.token_counts import with_token_counts
 
 BITS = 10  # of the drawn order in each histogram
 FEW = 2_000  # rows of a leaf that one task may sort
@@ -58,7 +59,8 @@ def fill(budget: int, nodes: list[Node]) -> None:
                 for n in full:
                     n.budget = n.supply
                     left -= n.supply
-                open_ = [n for n in open_ if n not in full]
+                done = {n.name for n in full}
+                open_ = [n for n in open_ if n.name not in done]
                 continue
             for n in open_:
                 n.budget = int(share[n.name])
@@ -124,24 +126,31 @@ def mix(
     ``levels`` names the levels of the tree and says how to get them; a null
     level is the empty name. ``budget`` is in tokens (default: ``share`` of all
     tokens there are, or :func:`whole_budget` if that is None); ``tokens``
-    counts a document's (default: words between white space; a null text has
-    0). A leaf supplies its tokens ``max_epochs`` times at most. A document is
-    taken in its last epoch if the tokens before it are short of the leaf's
-    budget; so a leaf exceeds its budget by less than one document. Documents
-    without tokens are taken with the place they were drawn. Rows with equal or
-    null ids are separate rows, in an order drawn from their text as well; of
-    equal rows any may be first. An empty table gives no rows.
+    counts a document's (default: the tokenizer's ids of the whole text,
+    however long; a null text has 0). A leaf supplies its tokens
+    ``max_epochs`` times at most. A document is taken in its last epoch if the
+    tokens before it are short of the leaf's budget; so a leaf exceeds its
+    budget by less than one document. Documents without tokens are taken with
+    the place they were drawn. Rows with equal or null ids are separate rows,
+    in an order drawn from their text as well; of equal rows any may be first.
+    An empty table gives no rows. Levels may have any names but those of the
+    other columns returned.
 
     Returns ``id_col``, the levels, n_tokens long, leaf_tokens long,
     leaf_budget long, copies int and, if asked for, row (a struct of the
     columns of ``docs``).
     """
-    names = list(levels)
-    words = F.size(F.filter(F.split(text_or_empty(), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    n_tokens = F.coalesce(tokens if tokens is not None else words, F.lit(0)).cast("long")
-    whole = [F.struct("*").alias("whole")] if with_row else []
+    names = [f"level{i}" for i in range(len(levels))]
     digest = F.md5(text_or_empty()) if "text" in docs.columns else F.lit("")
-    rows = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), n_tokens.alias("n_tokens"), *whole)
+    parts = [F.col(f"`{id_col}`").alias("id"), digest.alias("digest"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True))]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    if tokens is not None:
+        rows = docs.select(*parts, F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"), *([whole] if with_row else []))
+    elif with_row:
+        n_tokens = fresh(docs, "n_tokens")
+        rows = with_token_counts(docs, n_tokens).select(*parts, F.col(n_tokens).alias("n_tokens"), whole)
+    else:
+        rows = with_token_counts(docs.select(*parts, "text"), "n_tokens", drop_text=True)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "mixing")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("leaf_tokens")).limit(MAX_LEAVES + 1).collect()
     if len(leaves) > MAX_LEAVES:
@@ -152,14 +161,20 @@ def mix(
     wanted = budgets({leaf: n * max_epochs for leaf, n in own.items()}, weights, budget)
     spark = docs.sparkSession
     plan = [(*leaf, n, wanted[leaf], wanted[leaf] // n if n else 0, wanted[leaf] % n if n else 0) for leaf, n in own.items()]
-    schema = ", ".join(f"`{n}` string" for n in names) + ", leaf_tokens long, leaf_budget long, epochs long, rest long"
+    schema = ", ".join(f"{n} string" for n in names) + ", leaf_tokens long, leaf_budget long, epochs long, rest long"
     plan = spark.createDataFrame(plan, schema)  # MAX_LEAVES rows at most
     rows = rows.join(F.broadcast(plan), names).withColumn("place", drawn(seed, F.col("epochs"), F.col("id")))
     rows = rows.withColumn("tie", drawn(seed, F.col("epochs"), F.concat_ws("|", F.col("id").cast("string"), "digest")))
     taken = prefix(rows, names)
     again = F.when(F.col("taken"), 1).otherwise(0)
+    out = [F.col("id").alias(id_col), *(F.col(n).alias(given) for n, given in zip(names, levels, strict=True))]
     whole = [F.col("whole").alias("row")] if with_row else []
-    return taken.select(F.col("id").alias(id_col), *names, "n_tokens", "leaf_tokens", "leaf_budget", (F.col("epochs") + again).cast("int").alias("copies"), *whole)
+    return taken.select(*out, "n_tokens", "leaf_tokens", "leaf_budget", (F.col("epochs") + again).cast("int").alias("copies"), *whole)
+
+
+def words() -> Column:
+    """The number of words between white space of column ``text``, for ``tokens`` of :func:`mix`."""
+    return F.size(F.filter(F.split(text_or_empty(), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
 
 
 def prefix(rows: DataFrame, names: list[str], few: int = FEW) -> DataFrame:
@@ -234,7 +249,7 @@ def production_tree() -> tuple[dict[tuple, float], dict[str, Column]]:
     return weights, {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
 
 
-def take(docs: DataFrame, share: float | None = None, seed: int = 17, id_col: str = "doc_id", max_epochs: int = 4) -> DataFrame:
+def take(docs: DataFrame, share: float | None = None, seed: int = 17, id_col: str = "doc_id", max_epochs: int = 4, tokens: Column | None = None) -> DataFrame:
     """The documents of the production mix, each as often as it is taken, with the columns of ``docs``.
 
     Without ``share`` the budget follows from the supplies: no document is
@@ -242,6 +257,6 @@ def take(docs: DataFrame, share: float | None = None, seed: int = 17, id_col: st
     no budget; its documents are kept once.
     """
     weights, levels = production_tree()
-    mixed = mix(docs, weights, levels, share=share, max_epochs=max_epochs, seed=seed, id_col=id_col, with_row=True)
+    mixed = mix(docs, weights, levels, share=share, max_epochs=max_epochs, seed=seed, id_col=id_col, tokens=tokens, with_row=True)
     copies = F.when(F.col("leaf_tokens") == 0, 1).otherwise(F.col("copies"))
     return mixed.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_or_empty
+from tessera.llm.common import discard, fresh, materialize, text_or_empty
 
 #: Bounds of what is gathered on the driver to fit: rows of each label, and pairs.
 MAX_ROWS, MAX_PAIRS = 5_000, 60_000
@@ -154,13 +154,14 @@ def train(x: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows:
 
     The rows are chosen by a hash of the id, so the choice doesn't depend on
     the order of the table. Only rows with an id and a label of 0 or 1 count;
-    where an id has several labels, the largest.
+    where an id has several labels, the largest; where it has several texts, the
+    one whose figures come first in order.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
     some = [known.where(F.col("y") == y).orderBy(*order).limit(max_rows) for y in (0, 1)]
     chosen = some[0].unionByName(some[1])  # bounded by 2 max_rows
-    rows = x.join(F.broadcast(chosen), x["id"] == chosen["doc_id"]).groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    rows = x.join(F.broadcast(chosen), x["id"] == chosen["doc_id"]).groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y"))
     got = rows.orderBy(F.md5(F.col("id").cast("string")), "id").collect()
     return fit([r["x"] for r in got], [r["y"] for r in got])
 
@@ -190,7 +191,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -
     A null or empty text has all features 0 and is scored like any other; a
     row with a null id is scored and not held out; rows that repeat are scored
     each; an empty table gives no rows; without labels every score is 0.5.
-    Other columns are not read. Equal texts have equal scores.
+    Other columns are not read. Equal texts have equal scores. A text of any
+    length is read whole, in time and memory in proportion to it.
 
     Returns ``id_col``, held_out boolean, score double, predicted int.
     """
@@ -208,14 +210,18 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", least:
     """The rows of ``docs`` that score at least ``least``, in one pass over the texts.
 
     The model is fitted first, on the labelled rows' texts; then each row is
-    scored where it is read, so no text is shuffled.
+    scored where it is read, so no text is shuffled. Null texts are empty, rows
+    that repeat are judged each, an empty table stays empty, and the columns
+    are those of ``docs`` whatever their names.
     """
     known = labels.where(~held_out("doc_id") & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
     some = [known.where(F.col("quality") == y).orderBy(*order).limit(MAX_ROWS) for y in (0, 1)]
     chosen = materialize(some[0].unionByName(some[1]), "chosen")  # bounded by 2 MAX_ROWS
-    labelled = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("_known"))), docs[id_col] == F.col("_known"), "left_semi")
+    known_id = fresh(docs, "known_id")
+    labelled = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias(known_id))), docs[id_col] == F.col(known_id), "left_semi")
     model = train(feature_table(labelled, id_col), chosen)
+    discard(chosen)
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:

@@ -212,10 +212,12 @@ def count_tokens(docs: DataFrame, edits: Column | None = None, id_col: str = "do
     return counts
 
 
-def with_token_counts(docs: DataFrame, name: str, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``docs`` with the number of tokens of each text (a null one has 0) as column ``name``."""
+def with_token_counts(docs: DataFrame, name: str, text_col: str = "text", tokenizer: str | None = None, drop_text: bool = False) -> DataFrame:
+    """``docs``, without its text if so asked, with the number of tokens of each text (a null one has 0) as column ``name``."""
     path = tokenizer or default_tokenizer_path()
     at = docs.columns.index(text_col)
+    kept = [i for i in range(len(docs.columns)) if not (drop_text and i == at)]
+    fields = [docs.schema.fields[i] for i in kept]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -226,9 +228,9 @@ def with_token_counts(docs: DataFrame, name: str, text_col: str = "text", tokeni
                 part = batch.slice(start, 512)
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 counts = [int(n.sum()) for n in encoder.counts([leaf_words(t) for t in texts])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*docs.columns, name])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(counts, pa.int64())], names=[*(f.name for f in fields), name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return docs.mapInArrow(run, StructType([*fields, StructField(name, LongType())]))
 
 
 def redactions(text: Column, kinds: list[tuple[str, str]] = REDACTIONS) -> Column:
