@@ -32,7 +32,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_by_tree(table(spark, sf_dir, "pages", "page_id", "url"))
+    """The former name of what is now :func:`op5_url_filter`."""
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,33 +81,35 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 def url_filter_sql() -> str:
-    """The path-template tree, a level at a time."""
+    """Templates by a recursion over whole levels with window aggregates, then purities by window sums."""
     u = url_filter
-    rules = sorted(u.RULES, key=lambda r: -len(r[1]))
-    fits = {text: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')" for _, text in rules for h, _, p in [text.partition("/")]}
-    case = lambda value: "CASE " + " ".join(f"WHEN {fits[text]} THEN '{value(what, text)}'" for what, text in rules) + " END"
-    marked = f"list_has_any(regexp_split_to_array(host, '[.-]'), {u.BAD_WORDS})"
-    ctes = [
-        "a AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages)",
-        f"b AS (SELECT *, {case(lambda what, text: text)} AS rule, {case(lambda what, text: what)} AS by_rule, list_filter(string_split(path, '/'), lambda s: s <> '') AS every FROM a)",
-        f"rows_ AS (SELECT *, list_concat(list_transform(every[1:{u.DEPTH}], lambda s: regexp_replace(s, '[0-9a-fA-F]{{8,}}|[0-9]+', '*', 'g')), CASE WHEN len(every) > {u.DEPTH} THEN ['**'] ELSE [] END) AS segs FROM b)",
-        f"t0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (by_rule = 'allow' AND NOT {marked}) AS good, count(*) FILTER (coalesce(by_rule = 'block', false) OR {marked}) AS bad, '' AS up FROM rows_ GROUP BY host, segs)",
-    ]
-    for d in range(1, u.DEPTH + 1):
-        ctes += [
-            f"v{d} AS (SELECT host, up, count(DISTINCT segs[{d}]) AS values_, sum(n) AS n FROM t{d - 1} WHERE len(segs) >= {d} GROUP BY host, up)",
-            f"t{d} AS (SELECT t.host, t.segs, t.n, t.good, t.bad, t.up || CASE WHEN len(segs) < {d} THEN '' WHEN v.values_ > {u.MANY_VALUES} AND v.n < {u.FEW_PAGES} * v.values_ THEN '/*' ELSE '/' || segs[{d}] END AS up FROM t{d - 1} t LEFT JOIN v{d} v ON v.host = t.host AND v.up = t.up)",
-        ]
-    ctes += [
-        f"tree AS (SELECT host, segs, good, bad, up || CASE WHEN len(segs) > {u.DEPTH} THEN '/**' ELSE '' END AS template FROM t{u.DEPTH})",
-        "nodes AS (SELECT host, template, regexp_extract(template, '^(.*)/[^/]*$', 1, 's') AS parent, sum(good)::DOUBLE AS good, sum(good + bad)::DOUBLE AS m FROM tree GROUP BY host, template)",
-        "pooled AS (SELECT host, parent, sum(good) / nullif(sum(m), 0) AS share FROM nodes GROUP BY host, parent)",
-        f"judged AS (SELECT n.*, m > 0 AND abs(good / nullif(m, 0) - share) - 0.5::DOUBLE / nullif(m, 0) <= {u.DEVIATIONS}::DOUBLE * sqrt(share * (1 - share) / nullif(m, 0)) AS alike FROM nodes n JOIN pooled p ON p.host = n.host AND p.parent = n.parent)",
-        "merged AS (SELECT host, parent, sum(good) AS mg, sum(m) AS mm FROM judged WHERE alike GROUP BY host, parent)",
-        f"pure AS (SELECT j.host, j.template, (CASE WHEN alike THEN mg ELSE good END + {u.PRIOR_PURITY * u.PRIOR_WEIGHT!r}::DOUBLE) / (CASE WHEN alike THEN mm ELSE m END + {u.PRIOR_WEIGHT}::DOUBLE) AS purity FROM judged j LEFT JOIN merged g ON g.host = j.host AND g.parent = j.parent)",
-    ]
-    return f"WITH {', '.join(ctes)} SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN purity < {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity FROM rows_ r JOIN tree t ON t.host = r.host AND t.segs = r.segs JOIN pure p ON p.host = t.host AND p.template = t.template"
+    w, prior = f"{u.PRIOR_WEIGHT}::DOUBLE", f"{u.PRIOR_PURITY}::DOUBLE"
+    fit = " UNION ALL ".join(f"SELECT '{what}' AS what, '{text}' AS rule, '{text.partition('/')[0]}' AS domain, '/{text.partition('/')[2]}' AS start" for what, text in u.RULES)
+    return f"""WITH RECURSIVE rules AS ({fit}),
+address AS (SELECT page_id, row_number() OVER () AS r, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+ruled AS (SELECT a.*, x.rule, x.what, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM address a LEFT JOIN
+  (SELECT r, arg_max(rule, len(rule)) AS rule, arg_max(what, len(rule)) AS what FROM address JOIN rules ON (host = domain OR suffix(host, '.' || domain)) AND prefix(path, start) GROUP BY r) x ON x.r = a.r),
+found AS (SELECT host, segs, count(*) AS n, count(*) FILTER (what = 'allow') AS good, count(*) FILTER (what = 'block') AS bad FROM ruled GROUP BY host, segs),
+walk AS (
+  SELECT host, segs, n, good, bad, 0 AS d, '' AS up, len(segs) = 0 AS done FROM found
+  UNION ALL
+  SELECT host, segs, n, good, bad, d + 1, up || '/' || CASE WHEN alone THEN array_to_string(segs[d + 1:], '/') WHEN varies AND NOT stays THEN '*' ELSE segs[d + 1] END, alone OR len(segs) = d + 1 FROM (
+    SELECT *, all_rows = 1 AS alone, n_seg >= {u.LITERAL_PAGES} AND n_seg * {u.LITERAL_SHARE} >= n_own AS stays,
+      (vals > {u.MANY_VALUES} AND n_own < {u.FEW_PAGES} * vals) OR (vals <= {u.MANY_VALUES} AND all_vals > {u.MANY_VALUES} AND all_n < {u.FEW_PAGES} * all_vals) AS varies FROM (
+      SELECT *, count(*) OVER (PARTITION BY up) AS all_rows, sum(n) OVER (PARTITION BY host, up, segs[d + 1]) AS n_seg, sum(n) OVER (PARTITION BY host, up) AS n_own, sum(n) OVER (PARTITION BY up) AS all_n,
+        count(DISTINCT segs[d + 1]) OVER (PARTITION BY host, up) AS vals, count(DISTINCT segs[d + 1]) OVER (PARTITION BY up) AS all_vals FROM walk WHERE NOT done))),
+tree AS (SELECT * FROM walk WHERE done),
+nodes AS (SELECT host, up AS template, regexp_extract(up, '^(.*)/[^/]*$', 1, 's') AS parent, sum(good)::BIGINT AS g, sum(good + bad)::BIGINT AS m FROM tree GROUP BY host, up),
+pooled AS (SELECT *, sum(g) OVER (PARTITION BY host, parent)::BIGINT AS gp, sum(m) OVER (PARTITION BY host, parent)::BIGINT AS mp, sum(g) OVER (PARTITION BY host)::BIGINT AS gh, sum(m) OVER (PARTITION BY host)::BIGINT AS mh,
+  coalesce(sum(CASE WHEN m > 0 THEN g * 1000 // m END) OVER (PARTITION BY template), 0)::BIGINT AS ga, count(*) FILTER (m > 0) OVER (PARTITION BY template) AS ma FROM nodes),
+alike AS (SELECT *, m > 0 AND abs(g / nullif(m, 0) - gp / nullif(mp, 0)) - 0.5::DOUBLE / nullif(m, 0) <= {u.DEVIATIONS}::DOUBLE * sqrt(gp / nullif(mp, 0) * (1 - gp / nullif(mp, 0)) / nullif(m, 0)) AS same FROM pooled),
+joined AS (SELECT *, CASE WHEN same THEN sum(CASE WHEN same THEN g ELSE 0 END) OVER (PARTITION BY host, parent)::BIGINT ELSE g END AS g1, CASE WHEN same THEN sum(CASE WHEN same THEN m ELSE 0 END) OVER (PARTITION BY host, parent)::BIGINT ELSE m END AS m1 FROM alike),
+pure AS (SELECT *, (g1 + (ga / 1000 + (gp + (gh + {prior} * {w}) / (mh + {w}) * {w}) / (mp + {w}) * {w}) / (ma + {w}) * {w}) / (m1 + {w}) AS purity,
+  CASE WHEN m > 0 THEN 'template' WHEN ma > 0 THEN 'hosts' WHEN mp > 0 THEN 'parent' WHEN mh > 0 THEN 'host' ELSE 'prior' END AS level FROM joined)
+SELECT page_id, q.host, path, rule, coalesce(what, CASE WHEN purity < {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, p.template, purity, level, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN level = 'prior' THEN 'prior' ELSE 'tree' END AS by
+FROM ruled q JOIN tree t ON t.host = q.host AND t.segs = q.segs JOIN pure p ON p.host = t.host AND p.template = t.up"""
 
 
 #: The other operators learn, tokenize or need places of matches: they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": url_filter_sql(), "op9_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": url_filter_sql(), "op5_url_tree": url_filter_sql(), "op9_topk": OP9_SQL}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, html_extract, mixing, near_dup, packing, quality, secrets, token_counts, topk, url_filter
+from tessera.llm import common, exact_dedup, html_extract, mixing, near_dup, packing, quality, secrets, token_counts, topk, url_filter
 from tessera.llm.common import default_tokenizer_path, load_tokenizer, regex_spans, word_encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, digest string, key string"
@@ -67,6 +67,20 @@ def test_exact_edge_cases(docs, none):
     assert left.columns == docs.columns and left.count() == len({t or "" for _, t, *_ in TEXTS})
 
 
+def test_exact_columns_with_any_names(docs, spark):
+    clash = docs.withColumn("_sha256", F.lit("mine")).withColumn("stay_id", F.lit(1)).withColumn("_id", F.lit(2))
+    left = exact_dedup.drop_duplicates(clash)
+    assert left.columns == clash.columns and {r["_sha256"] for r in left.collect()} == {"mine"}
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 2, 4, 5, 6, 7, 8, 9]
+
+
+def test_exact_broadcasts_frequent_texts_only(spark):
+    """Winners are verified: a candidate with too few rows is shuffled like any other."""
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(300)] + [(1000, None), (1001, "")]
+    got = exact_dedup.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), counters=4)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got.collect()) == brute_groups(rows)
+
+
 def test_misra_gries_bound():
     rng, total, summary = np.random.default_rng(0), Counter(), {}
     for _ in range(30):
@@ -235,6 +249,45 @@ def test_quality(spark, sf_dir, docs, none):
     assert quality.quality_scores(none, labels).count() == 0
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.keep_good(d, labels).columns == d.columns
+    clash = d.withColumn("known_id", F.lit("x")).withColumn("_known", F.lit("y"))
+    good = quality.keep_good(clash, labels)
+    assert good.columns == clash.columns and good.count() == quality.keep_good(d, labels).count()
+
+
+def brute_fit(x, y, pairs, penalty):
+    """Bradley-Terry weights by plain Python: gradient descent with backtracking on the pairs' logistic loss."""
+    n, d = len(pairs), len(x[0])
+    loss = lambda w: sum(np.logaddexp(0, -sum(a * (p - q) for a, p, q in zip(w, x[i], x[j], strict=True))) for i, j in pairs) + penalty * n / 2000 * sum(a * a for a in w)
+    w, step = [0.0] * d, 1.0
+    for _ in range(400):
+        grad = [penalty * n / 1000 * a for a in w]
+        for i, j in pairs:
+            p = 1 / (1 + np.exp(-sum(a * (u - v) for a, u, v in zip(w, x[i], x[j], strict=True))))
+            grad = [g + (p - 1) * (u - v) for g, u, v in zip(grad, x[i], x[j], strict=True)]
+        base, square = loss(w), sum(g * g for g in grad)
+        while loss([a - step * g for a, g in zip(w, grad, strict=True)]) > base - step * square / 2 and step > 1e-12:
+            step /= 2
+        w, step = [a - step * g for a, g in zip(w, grad, strict=True)], step * 2
+    return w
+
+
+def test_quality_fit_against_brute_force():
+    """Where each label has as many rows as there are pairs in a round, all pairs of a round can be told."""
+    rng = np.random.default_rng(5)
+    y = np.array([0, 1] * 6)
+    x = np.zeros((12, quality.FEATURES))
+    x[:, :3] = rng.normal(size=(12, 3)) + y[:, None] * [1.0, -0.5, 0.2]
+    model = quality.fit(x, y, max_pairs=36, penalty=20.0, seed=3)
+    z = np.clip((x - x.mean(0)) / np.where(x.std(0) < 1e-9, 1, x.std(0)), -8, 8)[:, :3]
+    dealt = np.random.default_rng(3)
+    deal = lambda label: np.concatenate([dealt.permutation(np.flatnonzero(y == label)) for _ in range(6)])
+    pairs = list(zip(deal(1).tolist(), deal(0).tolist(), strict=True))
+    want = brute_fit(z.tolist(), y, pairs, 20.0)
+    assert np.allclose(model.weights[:3], want, atol=1e-3) and np.allclose(model.weights[3:], 0, atol=1e-9)
+    s = z @ np.array(model.weights[:3])
+    best = max(((s >= t) & (y == 1)).sum() / 6 + ((s < t) & (y == 0)).sum() / 6 for t in s)
+    assert ((s >= model.threshold) & (y == 1)).sum() / 6 + ((s < model.threshold) & (y == 0)).sum() / 6 >= best - 0.2
+    assert ((model.scores(x) >= 0.5) == (s >= model.threshold - 1e-9)).all()
 
 
 # --- mixing -----------------------------------------------------------------
@@ -249,19 +302,42 @@ def test_budgets():
     assert sum(mixing.budgets(supply, {}, 10**9).values()) == 1110
 
 
+def brute_budgets(supply, weights, total):
+    """Level by level: a token at a time would go where the level per weight is lowest; here by bisection of that level."""
+    shares = {(): min(total, sum(supply.values()))}
+    for depth in (1, 2, 3):
+        for parent, budget in list(shares.items()):
+            if len(parent) != depth - 1:
+                continue
+            children = sorted({k[:depth] for k in supply if k[: depth - 1] == parent})
+            room = {c: sum(n for k, n in supply.items() if k[:depth] == c) for c in children}
+            w = {c: weights.get(c, 1.0) for c in children}
+            low, high = 0.0, max((room[c] / w[c] for c in children), default=0.0) + 1
+            for _ in range(200):
+                level = (low + high) / 2
+                low, high = (level, high) if sum(min(room[c], level * w[c]) for c in children) < budget else (low, level)
+            exact = {c: min(room[c], high * w[c]) for c in children}
+            own = {c: room[c] if room[c] <= exact[c] + 1e-6 else int(exact[c] + 1e-6) for c in children}
+            rest = budget - sum(own.values())
+            for c in sorted((c for c in children if own[c] < room[c]), key=lambda c: (own[c] - exact[c], c))[:rest]:
+                own[c] += 1
+            shares |= own
+    return {k: shares[k] for k in supply}
+
+
 @pytest.mark.parametrize("few", [1, 2000])
 def test_mix_against_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(mixing, "FEW", few)
     monkeypatch.setattr(mixing.prefix, "__defaults__", (few,))
     d = real(spark, "/root/testdata/sf0.01", "documents")
     weights, levels = mixing.production_tree()
-    got = {r.doc_id: r for r in mixing.mix(d, weights, levels, share=1.4, max_epochs=3, seed=5).collect()}
+    got = {r.doc_id: r for r in mixing.mix(d, weights, levels, share=1.4, max_epochs=3, seed=5, tokens=mixing.words()).collect()}
     rows = d.withColumns(levels).collect()
     tokens, leaf = {r.doc_id: len(r.text.split()) for r in rows}, {r.doc_id: (r.domain, r.lang, r.source) for r in rows}
     own = Counter()
     for i, n in tokens.items():
         own[leaf[i]] += n
-    wanted = mixing.budgets({k: 3 * n for k, n in own.items()}, weights, int(sum(own.values()) * 1.4))
+    wanted = brute_budgets({k: 3 * n for k, n in own.items()}, weights, int(sum(own.values()) * 1.4))
     for name in own:
         epochs, rest = divmod(wanted[name], own[name])
         place = lambda i, e=epochs: int(hashlib.md5(f"5|{e}|{i}".encode()).hexdigest()[:15], 16)
@@ -276,6 +352,11 @@ def test_mix_edge_cases(docs, none):
     assert mixing.mix(docs, weights, levels).count() == len(TEXTS)
     assert mixing.mix(none, weights, levels).count() == 0
     assert mixing.take(docs, 0.5).columns == docs.columns
+    odd = dict(zip(("id", "row", "place", "bin"), (F.col("lang"), F.col("source"), F.lit("p"), F.lit(None)), strict=True))
+    assert mixing.mix(docs, {}, odd).count() == len(TEXTS)
+    size = lambda t: len(load_tokenizer(default_tokenizer_path()).encode(t or "", add_special_tokens=False).ids)
+    got = mixing.mix(docs, weights, levels, with_row=True).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, size(t)) for i, t, *_ in TEXTS) and set(got[0].row.asDict()) == set(docs.columns)
 
 
 @pytest.mark.parametrize("few", [1, 7, 2000])
@@ -285,9 +366,9 @@ def test_mix_repeated_ids(spark, monkeypatch, few):
     rows = [(None, f"a b c {i % 20}", "en", "src0") for i in range(60)] + [(7, "x y", "en", "src0")] * 30 + [(7, f"z {i}", "de", "src1") for i in range(40)] + [(i, "u v w", "fr", "src2") for i in range(40)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
     weights, levels = mixing.production_tree()
-    left = mixing.mix(d, weights, levels, share=0.5, max_epochs=1).collect()
+    left = mixing.mix(d, weights, levels, share=0.5, max_epochs=1, tokens=mixing.words()).collect()
     assert len(left) == len(rows)
-    taken = mixing.take(d, 0.5, max_epochs=1).collect()
+    taken = mixing.take(d, 0.5, max_epochs=1, tokens=mixing.words()).collect()
     for source in ("src0", "src1", "src2"):
         leaf = [r for r in left if r.source == source]
         got = sum(r.n_tokens * r.copies for r in leaf)
@@ -315,83 +396,126 @@ def test_take_leaves_no_document_out(spark):
 
 
 def test_url_rules(spark):
-    urls = [None, "no scheme", "http://A.Com", "http://a.com/x?q", "https://b.example.com/en/1", "http://www.example.com/en/", "http://x.net/es/1#a", "http://x.net/en/1", "://net/fr/", "http://spam-farm.example.org/en/1", "http://notcom/x"]
+    urls = [None, "no scheme", "http://A.Com", "http://a.com/x?q", "https://b.example.com/en/1", "http://www.example.com/en/", "http://x.net/es/1#a", "http://x.net/en/1", "://net/fr/", "http://farm.example.org/en/1", "http://notcom/x"]
     rows = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(rows).collect()}
     assert got[0] == got[1] == ("", "", None, "allow")
     assert got[2] == ("a.com", "", None, "allow") and got[3] == ("a.com", "/x", "com/", "allow")
     assert got[4][2:] == ("example.com/en/", "block") and got[5][2:] == ("www.example.com/en/", "allow")
-    assert got[6] == ("x.net", "/es/1", "net/es/", "block") and got[7][2:] == (None, "allow")
+    assert got[6] == ("x.net", "/es/1", "net/es/", "block") and got[7][2] is None
     assert got[8] == ("net", "/fr/", "net/fr/", "block") and got[9][3] == "block" and got[10] == ("notcom", "/x", None, "allow")
     assert url_filter.judge(rows.limit(0)).count() == 0
 
 
+def paths(spark, urls):
+    return spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+
 def test_url_variable_segments(spark):
-    rows = spark.range(200).selectExpr("id AS page_id", "concat('http://x.org/user/name', char(97 + id % 26), char(97 + id div 26), '/p') AS url")
-    assert {r.template for r in url_filter.judge(rows).collect()} == {"/user/*/p"}
+    """What varies is learnt: names as well as numbers; frequent values stay, few values stay."""
+    urls = [f"http://x.org/user/name{chr(97 + i % 26)}{chr(97 + i // 26)}/p" for i in range(200)] + ["http://x.org/user/login/p"] * 40
+    urls += [f"http://x.org/page/{i % 4}" for i in range(40)] + [f"http://small.org/user/{i}/p" for i in (1, 2)]
+    got = Counter(r.template for r in url_filter.judge(paths(spark, urls)).collect())
+    assert got == {"/user/*/p": 202, "/user/login/p": 40, "/page/0": 10, "/page/1": 10, "/page/2": 10, "/page/3": 10}
+
+
+def test_url_templates_kept_merged_and_rejected(spark):
+    """Labels of other hosts' same templates reach a host without any; similar siblings are merged."""
+    urls, labels = [], []
+
+    def add(n, url, good):
+        for i in range(n):
+            urls.append(url.format(i=len(urls)))
+            labels.append(good if good is None or isinstance(good, bool) else i < good * n)
+
+    for h in range(8):
+        add(30, f"http://h{h}.org/news/{{i}}", True)
+        add(30, f"http://h{h}.org/casino/{{i}}", False)
+    add(5, "http://new.org/news/{i}", None)
+    add(5, "http://new.org/casino/{i}", None)
+    add(40, "http://m.org/s/a", 0.5)  # alike: merged
+    add(2, "http://m.org/s/b", 0.0)
+    add(10, "http://m.org/s/c", 1.0)  # apart
+    rows = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(zip(urls, labels, strict=True))], "page_id long, url string, good boolean")
+    got = {r.url: r for r in url_filter.judge(rows.withColumnRenamed("good", "mark"), [], good=F.col("mark")).join(rows, "page_id").collect()}
+    new = {r.template: (r.verdict, r.level, r.by) for u, r in got.items() if "new.org" in u}
+    assert new == {"/news/*": ("allow", "hosts", "tree"), "/casino/*": ("block", "hosts", "tree")}
+    assert {r.verdict for u, r in got.items() if "/casino/" in u} == {"block"} and {r.verdict for u, r in got.items() if "/news/" in u} == {"allow"}
+    a, b, c = (got[f"http://m.org/s/{x}"].purity for x in "abc")
+    alone = 0.3078  # of /s/b without its siblings
+    assert c > 0.8 and 0.4 < a < 0.6 and b > alone + 0.1
 
 
 def brute_tree(urls):
-    """Purity, template and nearest level with labels for each url, from the definition."""
+    """Template, purity, nearest level with labels and verdict for each url, from the definition."""
     u, rows = url_filter, []
     for url in urls:
         m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
         host, path = (m[1].lower(), m[2]) if m else ("", "")
         fits = [(len(t), w) for w, t in u.RULES for n, _, p in [t.partition("/")] if (host == n or host.endswith("." + n)) and path.startswith("/" + p)]
         rule = max(fits)[1] if fits else None
-        marked = bool(set(re.split(r"[.-]", host)) & set(u.BAD_WORDS))
-        rows.append((host, tuple(re.sub("[0-9a-fA-F]{8,}|[0-9]+", "*", s) for s in path.split("/") if s), int(rule == "allow" and not marked), int(rule == "block" or marked), rule))
-    up = [""] * len(rows)
+        rows.append((host, tuple(s for s in path.split("/") if s), int(rule == "allow"), int(rule == "block"), rule))
+    up, done = {r[:2]: "" for r in rows}, set()
     for d in range(max(len(r[1]) for r in rows)):
-        values = defaultdict(Counter)
-        for r, t in zip(rows, up, strict=True):
-            if len(r[1]) > d:
-                values[r[0], t][r[1][d]] += 1
-        varied = {k for k, v in values.items() if len(v) > u.MANY_VALUES and sum(v.values()) < u.FEW_PAGES * len(v)}
-        up = [t + ("" if len(r[1]) <= d else "/*" if (r[0], t) in varied else "/" + r[1][d]) for r, t in zip(rows, up, strict=True)]
+        live = [r for r in rows if len(r[1]) > d and r[:2] not in done]
+        values, world, alone = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+        for r in live:
+            t = up[r[:2]]
+            values[r[0], t][r[1][d]] += 1
+            world[t][r[1][d]] += 1
+            alone[t].add(r[:2])
+        varies = lambda v: len(v) > u.MANY_VALUES and sum(v.values()) < u.FEW_PAGES * len(v)
+        after = {}
+        for r in live:
+            t, own = up[r[:2]], values[r[0], up[r[:2]]]
+            if len(alone[t]) == 1:
+                done.add(r[:2])
+                after[r[:2]] = t + "/" + "/".join(r[1][d:])
+                continue
+            wild = varies(own) or (len(own) <= u.MANY_VALUES and varies(world[t]))
+            stays = own[r[1][d]] >= u.LITERAL_PAGES and own[r[1][d]] * u.LITERAL_SHARE >= sum(own.values())
+            after[r[:2]] = t + "/" + ("*" if wild and not stays else r[1][d])
+        up |= after
     good, all_ = defaultdict(int), defaultdict(int)
     above = lambda t: t.rpartition("/")[0]
-    for (host, _, g, b, _), t in zip(rows, up, strict=True):
-        for k in (("t", host, t), ("p", host, above(t)), ("h", host), ("a", t)):
-            good[k] += g
-            all_[k] += g + b
-    alike, merged = set(), defaultdict(lambda: [0, 0])
-    for host, t in {(r[0], t) for r, t in zip(rows, up, strict=True)}:
+    for r in rows:
+        for k in (("t", r[0], up[r[:2]]), ("p", r[0], above(up[r[:2]])), ("h", r[0])):
+            good[k] += r[2]
+            all_[k] += r[2] + r[3]
+    places, merged = {(r[0], up[r[:2]]) for r in rows}, defaultdict(lambda: [0, 0])
+    alike = set()
+    for host, t in places:
         m, p = all_["t", host, t], ("p", host, above(t))
+        if m:
+            good["a", t] += good["t", host, t] * 1000 // m
+            all_["a", t] += 1
         if m and abs(good["t", host, t] / m - good[p] / all_[p]) - 0.5 / m <= u.DEVIATIONS * (good[p] / all_[p] * (1 - good[p] / all_[p]) / m) ** 0.5:
             alike.add((host, t))
             merged[p][0] += good["t", host, t]
             merged[p][1] += m
     out = []
-    for (host, _, _, _, rule), t in zip(rows, up, strict=True):
-        keys, purity = {"hosts": ("a", t), "host": ("h", host), "parent": ("p", host, above(t)), "template": ("t", host, t)}, u.PRIOR_PURITY
+    for r in rows:
+        host, t, purity = r[0], up[r[:2]], u.PRIOR_PURITY
+        keys = {"host": ("h", host), "parent": ("p", host, above(t)), "hosts": ("a", t), "template": ("t", host, t)}
         for name, k in keys.items():
-            g, m = merged["p", host, above(t)] if name == "template" and (host, t) in alike else (good[k], all_[k])
+            g, m = merged["p", host, above(t)] if name == "template" and (host, t) in alike else (good[k] / (1000 if name == "hosts" else 1), all_[k])
             purity = (g + purity * u.PRIOR_WEIGHT) / (m + u.PRIOR_WEIGHT)
         level = next((n for n in reversed(keys) if all_[keys[n]]), "prior")
-        out.append((t, round(purity, 9), level, rule or ("block" if purity < u.THRESHOLD else "allow")))
+        out.append((t, round(purity, 9), level, r[4] or ("block" if purity < u.THRESHOLD else "allow")))
     return out
 
 
-def test_url_tree(spark, sf_dir):
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_url_tree(spark, sf_dir, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
     urls = [r.url for r in real(spark, sf_dir, "pages").collect()] + [None, "http://x.org/en/1", "http://x.net/es/1", "http://x.net/it/1", "http://x.net", "http://new.org/none/1"]
     urls += [f"http://d.com/a/b/c/d/e/{w}/{i}" for w in ("f", "g") for i in range(3)] + [f"http://y.org/user/name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
-    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
-    got = {r.page_id: r for r in url_filter.judge_by_tree(rows).collect()}
+    urls += ["http://deep.org/" + "/".join(map(str, range(5000))), "http://z.org/a//b/", "http://z.org/a/b", "http://é.org/%20/ü"] + ["http://y.org/user/home"] * 9 + ["http://k.com/about", "http://q.org/about"]
+    got = {r.page_id: r for r in url_filter.judge(paths(spark, urls).repartition(3)).collect()}
     want = brute_tree(urls)
     assert [(got[i].template, round(got[i].purity, 9), got[i].level, got[i].verdict) for i in range(len(urls))] == want
-    assert url_filter.judge_by_tree(rows.limit(0)).count() == 0
-
-
-def test_url_tree_labels_reach_other_branches_and_hosts(spark):
-    urls = ["http://a.net/es/1"] * 9 + ["http://a.net/it/1", "http://b.org/es/1", "http://b.org/pt/1", "http://d.com/a/b/c/d/e/f", "http://e.org/a/b/c/d/e/f", "http://e.org/a/b/c/d/e/g"]
-    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r.page_id: (r.verdict, r.level, r.by) for r in url_filter.judge_by_tree(rows).collect()}
-    assert got[0] == ("block", "template", "rule")
-    assert got[9] == ("block", "host", "tree")  # a sibling branch's labels
-    assert got[10] == ("block", "hosts", "tree")  # another host's same template
-    assert got[11] == ("allow", "prior", "prior")
-    assert got[13] == ("allow", "hosts", "tree") and got[14] == ("allow", "prior", "prior")  # apart at the sixth segment
+    assert len({w[3] for w, u in zip(want, urls, strict=True) if got[urls.index(u)].by == "tree"}) == 2
+    assert url_filter.judge(paths(spark, ["x"]).limit(0)).count() == 0
 
 
 # --- secrets ----------------------------------------------------------------
@@ -426,8 +550,26 @@ def test_secret_owners(spark):
     assert got[4].spans == "loose:2:24" and got[4].n_assign == 0
 
 
+def test_secrets_copied_within_an_owner(spark):
+    """One owner's value in many texts or repositories is an example; copies of a text count once."""
+    rows = [(i, f"note {i} password=withinowner{7}x", "en", "a") for i in range(9)] + [(20 + i, "password=equaltext9999", "en", "a") for i in range(9)]
+    rows += [(40 + i, "password=manyrepos777", lang, "a") for i, lang in enumerate(("en", "de", "fr"))]
+    got = {r.doc_id: r for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[0].n_live, got[0].n_example, got[0].owners, got[0].repos) == (0, 1, 1, 1)
+    assert got[20].n_live == 1 and (got[40].n_example, got[40].repos) == (1, 3)
+
+
+def test_secrets_in_long_texts(spark):
+    """A loose value with its first digit far off, and 50,000 matches in a text of 5 MB."""
+    late = "A" * 120 + "bcdefghijKLMnop" * 20 + "7z"
+    many = "password=abcdefghij0123 and then some words that fill the line up to hundred characters or so, no more. \n" * 50_000
+    rows = spark.createDataFrame([(1, late, "en", "a"), (2, many, "en", "b")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in secrets.secret_report(rows).collect()}
+    assert got[1].spans == f"loose:0:{len(late)}" and got[2].n_assign == 50_000 and len(many) > 5e6
+
+
 def test_regex_spans(spark):
-    texts = ["", "aa", "xaay aa", "éaa🙂aa", "b"]
+    texts = ["", "aa", "xaay aa", "éaa🙂aa", "b", "a b" * 64, "🙂a" * 1000, "a " * 129]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", regex_spans(F.col("t"), "a+").alias("s")).collect()
     for r in got:
         assert [(s.start, s.end, s.value) for s in r.s] == [(m.start(), m.end(), m[0]) for m in re.finditer("a+", r.t)]
@@ -559,6 +701,18 @@ def test_top_k(spark, k, bins, block):
     assert topk.top_k(v.limit(0), v.limit(0), k).count() == 0
 
 
+def test_top_k_of_huge_components_and_repeated_queries(spark):
+    """Scores that no long holds count as the largest that one does; of equal query ids the least vector asks."""
+    rows = [(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 0.5]), (3, [1.0, 1.0]), (4, [1e30, 0.0]), (5, [2.0, 3.0]), (10, [1.0, 0.0]), (10, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in topk.top_k(v, v.where("vec_id IN (0, 10)"), 4).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    most = topk.MOST
+    assert sorted(got[0]) == [(1, 1, most), (2, 4, most), (3, 5, 256**2 * (2 * 10**15 + 3)), (4, 3, 256**2 * (10**15 + 1))]
+    assert sorted(got[10]) == [(1, 5, 3 * 256**2), (2, 1, 2 * 256**2), (3, 0, 256**2), (4, 3, 256**2)]
+
+
 # --- pipeline ---------------------------------------------------------------
 
 
