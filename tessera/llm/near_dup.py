@@ -17,12 +17,15 @@ list never has more entries than there are tasks, and then every list's entries
 to one of the list. Which one is drawn by a hash, in one of ORDERS ways by the
 list's key: so members of a group of copies meet several of the group, one of
 which is likely close to them. These links are checked by exact set
-intersection. On lists where a check failed, another member is drawn and
-tried; then pairs of members of components that still differ are compared by their *sketches* (one bit for each of SKETCH_BITS hash ranges, the
+intersection. On lists where a check failed, other members are drawn and tried
+in rounds, each against all members of other components, as long as a round
+finds links; only then pairs of members of components that still differ are
+compared by their *sketches* (one bit for each of SKETCH_BITS hash ranges, the
 parity of the elements in it; the bits that differ are a lower bound of the
-elements that differ), and those that can link are checked. Hence components
-are exact, while a group of copies costs as many checks as it has members, not
-as many as it has pairs.
+elements that differ), a long list in parts, and those that can link are
+checked. Hence components are exact, while a group of copies costs as many
+checks as it has members, not as many as it has pairs. A set that takes part in
+many checks is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_or_empty
+from tessera.llm.common import discard, fresh, materialize, spread_join, text_or_empty
 
 #: Costs of one enumerated subset and of one inverted-list entry (which is longer to verify).
-SUBSET_COST, LIST_COST = 1.0, 2.5
+SUBSET_COST, LIST_COST = 1.0, 5.0
 #: Keys that a task gathers before it links them.
 CHUNK_KEYS = 500_000
 SKETCH_BITS = 2048
@@ -95,8 +98,11 @@ class Scheme:
             differ = self.most_different(high - 1, self.top(high - 1))
             blocks, spare = self.plan(low, differ)
             lacking = (100 - self.percent) * self.top(high - 1) // 100  # of the larger set
-            small = sum(math.comb(self.top(high - 1), j) for j in range(min(lacking, 3) + 1)) * SUBSET_COST <= blocks * LIST_COST * 2 and lacking <= 2
-            self.classes.append(SizeClass(k, low, high, differ, small or lacking == 0, blocks, spare))
+            # The boundary between small and large is where subsets start to cost more than entries on lists.
+            subsets, j, most = 0, 0, blocks * LIST_COST / SUBSET_COST
+            while j <= lacking and subsets <= most:
+                subsets, j = subsets + math.comb(self.top(high - 1), j), j + 1
+            self.classes.append(SizeClass(k, low, high, differ, subsets <= most, blocks, spare))
         return self.classes[i]
 
     @staticmethod
@@ -318,14 +324,30 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return found.join(ids, "id", "left_semi")
 
 
+#: Pairs that a copy of a set is sent to, and members of a list that are compared with all at a time.
+SPREAD = 64
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with ``linked`` boolean, by exact intersection."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = sets_of(docs, ids, words)
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    """The pairs (a, b) with ``linked`` boolean, by exact intersection, as a table.
+
+    A set in many pairs is copied once for about SPREAD of them, so that no
+    task gets all pairs of one set.
+    """
+    each = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    ids = materialize(each.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts")), "ids")
+    sets = sets_of(docs, ids, words).join(ids, "id")
+    sets = sets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    many = lambda c: ids.where("parts > 1").select(F.col("id").alias(c), F.col("parts").alias(f"parts_{c}"))
+    dealt = pairs
+    for c, other in (("a", "b"), ("b", "a")):
+        dealt = dealt.join(many(c), c, "left").withColumn(f"part_{c}", F.pmod(F.xxhash64(other), F.coalesce(F.col(f"parts_{c}"), F.lit(1))).cast("int")).drop(f"parts_{c}")
+    left = dealt.join(sets.select(F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("set").alias("x")), ["a", "part_a"])
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("part").alias("part_b"), F.col("set").alias("y")), ["b", "part_b"])
     shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked"))
+    out = materialize(both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("linked")), "checked")
+    discard(ids)
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -343,6 +365,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         after = materialize(small, "edges")
+        discard(edges)
         edges, last = after, seen
         seen = after.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum("v").alias("s")).first()
         if seen == last:
@@ -350,7 +373,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components didn't settle")
     labels = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return labels.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    labels = materialize(labels.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "labels")
+    discard(edges)
+    return labels
 
 
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
@@ -359,8 +384,9 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     A document's set is its distinct shingles of ``words`` words (separated by
     ASCII white space, A-Z lower-cased); one with fewer words is a single
     element; one without words is empty and links with nothing, like a null
-    text. Two link when 100 * intersection >= percent * union. Rows with equal
-    ids count as one document if their texts have equal sets and else as linked
+    text. Two link when 100 * intersection >= percent * union. Texts of any length
+    are read whole; a task holds the keys of CHUNK_KEYS shingles or of one
+    text. Rows with equal ids count as one document if their texts have equal sets and else as linked
     by their id; null ids give no row. Other columns are not read; an empty
     table gives no rows.
 
@@ -377,8 +403,9 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     sets = found.where(F.col("kind") == SET)
     # Equal sets across tasks: linked to the least id, counted by partial sums.
-    same = sets.where("n > 0").groupBy("other", "key", "n").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
-    equal = sets.join(same.drop("last"), ["other", "key", "n"]).where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    same = sets.where("n > 0").groupBy("other", "key", "n").agg(F.min("id").alias("least"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")).where("least < last")
+    same = materialize(same.drop("last"), "same")
+    equal = spread_join(sets, same, ["other", "key", "n"], "rows").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     equal = equal.union(found.where(F.col("kind") == EQUAL).select(F.col("id").alias("a"), F.col("other").alias("b")))
     equal = materialize(equal.distinct(), "equal")
 
@@ -387,19 +414,27 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     known = equal.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialize(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
     brief = sets.select("id", "n", "sketch")
-    likely = pairs.join(brief.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    likely = likely.join(brief.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where(can_link(percent)).select("a", "b").distinct()
-    checked = materialize(verified(materialize(likely, "likely"), rows, words, percent), "checked")
+    likely = plausible(pairs, brief, percent)
+    checked = verified(likely, rows, words, percent)
     linked = checked.where("linked").select("a", "b").distinct()
-    edges = equal.union(linked)
     failed = pairs.join(linked, ["a", "b"], "left_anti")
-    if not failed.isEmpty():
-        edges = edges.union(across(on_lists, failed, edges, brief, rows, words, percent))
-    label = components(edges)
-    once = sets.groupBy("id").agg(F.max("n").cast("long").alias("n_shingles"))
+    label = components(equal.union(linked) if failed.isEmpty() else across(on_lists, failed, equal.union(linked), brief, rows, words, percent))
+    once = materialize(sets.groupBy("id").agg(F.max("n").cast("long").alias("n_shingles")), "once")
+    discard(found, same, equal, pairs, likely, checked)
     return once.join(label, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
+def plausible(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link; a set in many pairs is dealt to several tasks."""
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
+    side = brief.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")).join(counts, "b")
+    met = pairs.join(brief.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    side = materialize(side, "hubs")
+    out = materialize(spread_join(met, side, ["b"], "rows").where(can_link(percent)).select("a", "b").distinct(), "plausible")
+    discard(side)
+    return out
+
+
 def can_link(percent: int) -> Column:
     """Whether sizes na, nb and sketches sa, sb allow a link; never false for a pair that links."""
     na, nb = F.col("na"), F.col("nb")
@@ -409,33 +444,65 @@ def can_link(percent: int) -> Column:
 
 
 def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between different components on the lists where a check failed."""
-    label = materialize(components(edges), "labels")
+    """``edges`` and the links between different components on the lists where a check failed."""
     pair = on_lists.where("id != other").select("key", F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
     doubtful = pair.join(failed, ["a", "b"], "left_semi").select("key").distinct()
     places = on_lists.join(doubtful, "key", "left_semi")
-    members = places.select("key", "id").union(places.select("key", F.col("other").alias("id"))).distinct()
-    members = materialize(members.join(brief, "id").select("key", "id", "n", "sketch"), "members")
-
-    # Another drawn member of each list first: what it links needs no pairs.
-    labelled = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    hub = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id"), "id", "component", "n", "sketch")).alias("hub"))
-    met = labelled.join(hub, "key").select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("sketch").alias("sa"), F.col("hub.sketch").alias("sb"))
-    near = materialize(met.where((F.col("ca") != F.col("cb")) & can_link(percent)).select("a", "b").distinct(), "near")
-    near = materialize(verified(near, rows, words, percent), "checked")
-    linked = near.where("linked").select("a", "b")
-    label = materialize(components(edges.union(linked)), "labels")
-    failed = failed.union(near.where("NOT linked").select("a", "b"))
-    members = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    x = members.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = members.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & can_link(percent)).select("a", "b").distinct()
-    pairs = materialize(pairs.join(failed, ["a", "b"], "left_anti"), "pairs")
-    return linked.union(verified(pairs, rows, words, percent).where("linked").select("a", "b"))
+    left = places.select("key", "id").union(places.select("key", F.col("other").alias("id"))).distinct()
+    left = materialize(left.join(brief, "id").select("key", "id", "n", "sketch"), "members")
+    tried, links, turn, more = failed, materialize(edges.distinct(), "links"), 0, True
+
+    def check(met: DataFrame) -> bool:
+        """Add the links among plausible pairs (a, b) that weren't tried yet; whether there were any."""
+        nonlocal tried, links
+        near = materialize(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near")
+        checked = verified(near, rows, words, percent)
+        found = checked.where("linked").select("a", "b")
+        tried, any_ = tried.union(near), not found.isEmpty()
+        if any_:
+            before, links = links, materialize(links.union(found).distinct(), "links")
+            discard(before)
+        return any_
+
+    while True:
+        # The members of lists that hold several components, with these.
+        label = components(links)
+        members = materialize(left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+        several = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most")
+        several = materialize(several.select("key", "rows"), "several")
+        discard(label, left)
+        total = several.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("rows")).alias("pairs")).first()
+        if not total["rows"]:
+            discard(members, several)
+            return links
+        left = materialize(spread_join(members, several, ["key"], "rows"), "members")
+        discard(members, several)
+        if not more or total["pairs"] <= SPREAD * total["rows"]:  # short lists: their pairs cost no more than a round
+            break
+        # Another drawn member of each list, against those of other components; after that it's done with.
+        turn += 1
+        hub = left.groupBy("key", "rows").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)), "id", "component", "n", "sketch")).alias("hub"))
+        hub = materialize(hub, "hubs")
+        met = spread_join(left.drop("rows"), hub, ["key"], "rows")
+        met = met.select("key", "id", "n", "sketch", "component", F.col("hub.id").alias("hub_id"), F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("sketch").alias("sa"), F.col("hub.sketch").alias("sb"))
+        met = materialize(met, "met")
+        more = check(met.where((F.col("ca") != F.col("cb")) & can_link(percent)))
+        before, left = left, materialize(met.where("id != hub_id").select("key", "id", "n", "sketch"), "members")
+        discard(before, hub, met)
+
+    # What is left of a list: pairs, in parts of about SPREAD members against all.
+    parts = F.ceil(F.col("rows") / SPREAD).cast("int")
+    x = left.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = left.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    on = (x["key"] == y["key"]) & (x["part"] == y["part"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))
+    check(x.join(y, on & can_link(percent)))
+    discard(left)
+    return links
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is the least of its class; rows without id stay."""
     found = similar_components(docs, words, percent, id_col)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone_id = fresh(docs, "gone_id")
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone_id))
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")

@@ -626,6 +626,24 @@ def test_near_duplicates(spark, words, percent, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, words, percent)
 
 
+@pytest.mark.parametrize("spread", [1, 64])
+def test_near_duplicates_in_rounds_and_parts(spark, monkeypatch, spread):
+    """A dense group around the threshold, by rounds of drawn members and by parts of lists."""
+    monkeypatch.setattr(near_dup, "SPREAD", spread)
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(60, int(rng.integers(1, 7)), replace=False):
+            words[at] = f"x{i}_{at}" if i % 2 else f"y{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(base)) for i in range(20)]
+    got = near_dup.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2, 80)
+
+
 def test_near_duplicate_edge_cases(docs, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.similar_components(docs, 3, 90).collect()}
     assert got[1] == got[2] == (6, 1) and got[3] == (0, 3) and got[4] == (0, 4) and got[5] == (1, 5) and got[6] == (1, 5)
@@ -703,13 +721,13 @@ def test_top_k(spark, k, bins, block):
 
 def test_top_k_of_huge_components_and_repeated_queries(spark):
     """Scores that no long holds count as the largest that one does; of equal query ids the least vector asks."""
-    rows = [(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 0.5]), (3, [1.0, 1.0]), (4, [1e30, 0.0]), (5, [2.0, 3.0]), (10, [1.0, 0.0]), (10, [0.0, 1.0])]
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [-1e12, 0.5]), (3, [1.0, 1.0]), (4, [1e30, 0.0]), (5, [2.0, 3.0]), (10, [1.0, 0.0]), (10, [0.0, 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = defaultdict(list)
     for r in topk.top_k(v, v.where("vec_id IN (0, 10)"), 4).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     most = topk.MOST
-    assert sorted(got[0]) == [(1, 1, most), (2, 4, most), (3, 5, 256**2 * (2 * 10**15 + 3)), (4, 3, 256**2 * (10**15 + 1))]
+    assert sorted(got[0]) == [(1, 1, most), (2, 4, most), (3, 5, 256**2 * (2 * 10**12 + 3)), (4, 3, 256**2 * (10**12 + 1))]
     assert sorted(got[10]) == [(1, 5, 3 * 256**2), (2, 1, 2 * 256**2), (3, 0, 256**2), (4, 3, 256**2)]
 
 
