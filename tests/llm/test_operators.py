@@ -1,7 +1,9 @@
 """The operators against brute force, and on nulls, ties, repeats and empty tables."""
 
 import hashlib
+import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -695,6 +697,73 @@ def test_extraction_edge_cases(spark):
     assert got[1] == got[2] == [""] and got[3] == ["One & two three four five"] and got[4] == ["ab c"] and len(got[5]) == 2
 
 
+def enumerated(page, model):
+    """Marginals by summing over all states of all nodes."""
+    own, edge = model.potentials(page)
+    n, total, out = len(own), 0.0, np.zeros(len(page.tags))
+    for states in itertools.product((0, 1), repeat=n):
+        weight = 1.0
+        for i, s in enumerate(states):
+            weight *= np.exp(own[i]) if s else 1.0
+            weight *= edge[i][states[page.parents[i]]][s] if i else 1.0
+        total += weight
+        out += weight * np.array(states)
+    return out / total
+
+
+def test_marginals_against_enumeration():
+    rng = np.random.default_rng(4)
+    sources = ["<body><nav><ul><li><a>x</a></ul></nav><div class='k9'><article><h1>t</h1><p>long text of an article, with words</p></article></div><footer>f</footer>", "<div class='ad'>buy</div><main><section><p>one</p><p>two</p></section></main>"]
+    model = html_extract.train(sources)
+    for _ in range(20):
+        tags = rng.choice(["div", "p", "article", "aside", "ul", "section", "h2"], 9).tolist()
+        source = "".join(f"<{t} class='{rng.choice(['ad', 'post', 'k9', 'zz'])}'>{'w ' * int(rng.integers(0, 30))}" + (f"</{t}>" if rng.random() < 0.5 else "") for t in tags)
+        page = html_extract.Page(source)
+        assert len(page.tags) <= 12 and np.allclose(model.marginals(page), enumerated(page, model), atol=1e-9)
+
+
+def test_messages_and_training_decide():
+    """A short paragraph among long ones is kept, a long one in a box of links is not, for their neighbours; and no name is given away."""
+    long = "many words that tell a long story, one after the other, until the paragraph is full of them. " * 4
+    article = f"<div class='alpha'><p>{long}</p><p>Ok.</p><p>{long}</p></div>"
+    links = "<section><div class='beta'>" + "".join(f"<p><a href='x'>{long[:60]}</a></p>" for _ in range(6)) + f"<p>{long}</p></div></section>"
+    train = [f"<body>{links}<article>{article}</article>{links}</body>" for _ in range(30)]
+    model = html_extract.train(train)
+    page = html_extract.Page(f"<body>{links}<section>{article}</section>{links}</body>")
+    text = page.kept([p >= 0.5 for p in model.marginals(page)])
+    assert text == " ".join(f"{long} Ok. {long}".split())
+    own, _ = model.potentials(page)
+    alone = page.kept([o >= 0 for o in own])
+    assert alone != text
+    flat = html_extract.Model(model.figures, {}, {k: ((0.5, 0.5), (0.5, 0.5)) for k in model.kinds})
+    assert page.kept([p >= 0.5 for p in flat.marginals(page)]) != text
+    untrained = html_extract.train([])
+    assert page.kept([p >= 0.5 for p in untrained.marginals(page)]) != text
+
+
+def test_extraction_of_renamed_articles(spark, sf_dir):
+    """Trained on marked pages, the model finds the article where its mark is missing."""
+    pages = [r.html for r in real(spark, sf_dir, "pages").collect()]
+    model = html_extract.train(pages[: len(pages) // 2])
+    for source in pages[len(pages) // 2 :]:
+        marked, bare = html_extract.Page(source), html_extract.Page(source.replace("<article>", "<div>").replace("</article>", "</div>"))
+        assert bare.kept([p >= 0.5 for p in model.marginals(bare)]) == marked.kept([p >= 0.5 for p in model.marginals(marked)])
+
+
+@pytest.mark.parametrize("part", ["<div>", "</div>", "<span>", "</p>", "<a>", "<li>", "<p>", "<b></i>", "<td>", "<ul><li><div>"])
+def test_extraction_takes_linear_time(part):
+    began = time.process_time()
+    page = html_extract.Page("<article><p>start</p>" + part * 50_000 + "</article>end")
+    html_extract.train([]).marginals(page)
+    assert time.process_time() - began < 15
+
+
+def test_extraction_keeps_an_articles_header(spark):
+    rows = [(1, "<body><header>site</header><article><header><h1>Title</h1></header><p>text of the article</p><footer>by</footer></article></body>")]
+    d = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    assert html_extract.extract(d).first().text == "Title text of the article" and html_extract.extract(d.limit(0)).count() == 0
+
+
 # --- search -----------------------------------------------------------------
 
 
