@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from array import array
+from collections import ChainMap
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,7 +130,8 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.sizes: dict[str, int] = {"": 0}
+        self.sizes: dict[str, int] = {"": 0}  # of words
+        self.run_sizes: dict[str, int] = {"": 0}
         self.by_words = True
         self.by_words = self.many(PROBES) == list(self._whole(PROBES).values())
 
@@ -207,6 +209,64 @@ class WordEncoder:
         rest = WORD_END.search(text, chars)
         return text[:chars] if text[chars - 1 : chars].isspace() else text[: rest.start() if rest else len(text)]
 
+    def _sizes(self, missing: list[str]) -> dict[str, int]:
+        """The number of ids of each word, without keeping the ids."""
+        if not missing:
+            return {}
+        shapes = self.PLAIN.findall("\n".join(missing).lower())
+        new = {x for a, b, _ in shapes for x in (a, b)}.difference(self.run_sizes)
+        if len(self.run_sizes) + len(new) > self.limit:
+            self.run_sizes = {"": 0}
+            new = {x for a, b, _ in shapes for x in (a, b)} - {""}
+        step, known = self.tokenizer.model.tokenize, self.run_sizes
+        known.update((w, len(step(w))) for w in new if w.isascii())
+        known.update((w, len(b) // 4) for w, b in self._runs([w for w in new if not w.isascii()]).items())
+        own = {w: known[a] + known[b] for w, (a, b, _) in zip(missing, shapes, strict=True)}
+        if odd := [w for w, x in zip(missing, shapes, strict=True) if x[2]]:
+            own |= {w: len(b) // 4 for w, b in self._whole(odd).items()}
+        return own
+
+    def _sized(self, words: list[list[str]]) -> dict[str, int]:
+        """Sizes of all the words; they are kept for later, but for odd ones."""
+        if not self.by_words:
+            raise ValueError("Token counts by words need a vocabulary that never joins text across white space")
+        seen = set().union(*words)
+        missing = seen.difference(self.sizes)
+        if len(self.sizes) + len(missing) > self.limit:
+            self.sizes, missing = {"": 0}, seen - {""}
+        odd = [w for w in missing if len(w) > self.longest or OTHER_SPACE.search(w)]
+        self.sizes.update(self._sizes(list(missing.difference(odd))))
+        if not odd:
+            return self.sizes
+        return ChainMap(dict(zip(odd, (len(b) // 4 for b in self.many(odd)), strict=True)), self.sizes)
+
+    def counts(self, words: list[list[str]]) -> list:
+        """The number of ids of each word of each list; words hold no ASCII white space."""
+        import numpy as np
+
+        get = self._sized(words).__getitem__
+        return [np.fromiter(map(get, some), dtype=np.int32, count=len(some)) for some in words]
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        if not self.by_words:
+            return [len(b) // 4 for b in self.many(texts)]
+        words = [split_words(t) for t in texts]
+        get = self._sized(words).__getitem__
+        return [sum(map(get, some)) for some in words]
+
+    def heads(self, texts: list[str], chars: list[int]) -> list[int]:
+        """How many ids the words that start in the first ``chars`` code points of each text have, just after ``many`` of it."""
+        if not self.by_words:
+            return [len(b) // 4 for b in self.many([t[:n] for t, n in zip(texts, chars, strict=True)])]
+        get = lambda w: len(self.memo[w] if w in self.memo else self._whole([w])[w])
+        return [sum(map(get, split_words(self._whole_words(t, n)))) // 4 if n else 0 for t, n in zip(texts, chars, strict=True)]
+
+    @staticmethod
+    def _whole_words(text: str, chars: int) -> str:
+        rest = WORD_END.search(text, chars)
+        return text[:chars] if text[chars - 1 : chars].isspace() else text[: rest.start() if rest else len(text)]
+
     def counts(self, words: list[list[str]]) -> list:
         """The number of ids of each word of each list; words hold no ASCII white space."""
         import numpy as np

@@ -227,7 +227,7 @@ def with_token_counts(docs: DataFrame, name: str, text_col: str = "text", tokeni
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                counts = [int(n.sum()) for n in encoder.counts([leaf_words(t) for t in texts])]
+                counts = encoder.totals(texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(counts, pa.int64())], names=[*(f.name for f in fields), name])
 
     return docs.mapInArrow(run, StructType([*fields, StructField(name, LongType())]))
