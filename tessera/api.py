@@ -72,7 +72,7 @@ def current(value: dict) -> Descriptor:
 
 def extended(value: dict, kind: str, origin: str, payload: dict, output: Descriptor) -> dict:
     if len(value["steps"]) >= MAX_STEPS:
-        raise ValueError("Too many raster operations")
+        raise ValueError("A raster has too many operations")
     step = {"kind": kind, "origin": origin, "clip": None, "reproject": None, kind: payload, "output": to_struct(output)}
     return value | {"steps": [*value["steps"], step]}
 
@@ -97,7 +97,7 @@ def open_raster(spark: SparkSession, value: dict) -> Raster:
     source = value["source"]
     r = raster_files.read_raster(spark, source["location"], identity=source["identity"])
     if not same(to_struct(r.descriptor), value["descriptor"]):
-        raise ValueError("Raster source metadata changed")
+        raise ValueError("The source's metadata changed since it was described")
     for step in value["steps"]:
         p = step[step["kind"]]
         if step["kind"] == "clip":

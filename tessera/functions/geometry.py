@@ -34,7 +34,7 @@ def edges(wkt: Column) -> Column:
 
     empty = F.array().cast(EDGE)
     found = F.flatten(F.transform(lines, sides))
-    checked = F.when(wkt.rlike("(?s)" + POLYGON), found).otherwise(F.raise_error(F.lit("Zone must be a Polygon or MultiPolygon")))
+    checked = F.when(wkt.rlike("(?s)" + POLYGON), found).otherwise(F.raise_error(F.lit("The geometry must be a Polygon or MultiPolygon")))
     return F.when(wkt.isNull(), empty).otherwise(checked)
 
 
@@ -77,16 +77,79 @@ def covers(sides: Column, x: Column, y: Column) -> Column:
 
 
 def parse_polygon(wkt: str) -> list[list[tuple[float, float]]]:
-    """Rings of one polygon, for planning on the driver."""
+    """Rings of one valid polygon or multipolygon."""
     if not re.match(POLYGON, wkt or "", re.S):
-        raise ValueError("Clip geometry must be a Polygon or MultiPolygon")
+        raise ValueError("The geometry must be a Polygon or MultiPolygon")
     rings = [[tuple(float(v) for v in p.split()[:2]) for p in r.split(",")] for r in re.findall(r"\(([^()]+)\)", wkt)]
+    check_rings(rings)
+    return rings
+
+
+#: Edges that are tested against all later ones at a time.
+EDGE_BLOCK = 256
+
+
+def check_rings(rings: list[list[tuple[float, float]]]) -> None:
+    """Raise unless the rings are those of a valid polygon.
+
+    Rings are closed, of 4 finite points at least, and visit no point twice;
+    no two edges cross or overlap (rings may touch in points).
+    """
+    import numpy as np
+
     for ring in rings:
         if len(ring) < 4 or ring[0] != ring[-1]:
-            raise ValueError("Polygon rings must be closed")
+            raise ValueError("Polygon rings must be closed and have 4 points")
         if not all(math.isfinite(v) for p in ring for v in p):
             raise ValueError("Polygon coordinates must be finite")
-    return rings
+        turns = [p for p, q in zip(ring, ring[1:], strict=False) if p != q]
+        if len(turns) < 3 or len(set(turns)) < len(turns):
+            raise ValueError("A polygon's ring meets itself")
+    sides = np.array([(*p, *q) for ring in rings for p, q in zip(ring, ring[1:], strict=False) if p != q]).reshape(-1, 4)
+    side = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
+    for at in range(0, len(sides), EDGE_BLOCK):
+        p, q = sides[at : at + EDGE_BLOCK, None, :2], sides[at : at + EDGE_BLOCK, None, 2:]
+        r, s = sides[None, at:, :2], sides[None, at:, 2:]
+        d1, d2, d3, d4 = side(p, q, r), side(p, q, s), side(r, s, p), side(r, s, q)
+        later = np.arange(len(sides) - at)[None, :] > np.arange(p.shape[0])[:, None]
+        crossed = (d1 * d2 < 0) & (d3 * d4 < 0)
+        # On one line: they overlap if more than a point is common along the longer axis.
+        low, high = np.maximum(np.minimum(p, q), np.minimum(r, s)), np.minimum(np.maximum(p, q), np.maximum(r, s))
+        overlap = (d1 == 0) & (d2 == 0) & (d3 == 0) & (d4 == 0) & ((high - low) >= 0).all(-1) & ((high - low) > 0).any(-1)
+        if (later & (crossed | overlap)).any():
+            raise ValueError("Edges of a polygon cross or overlap")
+
+
+def aligned(wkt: str | None, crs: str | None, given: str | None = None) -> str | None:
+    """A valid polygon's text in system ``crs``, without an SRID.
+
+    Its own system is its SRID, else ``given``, else ``crs``. A null or empty
+    polygon stays as it is; an unknown system is an error.
+    """
+    if wkt is None or not wkt.strip():
+        return None
+    srid = re.match(r"(?i)\s*SRID=(\d+);", wkt)
+    text, own = (wkt[srid.end() :], srid[1]) if srid else (wkt, given)
+    parse_polygon(text)
+    if own in (None, "0", crs) or crs is None and not srid:
+        return text
+    if crs is None:
+        raise ValueError("A zone has a system but the raster has none")
+    from tessera.functions.crs import transform
+
+    if (change := transform(own, crs)) is None:
+        return text
+    import numpy as np
+
+    pair = re.compile(rf"({NUMBER})\s+({NUMBER})(?:\s+{NUMBER})*")
+    points = [m.groups() for m in pair.finditer(text)]
+    if not points:
+        return text
+    x, y = change(*np.array(points, dtype=np.float64).T)
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        raise ValueError("A zone has no place in the raster's system")
+    new = iter(zip(x.tolist(), y.tolist(), strict=True))
+    return pair.sub(lambda _: "{!r} {!r}".format(*next(new)), text)
 
 
 def pixel_window(rings: list[list[tuple[float, float]]], grid: Grid) -> tuple[int, int, int, int] | None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import covers, edges, in_pixels, window
+from tessera.functions.geometry import aligned, covers, edges, in_pixels, window
 from tessera.functions.pixel import finite, physical, stored_no_data, valid
 from tessera.raster import Raster
 
@@ -21,18 +23,35 @@ def statistic(name: str):
     return F.col(name)
 
 
-def zonal_statistics(raster: Raster, zones: DataFrame, band: int = 0, no_data: float | None = None, zone_id: str = "zone_id", wkt: str = "wkt", tile: int = JOIN_TILE) -> DataFrame:
+def zones_of(zones: DataFrame, zone_id: str, wkt: str, crs: str | None, zone_crs: str | None) -> DataFrame:
+    """(zone_id, wkt) with valid polygons in system ``crs``; zones are few beside pixels."""
+    kind = dict(zones.dtypes)[zone_id]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([aligned(t, crs, zone_crs) for t in batch.column(1).to_pylist()], pa.string())], names=["zone_id", "wkt"])
+
+    return zones.select(F.col(zone_id).alias("zone_id"), F.col(wkt).alias("wkt")).mapInArrow(run, f"zone_id {kind}, wkt string")
+
+
+def zonal_statistics(raster: Raster, zones: DataFrame, band: int = 0, no_data: float | None = None, zone_id: str = "zone_id", wkt: str = "wkt", tile: int = JOIN_TILE, zone_crs: str | None = None) -> DataFrame:
     """count, mean, min, max, sum, stddev (population) and status for each zone.
 
     A pixel counts if its centre lies in the zone or on its boundary, its raw
     value is valid (``no_data`` replaces the band's own) and its physical value
     finite. A null or empty zone is EMPTY_GEOMETRY, one without such pixels
-    NO_VALID_PIXELS. Zones that repeat an id are one row each.
+    NO_VALID_PIXELS. Zones that repeat an id are one row each. A zone's system
+    is its ``SRID=n;``, else ``zone_crs``, else the raster's; where it differs
+    from the raster's its coordinates are transformed. An unknown system or an
+    invalid polygon is an error.
     """
     if not 0 <= band < len(raster.descriptor.bands):
         raise ValueError("Band outside raster")
     own, grid = raster.descriptor.bands[band], raster.grid
-    shapes = zones.select(F.col(zone_id).alias("zone_id"), in_pixels(edges(F.col(wkt)), grid).alias("sides")).withColumn("row", F.monotonically_increasing_id())
+    shapes = zones_of(zones, zone_id, wkt, raster.descriptor.crs, zone_crs)
+    shapes = shapes.select("zone_id", in_pixels(edges(F.col("wkt")), grid).alias("sides")).withColumn("row", F.monotonically_increasing_id())
     shapes = shapes.withColumn("w", F.when(F.size("sides") > 0, window(F.col("sides"), grid.width, grid.height)))
     spread = lambda low, high: F.sequence(F.floor(F.col(f"w.{low}") / tile), F.floor((F.col(f"w.{high}") - 1) / tile))
     hit = shapes.where("w.x0 < w.x1 AND w.y0 < w.y1")

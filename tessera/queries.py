@@ -8,7 +8,9 @@ vector, ``events`` is 25 wide. World coordinates have the lower left corner at
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,6 +189,27 @@ def zonal_rect(spark, sf_dir):
     return rounded(sizes(spark, sf_dir).zonal(zones(spark, sf_dir, "rect")))
 
 
+@query(zonal_sql("wx BETWEEN x0 + 0.25 AND x1 + 0.25 AND wy BETWEEN y0 + 0.25 AND y1 + 0.25"))
+def zonal_srid(spark, sf_dir):
+    """Zones in longitude and latitude (SRID 4326) over a raster in Mercator metres; the SQL takes the metres."""
+    r = sizes(spark, sf_dir)
+    metres = Raster(r.pixels, replace(r.descriptor, crs="EPSG:3857"))
+    radius, point = 6378137.0, r"(-?[0-9.]+) (-?[0-9.]+)"
+    # A quarter of a pixel off, so that no pixel centre lies on an edge.
+    lon = lambda x: F.degrees((x.cast("double") + 0.25) / radius)
+    lat = lambda y: F.degrees(2 * F.atan(F.exp((y.cast("double") + 0.25) / radius)) - F.lit(math.pi) / 2)
+    pairs = F.transform(F.regexp_extract_all("wkt", F.lit(point), F.lit(0)), lambda p: F.concat_ws(" ", lon(F.split(p, " ")[0]).cast("string"), lat(F.split(p, " ")[1]).cast("string")))
+    wkt = F.concat(F.lit("SRID=4326;POLYGON (("), F.array_join(pairs, ", "), F.lit("))"))
+    return rounded(metres.zonal(zones(spark, sf_dir, "rect").withColumn("wkt", wkt)))
+
+
+@query(f"WITH {P}, d AS (SELECT x, y, raw FROM p WHERE band = 0 AND raw <> 7) SELECT (x // 5)::BIGINT AS x, (y // 5)::BIGINT AS y, count(*) AS n FROM d WHERE x % 5 = 2 AND y % 5 = 2 GROUP BY ALL")
+def warp_bilinear_down(spark, sf_dir):
+    """A fifth of the resolution: each target's centre is a source pixel's, whose weight is 1."""
+    out = sizes(spark, sf_dir).reproject(5.0, interpolation="BILINEAR", output_no_data=-9999.0).pixels
+    return out.where("raw <> -9999.0").groupBy(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(zonal_sql("wx >= x0 AND wy >= y0 AND (wx - x0) * (y1 - y0) + (wy - y0) * (x1 - x0) <= (x1 - x0) * (y1 - y0)"))
 def zonal_triangle(spark, sf_dir):
     return rounded(sizes(spark, sf_dir).zonal(zones(spark, sf_dir, "triangle")))

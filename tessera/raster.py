@@ -45,10 +45,10 @@ class Raster:
 
         return overviews(self, block, resampling)
 
-    def zonal(self, zones: DataFrame, band: int = 0, no_data: float | None = None, zone_id: str = "zone_id", wkt: str = "wkt") -> DataFrame:
+    def zonal(self, zones: DataFrame, band: int = 0, no_data: float | None = None, zone_id: str = "zone_id", wkt: str = "wkt", zone_crs: str | None = None) -> DataFrame:
         from tessera.operators.zonal import zonal_statistics
 
-        return zonal_statistics(self, zones, band, no_data, zone_id, wkt)
+        return zonal_statistics(self, zones, band, no_data, zone_id, wkt, zone_crs=zone_crs)
 
 
 def from_table(df: DataFrame, x: Column, y: Column, bands: Sequence[Column], descriptor: Descriptor) -> Raster:

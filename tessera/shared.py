@@ -13,9 +13,11 @@ DEFAULT_WORK_DIR = "file:///tmp/checkpoints/tessera"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session names none a local one is set."""
+    """``spark.checkpoint.dir``; a local session that names none gets a local one, a cluster's must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = DEFAULT_WORK_DIR
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
