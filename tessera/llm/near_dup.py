@@ -19,7 +19,7 @@ list's key: so members of a group of copies meet several of the group, one of
 which is likely close to them. These links are checked by exact set
 intersection. On lists where a check failed, other members are drawn and tried
 in rounds, each against all members of other components, as long as a round
-finds links; only then pairs of members of components that still differ are
+finds links and pairs would cost more; only then pairs of members of components that still differ are
 compared by their *sketches* (one bit for each of SKETCH_BITS hash ranges, the
 parity of the elements in it; the bits that differ are a lower bound of the
 elements that differ), a long list in parts, and those that can link are
@@ -326,6 +326,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 #: Pairs that a copy of a set is sent to, and members of a list that are compared with all at a time.
 SPREAD = 64
+#: Pairs of sketches that cost as much as a further round of drawn members.
+ROUND_PAIRS = 100_000_000
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -477,7 +479,7 @@ def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: Data
             return links
         left = materialize(spread_join(members, several, ["key"], "rows"), "members")
         discard(members, several)
-        if not more or total["pairs"] <= SPREAD * total["rows"]:  # short lists: their pairs cost no more than a round
+        if not more or total["pairs"] <= (ROUND_PAIRS if turn else SPREAD * total["rows"]):  # pairs cost no more than a round
             break
         # Another drawn member of each list, against those of other components; after that it's done with.
         turn += 1

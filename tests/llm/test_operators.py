@@ -632,6 +632,7 @@ def test_near_duplicates(spark, words, percent, seed):
 def test_near_duplicates_in_rounds_and_parts(spark, monkeypatch, spread):
     """A dense group around the threshold, by rounds of drawn members and by parts of lists."""
     monkeypatch.setattr(near_dup, "SPREAD", spread)
+    monkeypatch.setattr(near_dup, "ROUND_PAIRS", 0 if spread == 1 else 10**8)
     monkeypatch.setattr(common, "SMALL_ROWS", 0)
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(60)]
