@@ -8,6 +8,7 @@ it reads back. All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, near_dup, packing, quality
 from tessera.llm.common import materialize, table
@@ -37,8 +38,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
-    return packing.pack(docs)
+    """Pieces of the documents in sequences of 2048 tokens; a document's first line is its prompt."""
+    return packing.pack(docs, prompt_chars=packing.first_line(F.col("text")))
 
 
 STAGES = [
