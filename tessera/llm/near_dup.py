@@ -451,7 +451,7 @@ def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: Data
     doubtful = pair.join(failed, ["a", "b"], "left_semi").select("key").distinct()
     places = on_lists.join(doubtful, "key", "left_semi")
     left = places.select("key", "id").union(places.select("key", F.col("other").alias("id"))).distinct()
-    left = materialize(left.join(brief, "id").select("key", "id", "n", "sketch"), "members")
+    left = materialize(left, "members")
     tried, links, turn, more = failed, materialize(edges.distinct(), "links"), 0, True
 
     def check(met: DataFrame) -> bool:
@@ -467,17 +467,17 @@ def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: Data
         return any_
 
     while True:
-        # The members of lists that hold several components, with these.
+        # The members of lists that hold several components, with these; of lists with equal members one will do.
         label = components(links)
         members = materialize(left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
-        several = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most")
-        several = materialize(several.select("key", "rows"), "several")
+        several = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("first"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("second")).where("least < most")
+        several = materialize(several.groupBy("rows", "first", "second").agg(F.min("key").alias("key")).select("key", "rows"), "several")
         discard(label, left)
         total = several.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("rows")).alias("pairs")).first()
         if not total["rows"]:
             discard(members, several)
             return links
-        left = materialize(spread_join(members, several, ["key"], "rows"), "members")
+        left = materialize(spread_join(members, several, ["key"], "rows").join(brief, "id").select("key", "id", "component", "rows", "n", "sketch"), "members")
         discard(members, several)
         if not more or total["pairs"] <= (ROUND_PAIRS if turn else SPREAD * total["rows"]):  # pairs cost no more than a round
             break
@@ -489,7 +489,7 @@ def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: Data
         met = met.select("key", "id", "n", "sketch", "component", F.col("hub.id").alias("hub_id"), F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("sketch").alias("sa"), F.col("hub.sketch").alias("sb"))
         met = materialize(met, "met")
         more = check(met.where((F.col("ca") != F.col("cb")) & can_link(percent)))
-        before, left = left, materialize(met.where("id != hub_id").select("key", "id", "n", "sketch"), "members")
+        before, left = left, materialize(met.where("id != hub_id").select("key", "id"), "members")
         discard(before, hub, met)
 
     # What is left of a list: pairs, in parts of about SPREAD members against all.
