@@ -8,9 +8,10 @@ cost rule chooses between two exact ways to find candidates:
   subset that lacks no more than the elements that may differ;
 * large sets are put on inverted lists. A list is keyed by a *block*: the
   elements that one of m hash ranges holds, m exceeding the number of elements
-  in which linked sets may differ, so that linked sets agree on some blocks. (A
-  list for each single shingle has a length that grows with the square of a
-  common passage's use; a block of several shingles doesn't.)
+  in which linked sets may differ, so that linked sets agree on some blocks. A
+  set whose partners differ from it in d elements at most goes on its first d + 1
+  lists, in the order of keys. (A list for each single shingle has a length that
+  grows with the square of a common passage's use; a block of several doesn't.)
 
 Each task first links the sets on its own part of a list to one of them, so a
 list never has more entries than there are tasks, and then every list's entries
@@ -99,7 +100,7 @@ class Scheme:
             blocks, spare = self.plan(low, differ)
             lacking = (100 - self.percent) * self.top(high - 1) // 100  # of the larger set
             # The boundary between small and large is where subsets start to cost more than entries on lists.
-            subsets, j, most = 0, 0, blocks * LIST_COST / SUBSET_COST
+            subsets, j, most = 0, 0, (differ + 1) * LIST_COST / SUBSET_COST
             while j <= lacking and subsets <= most:
                 subsets, j = subsets + math.comb(self.top(high - 1), j), j + 1
             self.classes.append(SizeClass(k, low, high, differ, subsets <= most, blocks, spare))
@@ -201,8 +202,10 @@ def keys_of(elements, plan: Scheme):
         block = (mix(elements ^ salt) % np.uint64(c.blocks)).astype(np.int64)
         full = np.bincount(block, minlength=c.blocks)
         sums = sums_by_block(mix(elements + salt), block, c.blocks)
-        key = mix(sums ^ mix(np.arange(c.blocks, dtype=np.uint64) + salt))
-        out.append(key[full > 0])
+        key = mix(sums ^ mix(np.arange(c.blocks, dtype=np.uint64) + salt))[full > 0]
+        # A prefix of the keys in order: a set whose partners differ from it in d elements at most shares one of its first d + 1.
+        differ = plan.most_different(n, plan.top(n) if c.index == i else c.high - 1)
+        out.append(np.partition(key, differ)[: differ + 1] if len(key) > differ + 1 else key)
         empty = np.flatnonzero(full == 0).astype(np.uint64)
         if len(empty) > c.spare:  # rare: linked sets may agree on empty blocks alone, then on two at least
             a, b = np.triu_indices(len(empty), 1)
