@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, html_extract, mixing, near_dup, packing, quality, secrets, token_counts, topk, url_filter
-from tessera.llm.common import table, text_or_empty
+from tessera.llm import byte_bpe, exact_dedup, html_extract, mixing, near_dup, packing, periodic_runs, quality, secrets, token_counts, topk, url_filter
+from tessera.llm.common import let, table, text_or_empty
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,52 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, token_counts.redactions(text_or_empty()))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def made_periodic(doc_id: Column, text: Column) -> Column:
+    """The text that the contract of :func:`op13_periodic_runs` makes of some documents, by their ids' checksums."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def cyclic(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.transform(at, lambda i: F.get(words, i.cast("int"))), " ")).otherwise("")
+
+    return F.when(h % 10 == 0, let(words, cyclic)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = periodic_runs.repeated_runs(docs.select("doc_id", made_periodic(F.col("doc_id"), text_or_empty()).alias("text")))
+    long = lambda r, name: r[name].cast("long")
+
+    def better(a: Column, b: Column) -> Column:
+        """Whether a's exponent is greater than b's; of equals the run that comes first holds."""
+        return long(a, "length") * long(b, "period") > long(b, "length") * long(a, "period")
+
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda acc, r: F.when(better(r, acc), r).otherwise(acc))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    milli = F.expr("1000 * CAST(best.length AS LONG) DIV best.period")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").cast("long").alias(c) for c in ("start", "length", "period")),
+        milli.alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_packing, op3_quality, op4_mixing, op5_url_filter, op5_url_tree, op6_secrets, op7_ngram_join, op8_html_extract, op9_topk, op10_token_counts, pipeline)
+    for f in (op1_exact_dedup, op2_packing, op3_quality, op4_mixing, op5_url_filter, op5_url_tree, op6_secrets, op7_ngram_join, op8_html_extract, op9_topk, op10_token_counts, op11_byte_bpe, op13_periodic_runs, pipeline)
 }
 
 OP1_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

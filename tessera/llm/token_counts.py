@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import OTHER_SPACE, default_tokenizer_path, discard, materialize, regex_spans, text_or_empty, word_encoder
+from tessera.llm.common import OTHER_SPACE, default_tokenizer_path, discard, list_column, materialize, regex_spans, text_or_empty, word_encoder
 
 SPACE = " \t\n\r"
 FANOUT = 16
@@ -109,15 +109,6 @@ def regions_of(text: str, lengths, edits: list[tuple[int, int, str]]) -> list[tu
     return out
 
 
-def list_column(arrays: list, kind):
-    """An Arrow list column of NumPy arrays."""
-    import numpy as np
-    import pyarrow as pa
-
-    offsets = np.cumsum([0, *(len(a) for a in arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else [], kind))
-
-
 def token_trees(docs: DataFrame, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """A tree for each row of ``docs``: its id, leaf_chars and sums, and the regions of its edits.
 
