@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, exact_dedup, html_extract, mixing, near_dup, packing, periodic_runs, quality, secrets, token_counts, topk, url_filter
+from tessera.llm import byte_bpe, collocations, exact_dedup, html_extract, mixing, near_dup, packing, periodic_runs, quality, secrets, token_counts, topk, url_filter
 from tessera.llm.common import let, table, text_or_empty
 
 
@@ -64,6 +64,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
 def made_periodic(doc_id: Column, text: Column) -> Column:
     """The text that the contract of :func:`op13_periodic_runs` makes of some documents, by their ids' checksums."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -112,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_packing, op3_quality, op4_mixing, op5_url_filter, op5_url_tree, op6_secrets, op7_ngram_join, op8_html_extract, op9_topk, op10_token_counts, op11_byte_bpe, op13_periodic_runs, pipeline)
+    for f in (op1_exact_dedup, op2_packing, op3_quality, op4_mixing, op5_url_filter, op5_url_tree, op6_secrets, op7_ngram_join, op8_html_extract, op9_topk, op10_token_counts, op11_byte_bpe, op12_collocations, op13_periodic_runs, pipeline)
 }
 
 OP1_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -126,6 +130,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+def collocations_sql() -> str:
+    """Counts of each order by itself, then cuts and longer phrases by joins of texts."""
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS m, array_to_string(w[i:i + {k - 1}], ' ') AS phrase, w[i:i + {k - 1}] AS ws FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces)" for k in (1, 2, 3, 4))
+    cuts = " UNION ALL ".join(f"SELECT lang, phrase, a, {k} AS k, array_to_string(ws[:{k}], ' ') AS p, array_to_string(ws[{k + 1}:], ' ') AS q FROM c WHERE m > {k}" for k in (1, 2, 3))
+    inner = " UNION ALL ".join(f"SELECT lang, array_to_string(ws[{s}:{s + m - 1}], ' ') AS phrase, a FROM c WHERE m > {m} AND m >= {s + m - 1}" for m in (2, 3) for s in range(1, 6 - m))
+    return f"""WITH pieces AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+c AS MATERIALIZED (SELECT lang, m, phrase, any_value(ws) AS ws, count(*) AS a FROM ({grams}) GROUP BY lang, m, phrase HAVING count(*) >= 30),
+s AS (SELECT x.lang, x.phrase, x.a, x.k, l.a AS l, r.a AS r, (2000000::HUGEINT * x.a // (l.a + r.a))::BIGINT AS score FROM ({cuts}) x JOIN c l ON l.lang = x.lang AND l.phrase = p JOIN c r ON r.lang = x.lang AND r.phrase = q),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM ({inner}) GROUP BY lang, phrase),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * b.a),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000"""
+
+
 def url_filter_sql() -> str:
     """Templates by a recursion over whole levels with window aggregates, then purities by window sums."""
     u = url_filter
@@ -158,4 +178,4 @@ FROM ruled q JOIN tree t ON t.host = q.host AND t.segs = q.segs JOIN pure p ON p
 
 
 #: The other operators learn, tokenize or need places of matches: they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": url_filter_sql(), "op5_url_tree": url_filter_sql(), "op9_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": url_filter_sql(), "op5_url_tree": url_filter_sql(), "op9_topk": OP9_SQL, "op12_collocations": collocations_sql()}
