@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.shared import work_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage in a way that outlives any executor. The table is removed by
@@ -23,7 +23,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     target, system = file_system(spark, path)
     system.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)

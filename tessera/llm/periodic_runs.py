@@ -35,7 +35,9 @@ MIN_WORDS, MIN_EXPONENT = 6, 4
 MORE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WORD = re.compile("[^ \t-\r]+")
 #: Parts of a document's row that a batch holds, in bytes of words.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
+#: Fragments of a document's tiles that are joined at a time.
+MERGE = 5_000
 TILE = "octave int, boundary int, left int, words array<int>"
 FRAGMENT = "period int, start int, end int"
 RUNS = "array<struct<start:int,length:int,period:int>>"
@@ -70,8 +72,8 @@ def z_function(s: list[int]) -> list[int]:
     return z
 
 
-def tiles_of(codes) -> list[tuple[int, int, int, list[int]]]:
-    """(octave, boundary, left end, words) of every tile that can see a run."""
+def tiles_of(codes) -> list[tuple[int, int, int]]:
+    """(octave, boundary, left end) of every tile that can see a run."""
     import numpy as np
 
     n, out = len(codes), []
@@ -87,8 +89,7 @@ def tiles_of(codes) -> list[tuple[int, int, int, list[int]]]:
         if len(rest) and (rest == prints[rows * size]).any():
             hits = np.append(hits, rows * size)
         for b in hits.tolist():
-            left = max(0, b - size)
-            out.append((octave, b, left, codes[left : b + 4 * size].tolist()))
+            out.append((octave, b, max(0, b - size)))
         with np.errstate(over="ignore"):
             prints = _mixed(prints[:-size] * np.uint64(0x9E3779B97F4A7C15) + _mixed(prints[size:]))
         size, octave = 2 * size, octave + 1
@@ -145,7 +146,7 @@ def merged(fragments: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def tiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents, each followed by its tiles.
+    """Tiles, and after those of a document its own row.
 
     A document's row has n_words, n_tiles and its words joined by blanks as
     ``text``; its octave is null. Tiles carry the row's number and id only.
@@ -161,17 +162,23 @@ def tiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
             kinds[1], out, held = batch.schema.field(0).type, [], 0
-            for key, text, row in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words, key = words_of(text), key.as_py()
-                found = tiles_of(codes_of(words))
-                out.append((row, key, len(words), len(found), " ".join(words), None, None, None, None))
-                held += len(text)
-                for t in found:
-                    out.append((row, key, None, None, None, *t))
-                    held += 4 * len(t[3])
+            for key, text, row in zip(*batch.columns, strict=True):
+                key, row = key.as_py(), row.as_py()
+                words = words_of(text.as_py())
+                codes = codes_of(words)
+                found = tiles_of(codes)
+                text = " ".join(words)
+                for octave, b, left in found:
+                    out.append((row, key, None, None, None, octave, b, left, codes[left : b + (4 << octave)]))
+                    held += 4 * len(out[-1][-1])
                     if held > BATCH_BYTES:
                         yield batch_of(out)
                         out, held = [], 0
+                out.append((row, key, len(words), len(found), text, None, None, None, None))
+                held += len(text)
+                if held > BATCH_BYTES:
+                    yield batch_of(out)
+                    out, held = [], 0
             if out:
                 yield batch_of(out)
 
@@ -179,22 +186,37 @@ def tiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fragments(tiled: DataFrame) -> DataFrame:
-    """The rows of documents as they are, and the fragments of tiles in the tiles' place; those of a batch are joined already."""
+    """Fragments in the place of tiles, those of a batch joined already, and the rows of documents.
+
+    A document's row gets ``open``: whether there may be fragments of it. It is
+    false only if this task has solved all of its tiles, as it has where tiles
+    come straight from their document; dealt anew, they may lie anywhere.
+    """
     id_type = dict(tiled.dtypes)["id"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        seen: dict[int, list[int]] = {}  # tiles and fragments of documents whose rows haven't come
         for batch in batches:
-            tile = pc.is_valid(batch.column(5))
-            found: dict = {}
-            part = batch.filter(tile)
-            keys = part.column(1)
-            for i, (row, octave, boundary, left, words) in enumerate(zip(*(part.column(k).to_pylist() for k in (0, 5, 6, 7, 8)), strict=True)):
-                found.setdefault(row, (i, []))[1].extend(fragments_of(octave, boundary, left, words))
+            part = batch.filter(pc.is_valid(batch.column(5)))
+            found: dict[int, tuple[int, list]] = {}
+            keys, lists = part.column(1), part.column(8)
+            for i, (row, octave, boundary, left) in enumerate(zip(*(part.column(k).to_pylist() for k in (0, 5, 6, 7)), strict=True)):
+                own = found.setdefault(row, (i, []))[1]
+                new = fragments_of(octave, boundary, left, lists[i].values.to_numpy(zero_copy_only=False).tolist())
+                counts = seen.setdefault(row, [0, 0])
+                counts[0], counts[1] = counts[0] + 1, counts[1] + len(new)
+                own += new
+                if len(own) > MERGE and len(own) & 1023 < len(new):
+                    own[:] = merged(own)
             out = [(row, i, *f) for row, (i, some) in found.items() for f in merged(some)]
-            whole = batch.filter(pc.invert(tile))
+            whole = batch.filter(pc.is_valid(batch.column(2)))
+            may = []
+            for row, n in zip(whole.column(0).to_pylist(), whole.column(3).to_pylist(), strict=True):
+                own_tiles, own_fragments = seen.pop(row, (0, 0))
+                may.append(own_tiles < n or own_fragments > 0)
             a, b, n = whole.num_rows, len(out), pa.int32()
             rows, places, periods, starts, ends = zip(*out, strict=True) if out else ([],) * 5
             none = pa.nulls(a, n)
@@ -203,14 +225,14 @@ def fragments(tiled: DataFrame) -> DataFrame:
                     pa.concat_arrays([whole.column(0), pa.array(rows, pa.int64())]),
                     pa.concat_arrays([whole.column(1), keys.take(pa.array(places, pa.int64()))]),
                     pa.concat_arrays([whole.column(2), pa.nulls(b, pa.int64())]),
-                    pa.concat_arrays([whole.column(3), pa.nulls(b, pa.int64())]),
+                    pa.concat_arrays([pa.array(may, pa.bool_()), pa.nulls(b, pa.bool_())]),
                     pa.concat_arrays([whole.column(4), pa.nulls(b, pa.string())]),
                     *(pa.concat_arrays([none, pa.array(x, n)]) for x in (periods, starts, ends)),
                 ],
-                names=["row", "id", "n_words", "n_tiles", "text", "period", "start", "end"],
+                names=["row", "id", "n_words", "open", "text", "period", "start", "end"],
             )
 
-    return tiled.mapInArrow(run, f"row long, id {id_type}, n_words long, n_tiles long, text string, {FRAGMENT}")
+    return tiled.mapInArrow(run, f"row long, id {id_type}, n_words long, open boolean, text string, {FRAGMENT}")
 
 
 def stitched(found: DataFrame, least_words: int = MIN_WORDS, least: int = MIN_EXPONENT) -> DataFrame:
@@ -236,17 +258,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     after its first period. A null text has no words; a text without runs has
     an empty array. Rows that repeat, and null ids, are a document each; an
     empty table gives no rows; other columns are not read. One task holds a
-    document's words, and later its runs; texts that no tile can see a run in
-    are not shuffled.
+    document's words, and later its runs; texts without a fragment are not
+    shuffled.
     """
-    found = materialize(fragments(tiles(docs, id_col, text_col)), "fragments")
-    rows = found.where("n_words IS NOT NULL").select("row", "n_tiles", F.col("id").alias(id_col), "n_words", "text")
+    found = materialize(fragments(tiles(docs, id_col, text_col)), "fragments", compression="zstd")
+    rows = found.where("n_words IS NOT NULL").select("row", "open", F.col("id").alias(id_col), "n_words", "text")
     runs = stitched(found.where("period IS NOT NULL").select("row", "period", "start", "end"))
     runs = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))  # of one document
     none = F.array().cast(RUNS)
-    tiled = rows.where("n_tiles > 0").join(runs, "row", "left")
+    tiled = rows.where("open").join(runs, "row", "left")
     tiled = tiled.select(id_col, "n_words", "text", F.coalesce(F.transform("runs", lambda r: F.struct(r["start"], r["length"], r["period"])), none).alias("runs"))
-    plain = rows.where("n_tiles = 0").select(id_col, "n_words", "text", none.alias("runs"), F.col("text").alias("collapsed"))
+    plain = rows.where("NOT open").select(id_col, "n_words", "text", none.alias("runs"), F.col("text").alias("collapsed"))
     return collapsed(tiled).unionByName(plain)
 
 

@@ -47,7 +47,8 @@ def test_tiles_find_every_run(seed):
         root = [rng.choice("abc") for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 13, 31]))]
         words += (root * rng.randint(1, 9))[: rng.randint(1, 200)]
         words += [rng.choice("abcd") for _ in range(rng.randint(0, 4))]
-    found = [f for t in periodic_runs.tiles_of(periodic_runs.codes_of(words)) for f in periodic_runs.fragments_of(*t)]
+    codes = periodic_runs.codes_of(words)
+    found = [f for k, b, left in periodic_runs.tiles_of(codes) for f in periodic_runs.fragments_of(k, b, left, codes[left : b + (4 << k)].tolist())]
     runs = sorted(((s, e - s, p) for p, s, e in set(periodic_runs.merged(found)) if e - s >= max(6, 4 * p)), key=lambda r: (r[0], r[2]))
     assert runs == brute(words)
 
