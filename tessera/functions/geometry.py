@@ -13,7 +13,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.coverage import edges_of
 from tessera.functions.pixel import number, pixel
+from tessera.functions.validity import check_polygons
 from tessera.model import Grid
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
@@ -76,48 +78,26 @@ def covers(sides: Column, x: Column, y: Column) -> Column:
     return F.exists(sides, on) | (F.size(F.filter(sides, crossed)) % 2 == 1)
 
 
-def parse_polygon(wkt: str) -> list[list[tuple[float, float]]]:
-    """Rings of one valid polygon or multipolygon."""
-    if not re.match(POLYGON, wkt or "", re.S):
-        raise ValueError("The geometry must be a Polygon or MultiPolygon")
-    rings = [[tuple(float(v) for v in p.split()[:2]) for p in r.split(",")] for r in re.findall(r"\(([^()]+)\)", wkt)]
-    check_rings(rings)
-    return rings
+PART = re.compile(r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)")
+RING = re.compile(r"\(([^()]*)\)")
 
 
-#: Edges that are tested against all later ones at a time.
-EDGE_BLOCK = 256
-
-
-def check_rings(rings: list[list[tuple[float, float]]]) -> None:
-    """Raise unless the rings are those of a valid polygon.
+def parse_polygons(wkt: str) -> list[list[list[tuple[float, float]]]]:
+    """The polygons of a valid polygon or multipolygon, each its shell and then its holes."""
+    if not re.match(POLYGON, wkt or "", re.S):
+        raise ValueError("The geometry must be a Polygon or MultiPolygon")
+    parts = [[[tuple(map(float, p.split()[:2])) for p in ring.split(",")] for ring in RING.findall(part)] for part in PART.findall(wkt)]
+    if not parts and not wkt.rstrip().upper().endswith("EMPTY"):
+        raise ValueError("The geometry's rings cannot be read")
+    if any(len(p) != 2 for part in parts for ring in part for p in ring):
+        raise ValueError("A point needs two coordinates")
+    check_polygons(parts)
+    return parts
 
-    Rings are closed, of 4 finite points at least, and visit no point twice;
-    no two edges cross or overlap (rings may touch in points).
-    """
-    import numpy as np
 
-    for ring in rings:
-        if len(ring) < 4 or ring[0] != ring[-1]:
-            raise ValueError("Polygon rings must be closed and have 4 points")
-        if not all(math.isfinite(v) for p in ring for v in p):
-            raise ValueError("Polygon coordinates must be finite")
-        turns = [p for p, q in zip(ring, ring[1:], strict=False) if p != q]
-        if len(turns) < 3 or len(set(turns)) < len(turns):
-            raise ValueError("A polygon's ring meets itself")
-    sides = np.array([(*p, *q) for ring in rings for p, q in zip(ring, ring[1:], strict=False) if p != q]).reshape(-1, 4)
-    side = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
-    for at in range(0, len(sides), EDGE_BLOCK):
-        p, q = sides[at : at + EDGE_BLOCK, None, :2], sides[at : at + EDGE_BLOCK, None, 2:]
-        r, s = sides[None, at:, :2], sides[None, at:, 2:]
-        d1, d2, d3, d4 = side(p, q, r), side(p, q, s), side(r, s, p), side(r, s, q)
-        later = np.arange(len(sides) - at)[None, :] > np.arange(p.shape[0])[:, None]
-        crossed = (d1 * d2 < 0) & (d3 * d4 < 0)
-        # On one line: they overlap if more than a point is common along the longer axis.
-        low, high = np.maximum(np.minimum(p, q), np.minimum(r, s)), np.minimum(np.maximum(p, q), np.maximum(r, s))
-        overlap = (d1 == 0) & (d2 == 0) & (d3 == 0) & (d4 == 0) & ((high - low) >= 0).all(-1) & ((high - low) > 0).any(-1)
-        if (later & (crossed | overlap)).any():
-            raise ValueError("Edges of a polygon cross or overlap")
+def parse_polygon(wkt: str) -> list[list[tuple[float, float]]]:
+    """Rings of one valid polygon or multipolygon."""
+    return [ring for part in parse_polygons(wkt) for ring in part]
 
 
 def aligned(wkt: str | None, crs: str | None, given: str | None = None) -> str | None:
@@ -152,6 +132,15 @@ def aligned(wkt: str | None, crs: str | None, given: str | None = None) -> str |
     return pair.sub(lambda _: "{!r} {!r}".format(*next(new)), text)
 
 
+def rings_in_pixels(rings: list[list[tuple[float, float]]], grid: Grid):
+    """(n, 4) edges of rings in the pixel space of a grid."""
+    edges = edges_of(rings)
+    d, dx, dy = grid.determinant, edges[:, 0::2] - grid.m02, edges[:, 1::2] - grid.m12
+    out = edges.copy()
+    out[:, 0::2], out[:, 1::2] = (grid.m11 * dx - grid.m01 * dy) / d, (grid.m00 * dy - grid.m10 * dx) / d
+    return out
+
+
 def pixel_window(rings: list[list[tuple[float, float]]], grid: Grid) -> tuple[int, int, int, int] | None:
     """(x0, y0, x1, y1), half open, or None if it holds no pixel."""
     d = grid.determinant

@@ -251,12 +251,31 @@ w AS (SELECT x + 0.5 AS wx, h - 0.5 - y AS wy, raw AS v FROM o, oh) SELECT zone_
 )
 def zonal_orders(spark, sf_dir):
     """Zones that grow with the raster."""
-    r, k = order_prices(spark, sf_dir), F.col("n_nationkey")
+    r = order_prices(spark, sf_dir)
+    return rounded(r.zonal(growing_zones(spark, sf_dir, r)))
+
+
+def growing_zones(spark: SparkSession, sf_dir: str, r: Raster) -> DataFrame:
+    k = F.col("n_nationkey")
     x0, y0 = k % 5 * 10.0, F.floor(k * r.grid.height / 25).cast("double")
     x1, y1 = x0 + 17.5, F.floor((k + 4) * r.grid.height / 25) + 0.5
     corner = lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string"))
     wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(",", corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0)), F.lit("))"))
-    return rounded(r.zonal(read(spark, sf_dir, "nation").select(k.cast("long").alias("zone_id"), wkt.alias("wkt"))))
+    return read(spark, sf_dir, "nation").select(k.cast("long").alias("zone_id"), wkt.alias("wkt"))
+
+
+@query(
+    f"""WITH {O}, z AS (SELECT n_nationkey::BIGINT AS zone_id, n_nationkey % 5 * 10.0 AS x0, n_nationkey % 5 * 10 + 17.5 AS x1,
+  h * n_nationkey // 25 AS y0, h * (n_nationkey + 4) // 25 + 0.5 AS y1 FROM nation, oh),
+w AS (SELECT x + 0.5 AS wx, h - 0.5 - y AS wy, raw::HUGEINT + CASE WHEN (x + y) % 2 = 0 THEN 4503599627370496 ELSE -4503599627370496 END AS v FROM o, oh)
+SELECT zone_id, count(v) AS count, sum(v)::DOUBLE AS sum FROM z LEFT JOIN w ON {BOX} GROUP BY zone_id"""
+)
+def zonal_cancelling(spark, sf_dir):
+    """Prices beside 2^52 of either sign: plain sums of doubles lose their last digits."""
+    r = order_prices(spark, sf_dir)
+    huge = F.when((F.col("x") + F.col("y")) % 2 == 0, 2.0**52).otherwise(-(2.0**52))
+    r = Raster(r.pixels.withColumn("raw", F.col("raw") + huge), r.descriptor)
+    return r.zonal(growing_zones(spark, sf_dir, r), no_data=float("nan")).select("zone_id", "count", "sum")
 
 
 # --- Clip -------------------------------------------------------------------
