@@ -33,7 +33,7 @@ ORDER = 4
 #: Words with codes, their length in bytes at most.
 MAX_WORDS, LONGEST = 1 << 18, 64
 #: Words counted before a flush, and codes of windows sorted at a time.
-DISTINCT, CHUNK = 400_000, 2_000_000
+DISTINCT, CHUNK = 300_000, 1_000_000
 #: Pairs of words that each hold over 1 / HEAVY of all words are dealt to SALTS places by the third word.
 HEAVY, SALTS = 1024, 64
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+-"
@@ -113,6 +113,7 @@ class Codes(dict):
 
     def __init__(self, lang: str, known: dict, spelled: list[str], first: int, cuts: bool):
         super().__init__(known)
+        self[BREAK] = 0
         self.lang, self.spelled, self.first, self.cuts, self.new = quote(lang, safe=""), spelled, first, cuts, []
 
     def __missing__(self, word: bytes) -> int:
@@ -146,19 +147,19 @@ def windows(docs: DataFrame, known: list[tuple[str, bytes]], heavy: int, cuts: b
         n = len(kept.value)
         texts, spelled = ["", *map(code, range(1, n + 1))], []
         salts = [zlib.crc32(t.encode()) % SALTS for t in texts]
-        own[None] = {BREAK: 0}
         tables: dict[str, Codes] = {}
 
         def flush(parts: list) -> Iterator:
             c = np.concatenate([*parts, np.zeros(ORDER, np.uint64)])
             parts.clear()
-            c0 = c[: 1 - ORDER]
+            c0 = c[: 1 - ORDER].copy()
             c1, c2, c3 = (c[k : len(c0) + k].copy() for k in (1, 2, 3))
             c1[c0 == 0] = 0
             c2[c1 == 0] = 0
             c3[c2 == 0] = 0
             low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
             pair, tail = (c0 << half | c1)[c0 > 0], (c2 << half | c3)[c0 > 0]
+            del c, c1, c2, c3
             order = np.lexsort((tail, pair))
             pair, tail = pair[order], tail[order]
             new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (tail[1:] != tail[:-1])]) if len(pair) else np.zeros(0, np.int64)
@@ -181,7 +182,7 @@ def windows(docs: DataFrame, known: list[tuple[str, bytes]], heavy: int, cuts: b
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if (table := tables.get(lang)) is None:
-                    table = tables[lang] = Codes(lang, own.get(lang, {}) | own[None], spelled, n, cuts)
+                    table = tables[lang] = Codes(lang, own.pop(lang, {}), spelled, n, cuts)
                 found = words_of(text)
                 parts += [np.fromiter(map(table.__getitem__, found), np.uint64, len(found)), np.zeros(1, np.uint64)]
                 size += len(found) + 1
