@@ -7,7 +7,6 @@ source and every step still have the descriptors that were planned.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,24 +16,14 @@ from tessera import recipe
 from tessera.functions.crs import transform
 from tessera.functions.geometry import NUMBER
 from tessera.functions.pixel import representable
-from tessera.model import MAX_STEPS, Band, Descriptor, Grid
+from tessera.model import MAX_STEPS, Descriptor, from_struct, to_struct
 from tessera.operators import clip as clipping
+from tessera.operators import collection
 from tessera.operators import reproject as warping
 from tessera.raster import Raster
 from tessera.sources import raster_files
 
 
-def to_struct(d: Descriptor) -> dict:
-    """A descriptor in the shape of its struct."""
-    out = asdict(d)
-    out["crs_wkt"] = out.pop("crs")
-    return out | {"bands": [dict(b) for b in out["bands"]], "palette": list(out["palette"])}
-
-
-def from_struct(s: dict) -> Descriptor:
-    return Descriptor(Grid(**s["grid"]), tuple(Band(**b) for b in s["bands"]), s["crs_wkt"], s["authority"], s["color"], s["alpha_band"], s["associated_alpha"], tuple(s["palette"]))
-
-
 def describe(location: str) -> dict:
     """The recipe of a file, without steps."""
     d, identity = raster_files.describe(location)
@@ -43,7 +32,11 @@ def describe(location: str) -> dict:
 
 def described(spark: SparkSession, locations: Sequence[str]) -> DataFrame:
     """One row (location, raster) for each file; directories are read by tasks."""
+    return described_rows(spark.createDataFrame([(x,) for x in locations], "location string"))
+
 
+def described_rows(rows: DataFrame, location: str = "location") -> DataFrame:
+    """(location, raster) for each row's file; directories are read by tasks."""
     schema = StructType.fromDDL(f"location string, raster {recipe.RASTER_TYPE}")
 
     def run(batches: Iterator) -> Iterator:
@@ -54,8 +47,8 @@ def described(spark: SparkSession, locations: Sequence[str]) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([describe(x) for x in batch.column(0).to_pylist()], kind)], names=["location", "raster"])
 
-    rows = spark.createDataFrame([(x,) for x in locations], "location string")
-    return rows.repartition(min(len(locations), 256) or 1).mapInArrow(run, schema)
+    spread = rows.select(rows[location].alias("location")).repartition(collection.tasks_of(rows), "location")
+    return spread.mapInArrow(run, schema)
 
 
 def same(a: dict, b: dict) -> bool:
@@ -155,3 +148,17 @@ def zones_in(zones: DataFrame, source_crs: str, target_crs: str, wkt: str = "wkt
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return zones.mapInArrow(run, schema)
+
+
+def clip_rows(rows: DataFrame, wkt: str, raster: str = "raster", to: str | None = None, mask: bool = False, bands: Sequence[int] | None = None, no_data: float | None = None, origin: str = "clip") -> DataFrame:
+    """``rows`` with each recipe clipped to the polygon in the row's column ``wkt``."""
+    return collection.derived(rows, lambda value, text: derive_clip(value, text, mask, bands, no_data, origin), raster, to, rows[wkt])
+
+
+def reproject_rows(rows: DataFrame, resolution_x: float, resolution_y: float | None = None, raster: str = "raster", to: str | None = None, **options) -> DataFrame:
+    """``rows`` with each recipe reprojected; options are those of :func:`derive_reproject`."""
+    return collection.derived(rows, lambda value: derive_reproject(value, resolution_x, resolution_y, **options), raster, to)
+
+
+open_tiles = collection.open_tiles
+zonal_rows = collection.zonal_rows

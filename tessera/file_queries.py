@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import recipe
+from tessera.api import clip_rows, described_rows, open_tiles, reproject_rows, zonal_rows
+from tessera.operators.collection import keyed as with_keys
 from tessera.operators.tiles import decode_blocks, encode_blocks, read_window, running_total, to_pixels, to_tiles
 from tessera.queries import ORACLE_SQL, QUERIES, P, O, keyed, order_prices, parts, plain, query, read, sizes
 from tessera.model import Band
-from tessera.shared import shared_file, work_dir
+from tessera.shared import kept, scratch_folder, work_dir
 from tessera.sources.raster_files import read_raster, write_raster
 from tessera.sources.tiff import COMPRESSIONS
 
@@ -78,7 +82,7 @@ for codec in COMPRESSIONS:
 
 
 def written(spark, raster, name: str, **options) -> str:
-    path = shared_file(spark, name)
+    path = f"{scratch_folder(spark, 'rasters')}/{name}"
     write_raster(raster, path, work_dir(spark), block=BLOCK, **options)
     return path
 
@@ -101,6 +105,64 @@ def cog_roundtrip(spark, sf_dir):
     return plain(read_raster(spark, path).pixels)
 
 
+#: Rows of the orders raster that make one file of many.
+STRIP = 6
+
+
+def strips(spark, sf_dir: str) -> DataFrame:
+    """(strip, raster): the orders raster as files of STRIP rows, written by tasks, with their recipes."""
+    folder = scratch_folder(spark, "strips")
+    key = F.col("o_orderkey")
+    cells = read(spark, sf_dir, "orders").select(F.floor(key / (50 * STRIP)).alias("strip"), (key % 50).cast("int").alias("x"), F.floor(key % (50 * STRIP) / 50).cast("int").alias("y"), F.rint(F.col("o_totalprice") * 100).alias("raw"))
+
+    def write(table):
+        import numpy as np
+        import pyarrow as pa
+
+        from tessera.model import Descriptor, Grid
+        from tessera.sources.tiff import compress, head
+
+        strip = table.column("strip")[0].as_py()
+        block = np.zeros((64, 64), "<f8")
+        block[table.column("y").to_numpy(), table.column("x").to_numpy()] = table.column("raw").to_numpy()
+        d, data = Descriptor(Grid.north_up(50, STRIP, 1.0, 0.0, 10.0 * strip), (Band("Band 1", 5, -1.0),), "EPSG:2056"), compress("Deflate", block.tobytes())
+        start = len(head([(d, [0], [0])], "Deflate", 64, False, False))
+        path = f"{folder}/{strip}.tif"
+        with open(f"{path}.tmp", "wb") as f:
+            f.write(head([(d, [start], [len(data)])], "Deflate", 64, False, False) + data)
+        os.replace(f"{path}.tmp", path)
+        return pa.table({"strip": [strip], "location": [path]})
+
+    files = kept(cells.groupBy("strip").applyInArrow(write, "strip long, location string"), "strips")
+    return described_rows(files).join(files, "location").select("strip", "raster")
+
+
+def strip_box(x0: float, x1: float) -> Column:
+    """A box over a part of each strip."""
+    low, high = (F.col("strip") * 10 + F.lit(v) for v in (1.25, 4.75))
+    corner = lambda x, y: F.concat_ws(" ", F.lit(str(x)), y.cast("string"))
+    return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", corner(x0, low), corner(x1, low), corner(x1, high), corner(x0, high), corner(x0, low)), F.lit("))"))
+
+
+@query(
+    f"""WITH {O}, t AS (SELECT y // {STRIP} AS strip, (2 * x + u + 0.5) / 2 AS wx, y // {STRIP} * 10 + {STRIP} - (2 * (y % {STRIP}) + v + 0.5) / 2 AS wy, raw FROM o, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(u, v))
+SELECT strip, count(*) AS count, round(avg(raw), 6) AS mean, min(raw) AS min, max(raw) AS max, sum(raw) AS sum, round(stddev_pop(raw), 6) AS stddev, 'OK' AS status FROM t
+WHERE wx BETWEEN 10.25 AND 30.75 AND wy - strip * 10 BETWEEN 1.25 AND 4.75 GROUP BY strip"""
+)
+def zonal_many_files(spark, sf_dir):
+    """A file and a zone for each strip: reprojected and summed up in one plan."""
+    rows = reproject_rows(strips(spark, sf_dir), 0.5).withColumn("wkt", strip_box(10.25, 30.75))
+    return zonal_rows(rows).drop("raster", "wkt").withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
+
+
+@query(f"WITH {O} SELECT y // {STRIP} AS strip, x - 7 AS x, y % {STRIP} - 1 AS y, CASE WHEN x + 0.5 BETWEEN 7.75 AND 40.25 THEN raw ELSE -1 END AS raw FROM o WHERE x BETWEEN 7 AND 40 AND y % {STRIP} BETWEEN 1 AND 4")
+def clip_many_files(spark, sf_dir):
+    """Every strip's file clipped and masked by its own polygon, in one plan."""
+    rows = kept(clip_rows(strips(spark, sf_dir).withColumn("wkt", strip_box(7.75, 40.25)), "wkt", mask=True), "clipped")
+    tiles = open_tiles(rows).join(with_keys(rows).select("key", "strip"), "key").select("strip", "x", "y", "width", F.posexplode("samples").alias("at", "raw"))
+    return tiles.select("strip", (F.col("x") + F.col("at") % F.col("width")).cast("long").alias("x"), (F.col("y") + F.floor(F.col("at") / F.col("width"))).cast("long").alias("y"), "raw")
+
+
 @query(None)
 def warp_lv95_to_wgs84(spark, sf_dir):
     """Swiss coordinates to longitude and latitude; tested against round trips and known points."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 #: Sample types: code, name, least and largest value (None: no range), as stored by Spark.
 SAMPLE_TYPES = {
@@ -107,3 +107,14 @@ DESCRIPTOR_TYPE = (
     "struct<grid:struct<width:int,height:int,m00:double,m10:double,m01:double,m11:double,m02:double,m12:double>,crs_wkt:string,authority:string,"
     "bands:array<struct<name:string,data_type:int,no_data:double,scale:double,offset:double>>,color:string,alpha_band:int,associated_alpha:boolean,palette:array<int>>"
 )
+
+
+def to_struct(d: Descriptor) -> dict:
+    """A descriptor in the shape of its struct."""
+    out = asdict(d)
+    out["crs_wkt"] = out.pop("crs")
+    return out | {"bands": [dict(b) for b in out["bands"]], "palette": list(out["palette"])}
+
+
+def from_struct(s: dict) -> Descriptor:
+    return Descriptor(Grid(**s["grid"]), tuple(Band(**b) for b in s["bands"]), s["crs_wkt"], s["authority"], s["color"], s["alpha_band"], s["associated_alpha"], tuple(s["palette"]))

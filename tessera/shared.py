@@ -7,7 +7,7 @@ import uuid
 from urllib.parse import urlsplit
 from urllib.request import url2pathname
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_WORK_DIR = "file:///tmp/checkpoints/tessera"
 
@@ -35,3 +35,27 @@ def shared_file(spark: SparkSession, name: str) -> str:
     folder = url2pathname(url.path) if url.scheme else work_dir(spark)
     os.makedirs(folder, exist_ok=True)
     return os.path.join(folder, f"{uuid.uuid4().hex}-{name}")
+
+
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder when the driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of files in the shared folder, which goes when the driver's JVM ends."""
+    folder = shared_file(spark, name)
+    os.makedirs(folder)
+    at_exit(spark, f"file://{folder}")
+    return folder
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, computed once; it goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
