@@ -12,7 +12,6 @@ loops over files or rows on the driver, and no raster lies in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -27,8 +26,9 @@ from tessera.model import Descriptor, from_struct
 from tessera.operators import clip as clipping
 from tessera.operators import reproject as warping
 from tessera.operators import zonal
+from tessera.sources.data_source import directory
 from tessera.sources.ranges import Source, merged_reads
-from tessera.sources.tiff import Directory, directories
+from tessera.sources.tiff import Directory
 
 #: A rectangle's side, in pixels of the result.
 SIDE = 256
@@ -47,12 +47,6 @@ def same(a: Descriptor, b: Descriptor) -> bool:
     return repr(a) == repr(b)
 
 
-@lru_cache(maxsize=64)
-def directory(location: str, identity: str | None) -> Directory:
-    """A file's first image; a worker reads it once."""
-    return directories(Source(location, identity))[0]
-
-
 class Chain:
     """A recipe's steps over windows: what a window needs of the source, and its samples from those."""
 

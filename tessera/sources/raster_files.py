@@ -1,31 +1,38 @@
 """Scans of GeoTIFF files as tiles, and sinks that write GeoTIFF and COG.
 
-A scan reads the directories once on the driver; a task reads only the blocks
-of its tiles, by range. Filters on tiles become the list of blocks, so what is
-not needed is not read. A sink encodes blocks in tasks, sums their lengths to
-get each block's place, and lets each task write its blocks there: the file
-must be on a file system that driver and executors share. The file appears
-under its name only when it is complete.
+A scan reads the directory on the driver, but not the places of blocks, which
+tasks read for their own blocks; neighbouring blocks come by one request.
+Filters on tiles become the list of blocks, so what is not needed is not read.
+A sink encodes blocks in tasks and sums their lengths by stripes of tiles;
+within a stripe a writer's task puts one block after the other, and their
+places where the directory has them. The file must be on a file system that
+driver and executors share; it appears under its name only when it is complete.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.failures import failing
 from tessera.model import Descriptor
 from tessera.operators.overview import overviews
-from tessera.operators.tiles import TILE, check_size, encode_blocks, running_total, to_pixels, to_tiles
+from tessera.operators.tiles import TILE, check_size, encode_blocks, to_pixels, to_tiles
 from tessera.raster import Raster
+from tessera.shared import remove
+from tessera.sources.data_source import RASTER, directory, register, tiles_of
 from tessera.sources.ranges import Source, is_http
-from tessera.sources.tiff import COMPRESSIONS, Directory, directories, head
+from tessera.sources.tiff import COMPRESSIONS, Directory, directories, layout
 
 BIG_BYTES = 2 * 1024**3
 FORMATS, OVERVIEWS = ("GEOTIFF", "COG"), ("NONE", "AUTO")
+#: Blocks of a stripe of tiles, of which the driver knows one sum: about so many.
+STRIPE_BLOCKS = 65_536
 
 
 def describe(location: str) -> tuple[Descriptor, str]:
@@ -35,10 +42,12 @@ def describe(location: str) -> tuple[Descriptor, str]:
     return first.descriptor, source.identity
 
 
-def scan_tiles(spark: SparkSession, location: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, identity: str | None = None, blocks_per_task: int = 16) -> tuple[DataFrame, Directory]:
+def scan_tiles(spark: SparkSession, location: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, identity: str | None = None, blocks_per_task: int = 16, io: Observation | None = None) -> tuple[DataFrame, Directory]:
     """Tiles of the first image, at full resolution; overviews are not used.
 
     ``window`` (x0, y0, x1, y1, half open) keeps the blocks that it touches.
+    ``io`` observes the bytes and requests of the tasks that succeed, with the
+    directories that they read anew.
     """
     source = Source(location, identity)
     d = directories(source)[0]
@@ -48,42 +57,37 @@ def scan_tiles(spark: SparkSession, location: str, bands: list[int] | None = Non
         raise ValueError("Window outside raster")
     chosen = list(range(n)) if bands is None else bands
     if any(not 0 <= b < n for b in chosen):
-        raise ValueError("Band outside raster")
+        raise ValueError("The file has no such band")
     tx0, tx1 = x0 // d.block_width, (x1 - 1) // d.block_width + 1
     ty0, ty1 = y0 // d.block_height, (y1 - 1) // d.block_height + 1
     wide = tx1 - tx0
     count = wide * (ty1 - ty0)
-    places = spark.sparkContext.broadcast((d.offsets, d.counts))  # 16 bytes a block
     where, version = source.location, source.identity
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        reader, (offsets, counts) = Source(where, version), places.value
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                tx, ty = tx0 + i % wide, ty0 + i // wide
-                w, h = min(d.block_width, grid.width - tx * d.block_width), min(d.block_height, grid.height - ty * d.block_height)
-                rows, at = [], ty * d.across + tx
-                per_band = d.planar == 2
-                for plane in sorted({b if per_band else 0 for b in chosen}):
-                    k = at + plane * d.across * d.down
-                    size_rows = d.rows_of(ty)
-                    block = d.decode(reader.read(int(offsets[k]), int(counts[k])), size_rows) if counts[k] else np.zeros((size_rows, d.block_width, n))
-                    for b in chosen:
-                        if not per_band or b == plane:
-                            rows.append((b, tx, ty, tx * d.block_width, ty * d.block_height, w, h, block[:h, :w, 0 if per_band else b].astype(np.float64).ravel()))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:7]), pa.array(cols[7], pa.list_(pa.float64()))], names=["band", "tile_x", "tile_y", "x", "y", "width", "height", "samples"])
+        with failing("read", where):
+            d, reader = directory(where, version), Source(where, version)
+            first = [reader.bytes_read, reader.requests]
+            for batch in batches:
+                asked = [(tx0 + i % wide, ty0 + i // wide) for i in batch.column(0).to_pylist()]
+                for made in tiles_of(d, reader, asked, chosen):
+                    now = [reader.bytes_read, reader.requests]
+                    more = [pa.array([b - a, *[0] * (made.num_rows - 1)], pa.int64()) for a, b in zip(first, now, strict=True)]
+                    first = now
+                    yield pa.RecordBatch.from_arrays([*made.columns, *more], names=[*made.schema.names, "bytes", "requests"])
 
     tasks = max(1, -(-count // blocks_per_task))
-    return spark.range(0, count, 1, tasks).mapInArrow(run, TILE), d
+    found = spark.range(0, count, 1, tasks).mapInArrow(run, f"{TILE}, bytes long, requests long")
+    if io is not None:
+        found = found.observe(io, F.sum("bytes").alias("bytes"), F.sum("requests").alias("requests"))
+    return found.drop("bytes", "requests"), d
 
 
-def read_raster(spark: SparkSession, location: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, identity: str | None = None) -> Raster:
+def read_raster(spark: SparkSession, location: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, identity: str | None = None, io: Observation | None = None) -> Raster:
     """The pixels of a file, or of a window of it (in the window's own grid)."""
-    tiles, d = scan_tiles(spark, location, bands, window, identity)
+    tiles, d = scan_tiles(spark, location, bands, window, identity, io=io)
     r = to_pixels(tiles, d.descriptor)
     if window is None:
         return r
@@ -109,8 +113,9 @@ def write_raster(
     """Write one file and return its size.
 
     Blocks are encoded into a table in ``work_dir`` (shared by driver and
-    executors), so no block passes through the driver, which only learns each
-    block's length.
+    executors), which goes in the end. The driver learns the sums of stripes
+    only; the data source's writer puts the blocks and their places, and its
+    commit gives the file its name. A task that fails leaves the old file.
     """
     if format not in FORMATS or overview not in OVERVIEWS:
         raise ValueError("Unknown format or overview mode")
@@ -129,46 +134,42 @@ def write_raster(
         raise ValueError("A file needs one NoData value for all bands")
     spark, cog = raster.spark, format == "COG"
     levels = [raster] + (overviews(raster, block, resampling) if overview == "AUTO" else [])
+    shapes = [r.descriptor for r in levels]
+    across, down = ([-(-size // block) for size in sizes] for sizes in zip(*((d.grid.width, d.grid.height) for d in shapes), strict=True))
     encoded = None
     for k, r in enumerate(levels):
         own = encode_blocks(to_tiles(r, block), r.descriptor, block, compression).withColumn("level", F.lit(k))
         encoded = own if encoded is None else encoded.unionByName(own)
-    table = f"{work_dir.rstrip('/')}/blocks-{uuid.uuid4().hex}"
-    encoded.withColumn("n", F.length("data").cast("long")).write.parquet(table)
-    blocks = spark.read.parquet(table)
-
-    # A COG's block has its size before it and its last four bytes again after it.
-    around = 8 if cog else 0
-    placed = running_total(blocks.select("level", "tile_x", "tile_y", "n"), F.col("n") + around, [-F.col("level"), F.col("tile_y")], [F.col("tile_x")], "place")
-    got = placed.select("level", "tile_y", "tile_x", "place", "n").toPandas().sort_values(["level", "tile_y", "tile_x"])  # a row for each block
-    size = int(got["n"].sum()) + around * len(got)
-    big = size + 32 * len(got) + 65536 >= BIG_BYTES
-    plan = lambda base: [(r.descriptor, (g["place"] + base + around // 2).tolist(), g["n"].tolist()) for k, r in enumerate(levels) for g in [got[got["level"] == k]]]
-    start = len(head(plan(0), compression, block, big, cog))
-    first = head(plan(start), compression, block, big, cog)
-    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    stripe = F.floor(F.col("tile_y") / max(1, STRIPE_BLOCKS // across[0]))
+    table, temporary = f"{work_dir.rstrip('/')}/blocks-{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.tmp"
     try:
+        encoded.withColumn("stripe", stripe).write.parquet(table)
+        blocks = spark.read.parquet(table)
+        # A COG's block has its size before it and its last four bytes again after it.
+        around = 8 if cog else 0
+        sums = blocks.groupBy("level", "stripe").agg(F.sum(F.length("data") + around).cast("long").alias("size"), F.count(F.lit(1)).alias("n"))
+        sums = sorted(sums.collect(), key=lambda r: (-r["level"], r["stripe"]))  # a row for some STRIPE_BLOCKS blocks
+        count, size = sum(r["n"] for r in sums), sum(r["size"] for r in sums)
+        if count != sum(a * b for a, b in zip(across, down, strict=True)):
+            raise OSError("Not every block of the raster has pixels")
+        big = size + 32 * count + 65536 >= BIG_BYTES
+        pieces, start, arrays = layout(shapes, compression, block, big, cog)
+        bases, at = [], start
+        for r in sums:
+            bases.append((r["level"], r["stripe"], at))
+            at += r["size"]
         with open(temporary, "wb") as f:
-            f.write(first)
-            f.truncate(start + size)
-
-        def put(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            n = 0
-            with open(temporary, "r+b") as f:
-                for batch in batches:
-                    for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        f.seek(start + place)
-                        f.write(len(data).to_bytes(4, "little") + data + data[-4:] if cog else data)
-                        n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-        written = blocks.join(placed.select("level", "tile_x", "tile_y", "place"), ["level", "tile_x", "tile_y"]).select("place", "data").mapInArrow(put, "n long").agg(F.sum("n")).first()[0]
-        if written != len(got):
-            raise OSError("Not every block was written")
-        os.replace(temporary, path)
+            for place, data in pieces:
+                f.seek(place)
+                f.write(data)
+            f.truncate(at)
+        placed = blocks.join(F.broadcast(spark.createDataFrame(bases, "level int, stripe long, base long")), ["level", "stripe"])
+        rows = placed.select("level", "stripe", "base", "tile_y", "tile_x", "data").repartition("level", "stripe").sortWithinPartitions("level", "stripe", "tile_y", "tile_x")
+        register(spark)
+        plan = json.dumps({"around": around, "across": across, "arrays": arrays, "count": count})
+        rows.write.format(RASTER).option("temporary", temporary).option("target", path).option("plan", plan).mode("append").save()
     finally:
         if os.path.exists(temporary):
             os.unlink(temporary)
-    return start + size
+        remove(spark, table)
+    return at

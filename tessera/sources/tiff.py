@@ -25,6 +25,8 @@ PIXEL_SCALE, TIEPOINT, TRANSFORM, GEO_KEYS, GEO_DOUBLES, GEO_TEXT, METADATA, NO_
 COMPRESSIONS = {"None": 1, "LZW": 5, "ZLib": 8, "Deflate": 32946, "PackBits": 32773, "ZSTD": 50000}
 DTYPES = {0: "u1", 1: "u2", 2: "i2", 3: "i4", 4: "f4", 5: "f8"}
 MAX_HEADER = 64 * 1024 * 1024
+#: Offsets of blocks that are read at a time, and how many such parts are held; longer arrays than one part stay in the file.
+STORED_PART, STORED_PARTS = 8192, 16
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -158,6 +160,32 @@ def decompress(code: int, data: bytes, size: int) -> bytes:
     return out[:size]
 
 
+class Stored:
+    """A long array of whole numbers that stays in its file; parts of it are read when they are asked for."""
+
+    def __init__(self, source: Source, order: str, at: int, count: int, width: int, letter: str):
+        self.source, self.at, self.count, self.width = source, at, count, width
+        self.dtype = np.dtype(order + {"H": "u2", "I": "u4", "Q": "u8"}[letter])
+        self.parts: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, k: int) -> int:
+        if not 0 <= k < self.count:
+            raise IndexError("A block outside the image")
+        part, at = divmod(k, STORED_PART)
+        if part not in self.parts:
+            if len(self.parts) >= STORED_PARTS:
+                self.parts.pop(next(iter(self.parts)))
+            n = min(STORED_PART, self.count - part * STORED_PART)
+            self.parts[part] = np.frombuffer(self.source.read(self.at + part * STORED_PART * self.width, n * self.width), self.dtype)
+        return int(self.parts[part][at])
+
+    def tolist(self) -> list[int]:
+        return [self[k] for k in range(self.count)]
+
+
 @dataclass(frozen=True)
 class Directory:
     """One image of a file: its descriptor and its blocks."""
@@ -170,8 +198,8 @@ class Directory:
     planar: int
     predictor: int
     tiled: bool
-    offsets: np.ndarray
-    counts: np.ndarray
+    offsets: np.ndarray | Stored
+    counts: np.ndarray | Stored
 
     @property
     def across(self) -> int:
@@ -217,7 +245,7 @@ class Header:
         return self.source.read(start, length)
 
 
-def fields(header: Header) -> list[tuple[str, dict[int, list]]]:
+def fields(header: Header) -> list[tuple[str, dict[int, list | Stored]]]:
     """Byte order and fields of each directory."""
     start = header.get(0, 16)
     order = {b"II": "<", b"MM": ">"}.get(start[:2])
@@ -226,14 +254,14 @@ def fields(header: Header) -> list[tuple[str, dict[int, list]]]:
         raise ValueError("Not a TIFF file")
     big = version == 43
     at = struct.unpack(order + ("Q" if big else "I"), start[8:16] if big else start[4:8])[0]
-    out: list[tuple[str, dict[int, list]]] = []
+    out: list[tuple[str, dict[int, list | Stored]]] = []
     seen = set()
     while at and at not in seen:
         seen.add(at)
         n = struct.unpack(order + ("Q" if big else "H"), header.get(at, 8 if big else 2))[0]
         size, inline = (20, 8) if big else (12, 4)
         body = header.get(at + (8 if big else 2), n * size + inline)
-        found: dict[int, list] = {}
+        found: dict[int, list | Stored] = {}
         for i in range(n):
             entry = body[i * size : (i + 1) * size]
             tag, kind = struct.unpack(order + "HH", entry[:4])
@@ -242,6 +270,9 @@ def fields(header: Header) -> list[tuple[str, dict[int, list]]]:
             count = struct.unpack(order + ("Q" if big else "I"), entry[4 : 12 if big else 8])[0]
             width, letter = FIELD_TYPES[kind]
             value = entry[12 if big else 8 :]
+            if tag in (STRIP_OFFSETS, STRIP_COUNTS, TILE_OFFSETS, TILE_COUNTS) and count > STORED_PART and letter in "HIQ":
+                found[tag] = Stored(header.source, order, struct.unpack(order + ("Q" if big else "I"), value)[0], count, width, letter)
+                continue
             if count * width > inline:
                 value = header.get(struct.unpack(order + ("Q" if big else "I"), value)[0], count * width)
             value = value[: count * width]
@@ -322,21 +353,30 @@ def directories(source: Source) -> list[Directory]:
                 f.get(PLANAR, [1])[0],
                 f.get(PREDICTOR, [1])[0],
                 tiled,
-                np.array(f[TILE_OFFSETS if tiled else STRIP_OFFSETS], dtype=np.int64),
-                np.array(f[TILE_COUNTS if tiled else STRIP_COUNTS], dtype=np.int64),
+                *(v if isinstance(v, Stored) else np.array(v, dtype=np.int64) for v in (f[TILE_OFFSETS if tiled else STRIP_OFFSETS], f[TILE_COUNTS if tiled else STRIP_COUNTS])),
             )
         )
     return out
 
 
-def entry(tag: int, kind: int, values) -> tuple[int, int, int, bytes]:
+@dataclass(frozen=True)
+class Gap:
+    """The place of an array that is filled in later."""
+
+    size: int
+
+
+def entry(tag: int, kind: int, values) -> tuple[int, int, int, bytes | Gap]:
     letter = FIELD_TYPES[kind][1]
+    if isinstance(values, Gap):
+        return tag, kind, values.size, Gap(values.size * FIELD_TYPES[kind][0])
     data = values if isinstance(values, bytes) else struct.pack(f"<{len(values)}{letter[0]}", *values)
     return tag, kind, len(values), data
 
 
-def describe_fields(d: Descriptor, compression: str, block: int, level: int, offsets, counts, big: bool) -> list:
-    """The fields of one directory, by tag."""
+def describe_fields(d: Descriptor, compression: str, block: int, level: int, big: bool) -> list:
+    """The fields of one directory, by tag; the blocks' offsets and lengths are gaps."""
+    blocks = Gap(-(-d.grid.width // block) * -(-d.grid.height // block))
     n, kind, grid = len(d.bands), d.data_type, d.grid
     bits, form = {0: (8, 1), 1: (16, 1), 2: (16, 2), 3: (32, 2), 4: (32, 3), 5: (64, 3)}[kind]
     photometric = {"RGB": 2, "PALETTE": 3}.get(d.color, 1)
@@ -344,7 +384,7 @@ def describe_fields(d: Descriptor, compression: str, block: int, level: int, off
     out = [
         entry(SUBFILE, 4, [1 if level else 0]), entry(WIDTH, 4, [grid.width]), entry(HEIGHT, 4, [grid.height]), entry(BITS, 3, [bits] * n), entry(COMPRESSION, 3, [COMPRESSIONS[compression]]),
         entry(PHOTOMETRIC, 3, [photometric]), entry(SAMPLES, 3, [n]), entry(PLANAR, 3, [1]), entry(TILE_WIDTH, 3, [block]), entry(TILE_HEIGHT, 3, [block]),
-        entry(TILE_OFFSETS, 16 if big else 4, offsets), entry(TILE_COUNTS, 16 if big else 4, counts), entry(FORMAT, 3, [form] * n),
+        entry(TILE_OFFSETS, 16 if big else 4, blocks), entry(TILE_COUNTS, 16 if big else 4, blocks), entry(FORMAT, 3, [form] * n),
     ]
     if d.color == "PALETTE":
         size, n_colours = 2**bits, d.palette_size
@@ -367,7 +407,7 @@ def describe_fields(d: Descriptor, compression: str, block: int, level: int, off
     if d.bands[0].no_data is not None:
         nd = d.bands[0].no_data
         out.append(entry(NO_DATA, 2, ("nan" if math.isnan(nd) else repr(int(nd)) if nd == int(nd) else repr(nd)).encode() + b"\0"))
-    return sorted(out)
+    return sorted(out, key=lambda e: e[0])
 
 
 GHOST = (
@@ -375,28 +415,48 @@ GHOST = (
 )
 
 
-def head(levels: list[tuple[Descriptor, list[int], list[int]]], compression: str, block: int, big: bool, cog: bool) -> bytes:
-    """Everything before the blocks: header, directories and their outer values."""
+def layout(levels: list[Descriptor], compression: str, block: int, big: bool, cog: bool) -> tuple[list[tuple[int, bytes]], int, list[tuple[int, int, int]]]:
+    """Everything before the blocks: pieces with their places, the whole length, and where each level's arrays go.
+
+    An array's place is (offsets at, lengths at, bytes of one number). What
+    isn't in a piece is zero, so nothing here grows with the number of blocks.
+    """
     ghost = (f"GDAL_STRUCTURAL_METADATA_SIZE={len(GHOST):06d} bytes\n" + GHOST).encode() if cog else b""
-    out = bytearray(struct.pack("<2sHHHQ" if big else "<2sHI", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0)) + ghost
-    out += b"\0" * (-len(out) % 16)
-    link = 8 if big else 4
-    for level, (d, offsets, counts) in enumerate(levels):
-        made = describe_fields(d, compression, block, level, offsets, counts, big)
-        at = len(out)
-        out[link : link + (8 if big else 4)] = struct.pack("<Q" if big else "<I", at)
+    start = (struct.pack("<2sHHHQ" if big else "<2sHI", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0)) + ghost
+    pieces, length, arrays = [(0, start)], -(-len(start) // 16) * 16, []
+    link, number = 8 if big else 4, "<Q" if big else "<I"
+    for level, d in enumerate(levels):
+        made = describe_fields(d, compression, block, level, big)
+        pieces.append((link, struct.pack(number, length)))
         size, inline = (20, 8) if big else (12, 4)
-        after = at + (8 if big else 2) + size * len(made) + inline
-        body, tail = bytearray(struct.pack("<Q" if big else "<H", len(made))), bytearray()
+        body, tail = bytearray(struct.pack("<Q" if big else "<H", len(made))), length + (8 if big else 2) + size * len(made) + inline
+        places = {}
         for tag, kind, n, data in made:
             body += struct.pack("<HHQ" if big else "<HHI", tag, kind, n)
-            if len(data) <= inline:
-                body += data.ljust(inline, b"\0")
-            else:
-                tail += b"\0" * (len(tail) % 2)
-                body += struct.pack("<Q" if big else "<I", after + len(tail))
-                tail += data
-        link = at + len(body)
-        out += body + b"\0" * inline + tail
-        out += b"\0" * (-len(out) % 16)
+            long = data.size if isinstance(data, Gap) else len(data)
+            if long <= inline:
+                places[tag] = length + len(body)
+                body += b"\0" * inline if isinstance(data, Gap) else data.ljust(inline, b"\0")
+                continue
+            tail += tail % 2
+            places[tag] = tail
+            body += struct.pack(number, tail)
+            if not isinstance(data, Gap):
+                pieces.append((tail, data))
+            tail += long
+        arrays.append((places[TILE_OFFSETS], places[TILE_COUNTS], 8 if big else 4))
+        pieces.append((length, bytes(body)))
+        link = length + len(body)
+        length = -(-tail // 16) * 16
+    return pieces, length, arrays
+
+
+def head(levels: list[tuple[Descriptor, list[int], list[int]]], compression: str, block: int, big: bool, cog: bool) -> bytes:
+    """Everything before the blocks of a small file, with offsets and lengths at hand."""
+    pieces, length, arrays = layout([d for d, _, _ in levels], compression, block, big, cog)
+    out = bytearray(length)
+    for (_, offsets, counts), (at, lengths, width) in zip(levels, arrays, strict=True):
+        pieces += [(at, struct.pack(f"<{len(offsets)}{'Q' if width == 8 else 'I'}", *offsets)), (lengths, struct.pack(f"<{len(counts)}{'Q' if width == 8 else 'I'}", *counts))]
+    for at, data in pieces:
+        out[at : at + len(data)] = data
     return bytes(out)
