@@ -52,11 +52,8 @@ def described_rows(rows: DataFrame, location: str = "location") -> DataFrame:
 
 
 def same(a: dict, b: dict) -> bool:
-    """Whether two descriptors have the same binary form (so NaN equals NaN)."""
-    forms = bytearray(), bytearray()
-    for out, value in zip(forms, (a, b), strict=True):
-        recipe.put(out, recipe.DESCRIPTOR, value)
-    return forms[0] == forms[1]
+    """Whether two descriptors have the same values (NaN equals NaN) and systems that differ in names at most."""
+    return collection.same(from_struct(a), from_struct(b))
 
 
 def current(value: dict) -> Descriptor:

@@ -12,6 +12,7 @@ loops over files or rows on the driver, and no raster lies in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from tessera import recipe
 from tessera.failures import failing
 from tessera.functions import coverage, kernels
+from tessera.functions.crs import equivalent
 from tessera.functions.geometry import aligned, parse_polygon, rings_in_pixels
 from tessera.functions.pixel import stored_no_data
 from tessera.model import Descriptor, from_struct
@@ -43,8 +45,8 @@ TILE = "key binary, band int, tile_x int, tile_y int, x int, y int, width int, h
 
 
 def same(a: Descriptor, b: Descriptor) -> bool:
-    """Whether descriptors have the same values; NaN is NaN."""
-    return repr(a) == repr(b)
+    """Whether descriptors have the same values (NaN is NaN) and systems that differ in names at most."""
+    return repr(replace(a, crs=None)) == repr(replace(b, crs=None)) and equivalent(a.crs, b.crs)
 
 
 class Chain:
@@ -62,7 +64,7 @@ class Chain:
                     self.steps.append(("clip", origin, window, chosen, added, p, None))
                 else:
                     made = warping.plan(d, p["resolution_x"], p["resolution_y"], p["extent"] or None, p["interpolation"], p["output_type"], p["source_no_data"], p["output_no_data"], p["target_crs"])
-                    change = warping.transform(made.crs, d.crs) if made.crs != d.crs else None
+                    change = warping.transform(made.crs, d.crs)
                     self.steps.append(("reproject", origin, None, None, None, p, change))
                 if not same(made, from_struct(s["output"])):
                     raise ValueError("It has another result than planned")

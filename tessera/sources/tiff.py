@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from tessera.functions.crs import code_of
 from tessera.model import Band, Descriptor, Grid
 from tessera.sources.ranges import Source
 
@@ -359,6 +360,17 @@ def directories(source: Source) -> list[Directory]:
     return out
 
 
+def epsg(crs: str | None) -> int | None:
+    """The number that a file names a system by; a text without one can't be written."""
+    if not crs:
+        return None
+    if (m := re.fullmatch(r"(?i)\s*(?:EPSG:)?(\d+)\s*", crs)) is None:
+        m = re.fullmatch(r"EPSG:(\d+)", code_of(crs) or "")
+    if m is None:
+        raise ValueError("A file needs a CRS with a code")
+    return int(m[1])
+
+
 @dataclass(frozen=True)
 class Gap:
     """The place of an array that is filled in later."""
@@ -397,7 +409,7 @@ def describe_fields(d: Descriptor, compression: str, block: int, level: int, big
             out += [entry(PIXEL_SCALE, 12, [grid.m00, -grid.m11, 0.0]), entry(TIEPOINT, 12, [0.0, 0.0, 0.0, x, y, 0.0])]
         else:
             out.append(entry(TRANSFORM, 12, [grid.m00, grid.m01, 0.0, x, grid.m10, grid.m11, 0.0, y, *[0.0] * 7, 1.0]))
-        code = int(d.crs.rpartition(":")[2]) if d.crs and d.crs.startswith("EPSG:") else None
+        code = epsg(d.crs)
         geographic = code is not None and 4000 <= code < 5000
         keys = [(1024, 2 if geographic else 1), (1025, 1)] + ([(2048 if geographic else 3072, code)] if code else [])
         out.append(entry(GEO_KEYS, 3, [1, 1, 0, len(keys), *(v for k, c in keys for v in (k, 0, 1, c))]))
