@@ -62,8 +62,8 @@ def window(sides: Column, width: int, height: int) -> Column:
     return F.struct(bound("x1", "x2", True, width).alias("x0"), bound("y1", "y2", True, height).alias("y0"), bound("x1", "x2", False, width).alias("x1"), bound("y1", "y2", False, height).alias("y1"))
 
 
-def covers(sides: Column, x: Column, y: Column) -> Column:
-    """Whether the point lies in the polygon or on its boundary."""
+def covers(sides: Column, x: Column, y: Column, more: Column | int = 0) -> Column:
+    """Whether the point lies in the polygon or on its boundary; ``more`` edges to its right aren't among ``sides``."""
 
     def cross(e: Column) -> Column:
         return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
@@ -75,7 +75,7 @@ def covers(sides: Column, x: Column, y: Column) -> Column:
         up, down = (e["y1"] <= y) & (e["y2"] > y), (e["y1"] > y) & (e["y2"] <= y)
         return (up & (cross(e) > 0)) | (down & (cross(e) < 0))
 
-    return F.exists(sides, on) | (F.size(F.filter(sides, crossed)) % 2 == 1)
+    return F.exists(sides, on) | ((F.size(F.filter(sides, crossed)) + more) % 2 == 1)
 
 
 PART = re.compile(r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)")

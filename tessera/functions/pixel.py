@@ -42,8 +42,8 @@ def physical(value: Column, scale: float = 1.0, offset: float = 0.0) -> Column:
     return value * number(scale) + number(offset)
 
 
-def convert(value: Column, data_type: int) -> Column:
-    """A finite value in the range and precision of a sample type; others raise."""
+def convert(value: Column, data_type: int, failed: str = "") -> Column:
+    """A finite value in the range and precision of a sample type; others raise, with ``failed`` before the message."""
     name, low, high, _ = SAMPLE_TYPES[data_type]
     if data_type == 5:
         out, fits = value, finite(value)
@@ -53,7 +53,7 @@ def convert(value: Column, data_type: int) -> Column:
     else:
         out = F.rint(value)
         fits = finite(value) & (out >= low) & (out <= high)
-    return F.when(fits, out).otherwise(F.raise_error(F.concat(F.lit(f"{name} output overflow: "), F.coalesce(value.cast("string"), F.lit("null")))))
+    return F.when(fits, out).otherwise(F.raise_error(F.concat(F.lit(f"{failed}{name} output overflow: "), F.coalesce(value.cast("string"), F.lit("null")))))
 
 
 def representable(no_data: float | None, data_type: int, lenient: bool = False) -> bool:

@@ -102,7 +102,13 @@ def test_errors_name_source_and_operation(spark, files):
     flawed = api.described(spark, files[:1]).withColumn("wkt", F.lit("POLYGON ((0 0, 9 9, 9 0, 0 9, 0 0))"))
     with pytest.raises(Exception, match=r"Raster operation 'statistics' on '.*0\.tif' failed: Edges"):
         api.zonal_rows(flawed).collect()
+    rows = spark.range(4).selectExpr("cast(id as int) band", "0 x", "0 y", "300D raw")
+    colours = Raster(rows, Descriptor(Grid.north_up(1, 1), tuple(Band(f"Band {i + 1}", 0) for i in range(4)), "EPSG:2056", color="RGB", alpha_band=3))
+    with pytest.raises(Exception, match="Raster operation 'my clip' failed: An alpha value"):
+        colours.clip("POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))", origin="my clip").pixels.collect()
     one = dem(spark, 0)
+    with pytest.raises(Exception, match="Raster operation 'my reduction' failed: A resampled value collides"):
+        one.reproject(5.0, output_no_data=1.0, origin="my reduction").pixels.collect()
     with pytest.raises(Exception, match="Raster operation 'my warp' failed: A resampled value collides"):
         one.reproject(0.4, output_no_data=3.0, origin="my warp").pixels.collect()
 
