@@ -108,7 +108,7 @@ def test_errors_name_source_and_operation(spark, files):
         colours.clip("POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))", origin="my clip").pixels.collect()
     one = dem(spark, 0)
     with pytest.raises(Exception, match="Raster operation 'my reduction' failed: A resampled value collides"):
-        one.reproject(5.0, output_no_data=1.0, origin="my reduction").pixels.collect()
+        one.reproject(5.0, output_no_data=17.5, origin="my reduction").pixels.collect()
     with pytest.raises(Exception, match="Raster operation 'my warp' failed: A resampled value collides"):
         one.reproject(0.4, output_no_data=3.0, origin="my warp").pixels.collect()
 
