@@ -130,6 +130,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+def ngram_join_sql(words: int = 3, percent: int = 90) -> str:
+    """Sets of texts, pairs by shared shingles, and the least id that a recursion over links reaches."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(words))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {gram})) END AS e FROM d),
+x AS MATERIALIZED (SELECT doc_id, len(e) AS n, unnest(e) AS g FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+ways AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM s UNION SELECT reach.u, ways.v FROM reach JOIN ways ON reach.v = ways.u)
+SELECT s.doc_id, len(e)::BIGINT AS n_shingles, least AS component_id FROM s JOIN (SELECT u, min(v) AS least FROM reach GROUP BY u) r ON r.u = s.doc_id"""
+
+
 def collocations_sql() -> str:
     """Counts of each order by itself, then cuts and longer phrases by joins of texts."""
     grams = " UNION ALL ".join(f"SELECT lang, {k} AS m, array_to_string(w[i:i + {k - 1}], ' ') AS phrase, w[i:i + {k - 1}] AS ws FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces)" for k in (1, 2, 3, 4))
@@ -178,4 +192,4 @@ FROM ruled q JOIN tree t ON t.host = q.host AND t.segs = q.segs JOIN pure p ON p
 
 
 #: The other operators learn, tokenize or need places of matches: they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": url_filter_sql(), "op5_url_tree": url_filter_sql(), "op9_topk": OP9_SQL, "op12_collocations": collocations_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": url_filter_sql(), "op5_url_tree": url_filter_sql(), "op7_ngram_join": ngram_join_sql(), "op9_topk": OP9_SQL, "op12_collocations": collocations_sql()}

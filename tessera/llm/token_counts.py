@@ -179,6 +179,43 @@ def apply_edits(trees: DataFrame, id_col: str = "doc_id", tokenizer: str | None
     return trees.select(id_col, "leaf_chars", "sums", "regions", "n_edits").mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, n_edits long, n_tokens_after long, n_encoded long, leaf_chars array<int>, sums array<int>")
 
 
+def with_regions(trees: DataFrame, docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Kept trees with the regions of new edits, for :func:`apply_edits`.
+
+    ``trees`` are those of :func:`token_trees` or what :func:`apply_edits`
+    left of them; ``docs`` has the texts as the trees know them, of those that
+    ``edits`` (as in :func:`count_tokens`) touch, with an id that is unique and
+    not null. Nothing is tokenized: a region's place follows from the leaves'
+    lengths, and of the text only the region is taken on. A document without a
+    tree is left out, one without edits keeps its tree and has no regions.
+    """
+    id_type = dict(trees.dtypes)[id_col]
+    asked = docs.select(docs[id_col].alias("_id"), text_or_empty(text_col).alias("_text"), F.coalesce(edits.cast(EDITS), F.array().cast(EDITS)).alias("_edits")).where("size(_edits) > 0")
+    met = trees.select(F.col(id_col).alias("id"), "leaf_chars", "sums").join(asked, F.col("id") == F.col("_id"), "left").select("id", "leaf_chars", "sums", "_text", "_edits")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        region = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("text", pa.string())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found, counts = [], []
+                for lengths, text, asked in zip(part.column(1), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    kept = in_order(asked, len(text)) if asked else []
+                    counts.append(len(kept))
+                    lengths = lengths.values.to_numpy(zero_copy_only=False)
+                    if kept and lengths.sum() != len(text):
+                        raise ValueError("A tree belongs to another text")
+                    # Leaves that earlier edits left empty stand for no place in the text.
+                    own = np.flatnonzero(lengths) if lengths.any() else np.zeros(1, dtype=np.int64)
+                    found.append([{"first": int(own[a]), "last": int(own[b]), "text": new} for a, b, new in regions_of(text, lengths[own], kept)] if kept else [])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, region), pa.array(counts, pa.int64())], names=["id", "leaf_chars", "sums", "regions", "n_edits"])
+
+    return met.mapInArrow(run, f"id {id_type}, leaf_chars array<int>, sums array<int>, regions {REGIONS}, n_edits long").withColumnRenamed("id", id_col)
+
+
 def count_tokens(docs: DataFrame, edits: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, with_tree: bool = False) -> DataFrame:
     """Token counts of each text before and after its edits, from kept trees.
 
