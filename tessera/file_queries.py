@@ -151,7 +151,7 @@ WHERE wx BETWEEN 10.25 AND 30.75 AND wy - strip * 10 BETWEEN 1.25 AND 4.75 GROUP
 )
 def zonal_many_files(spark, sf_dir):
     """A file and a zone for each strip: reprojected and summed up in one plan."""
-    rows = reproject_rows(strips(spark, sf_dir), 0.5).withColumn("wkt", strip_box(10.25, 30.75))
+    rows = kept(reproject_rows(strips(spark, sf_dir), 0.5).withColumn("wkt", strip_box(10.25, 30.75)), "warped")
     return zonal_rows(rows).drop("raster", "wkt").withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
 
 

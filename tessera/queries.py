@@ -445,6 +445,27 @@ def warp_rotated(spark, sf_dir):
     return plain(turned.reproject(1, output_no_data=-9999.0).pixels)
 
 
+#: Mercator metres and degrees: the earth's radius, the raster's corner, degrees of a target pixel and its least column and row.
+RADIUS, EAST, NORTH, DEGREES, COLUMN, ROW = 6378137.0, 800_000.0, 6_000_000.0, 0.005, 1438, 9472
+TOP = f"(floor(degrees(2 * atan(exp(({NORTH} + h * 1000 - 5000) / {RADIUS})) - pi() / 2) * 100) / 100 / {DEGREES})"
+
+
+@query(
+    f"""WITH {P}, q AS (SELECT x, y, raw FROM p WHERE band = 0 AND raw <> 7), g AS (SELECT h, round({TOP})::BIGINT AS top FROM ph),
+t AS (SELECT x, y, ({RADIUS}::DOUBLE * radians(({COLUMN} + x + 0.5) * {DEGREES}::DOUBLE) - {EAST + 500}) / 1000 AS sx,
+  ({NORTH - 500} + h * 1000 - {RADIUS}::DOUBLE * ln(tan(pi() / 4 + radians((top - y - 0.5) * {DEGREES}::DOUBLE) / 2))) / 1000 AS sy
+  FROM g, LATERAL (SELECT unnest(range(top - {ROW})) AS y) AS b, LATERAL (SELECT unnest(range(34)) AS x) AS a)
+SELECT 0::BIGINT AS band, t.x::BIGINT AS x, t.y::BIGINT AS y, coalesce(q.raw, -9999) AS raw FROM t LEFT JOIN q ON q.x = floor(sx + 0.5) AND q.y = floor(sy + 0.5)"""
+)
+def warp_mercator_to_degrees(spark, sf_dir):
+    """Between systems, in closed form: a raster in Mercator metres on a grid of degrees that grows with it."""
+    r = sizes(spark, sf_dir)
+    metres = Raster(r.pixels, replace(r.descriptor, grid=Grid.north_up(20, r.grid.height, 1000.0, EAST, NORTH), crs="EPSG:3857"))
+    top = math.floor(math.degrees(2 * math.atan(math.exp((NORTH + r.grid.height * 1000 - 5000) / RADIUS)) - math.pi / 2) * 100) / 100
+    extent = [COLUMN * DEGREES, ROW * DEGREES, (COLUMN + 34) * DEGREES, top]
+    return plain(metres.reproject(DEGREES, extent=extent, output_no_data=-9999.0, target_crs="EPSG:4326").pixels)
+
+
 WARP_RGB = f"""WITH {RGB}, q AS (SELECT x, y, a / 255 AS a, r * (a / 255) AS r, g * (a / 255) AS g, b * (a / 255) AS b FROM c WHERE a > 0),
 t AS (SELECT u AS x, v AS y, u * 2 AS sx, v * 2 AS sy FROM oh, LATERAL (SELECT unnest(range(h // 2)) AS v) AS j, LATERAL (SELECT unnest(range(25)) AS u) AS i),
 s AS (SELECT t.x, t.y, {", ".join(f"0.25 * coalesce(q0.{n}, 0) + 0.25 * coalesce(q1.{n}, 0) + 0.25 * coalesce(q2.{n}, 0) + 0.25 * coalesce(q3.{n}, 0) AS {n}" for n in "rgba")} FROM t
