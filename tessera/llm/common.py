@@ -135,6 +135,16 @@ class WordEncoder:
         self.by_words = True
         self.by_words = self.many(PROBES) == list(self._whole(PROBES).values())
 
+    def forget_sizes(self) -> None:
+        """Free what counting has kept, where a worker that counted before now needs ids."""
+        if len(self.sizes) > 1 or len(self.run_sizes) > 1:
+            self.sizes, self.run_sizes = {"": 0}, {"": 0}
+
+    def forget_ids(self) -> None:
+        """Free what ids have been kept, where a worker that encoded before now counts."""
+        if self.memo or len(self.runs) > 1:
+            self.memo, self.runs = {}, {"": b""}
+
     def _whole(self, words: list[str]) -> dict[str, bytes]:
         import numpy as np
 

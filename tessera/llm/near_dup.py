@@ -264,7 +264,7 @@ def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
             if rest.any():
                 yield batch_of(NEAR, ident[rest], hub[rest], key[rest])
 
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             sets, same = [], []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 elements = shingler.set_of(text)
@@ -489,11 +489,10 @@ def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: Data
         hub = left.groupBy("key", "rows").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)), "id", "component", "n", "sketch")).alias("hub"))
         hub = materialize(hub, "hubs")
         met = spread_join(left.drop("rows"), hub, ["key"], "rows")
-        met = met.select("key", "id", "n", "sketch", "component", F.col("hub.id").alias("hub_id"), F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("sketch").alias("sa"), F.col("hub.sketch").alias("sb"))
-        met = materialize(met, "met")
+        met = met.select("key", F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("sketch").alias("sa"), F.col("hub.sketch").alias("sb"))
         more = check(met.where((F.col("ca") != F.col("cb")) & can_link(percent)))
-        before, left = left, materialize(met.where("id != hub_id").select("key", "id"), "members")
-        discard(before, hub, met)
+        before, left = left, materialize(left.select("key", "id").join(hub.select("key", F.col("hub.id").alias("id")), ["key", "id"], "left_anti"), "members")
+        discard(before, hub)
 
     # What is left of a list: pairs, in parts of about SPREAD members against all.
     parts = F.ceil(F.col("rows") / SPREAD).cast("int")

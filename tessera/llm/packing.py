@@ -177,6 +177,7 @@ def pack(
         from pyspark import TaskContext
 
         encoder, packer = word_encoder(path), Packer(max_tokens, max_segments, max_loss, pool)
+        encoder.forget_sizes()
         base = TaskContext.get().partitionId() << 40
         end = int(end_id).to_bytes(4, "little")
         held: dict[int, tuple] = {}  # of documents that still wait: id, tokens, first token held, bytes of ids

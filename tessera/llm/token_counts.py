@@ -251,6 +251,7 @@ def with_token_counts(docs: DataFrame, name: str, text_col: str = "text", tokeni
         import pyarrow as pa
 
         encoder = word_encoder(path)
+        encoder.forget_ids()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
