@@ -95,3 +95,8 @@ def inside(x: Column, y: Column, width: int, height: int) -> Column:
 
 def channel_maximum(data_type: int) -> float:
     return {0: 255.0, 1: 65535.0}.get(data_type, 1.0)
+
+
+def eight_bits(palette: tuple[int, ...]) -> tuple[int, ...]:
+    """A palette's entries of 16 bits as those of 8 bits that displays take."""
+    return tuple(v // 257 for v in palette)

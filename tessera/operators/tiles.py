@@ -48,18 +48,26 @@ def read_window(tiles: DataFrame, x: int, y: int, width: int, height: int, band:
     return each.where(F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1))
 
 
+#: Groups whose sums are added up by one task, of those that follow each other.
+GROUPS = 1024
+
+
 def running_total(df: DataFrame, value: Column, groups: list[Column], order: list[Column], to: str) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows before, by group and then order.
 
-    Groups are summed first, so no task sees more than the groups' sums or one
-    group's rows.
+    Groups are numbers, from 0. Their sums are added up by GROUPS of the last
+    number at a time, and then those sums, so that no task sees more than one
+    group's rows, GROUPS sums, or the sums of so many.
     """
     names = [f"_g{i}" for i in range(len(groups))]
     rows = df.withColumns({**dict(zip(names, groups, strict=True)), "_v": value})
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*names).agg(F.sum("_v").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before.orderBy(*names)), F.lit(0)))
-    own = F.coalesce(F.sum("_v").over(before.partitionBy(*names).orderBy(*order)), F.lit(0))
-    return rows.join(sums.drop("_s"), names).withColumn(to, F.col("_before") + own).drop(*names, "_v", "_before")
+    before, none = Window.rowsBetween(Window.unboundedPreceding, -1), F.lit(0)
+    wide = [*names[:-1], "_w"]
+    sums = rows.groupBy(*names).agg(F.sum("_v").alias("_s")).withColumn("_w", F.floor(F.col(names[-1]) / GROUPS))
+    tops = sums.groupBy(*wide).agg(F.sum("_s").alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(before.orderBy(*wide)), none)).drop("_t")
+    sums = sums.withColumn("_in", F.coalesce(F.sum("_s").over(before.partitionBy(*wide).orderBy(names[-1])), none)).join(tops, wide)
+    own = F.coalesce(F.sum("_v").over(before.partitionBy(*names).orderBy(*order)), none)
+    return rows.join(sums.select(*names, (F.col("_base") + F.col("_in")).alias("_before")), names).withColumn(to, F.col("_before") + own).drop(*names, "_v", "_before")
 
 
 def encode_blocks(tiles: DataFrame, descriptor: Descriptor, size: int, compression: str) -> DataFrame:

@@ -57,6 +57,22 @@ def test_tiles(dem):
     assert len(got) == 20 and got[34, 33] == plane(dem, 1)[33, 34]
 
 
+@pytest.mark.parametrize("groups", [3, 1024])
+def test_running_total(spark, monkeypatch, groups):
+    """Sums of sums: by two numbers, the second with gaps, a few groups at a time."""
+    from tessera.operators import tiles
+
+    monkeypatch.setattr(tiles, "GROUPS", groups)
+    rows = [(a, b * b % 23, k, (a * 7 + b * 3 + k) % 11) for a in range(2) for b in range(12) for k in range(3)]
+    rows = sorted({r[:3]: r for r in rows}.values())
+    got = tiles.running_total(spark.createDataFrame(rows, "a int, b int, k int, v int").repartition(5), F.col("v"), [F.col("a"), F.col("b")], [F.col("k")], "place").collect()
+    want, total = [], 0
+    for r in rows:
+        want.append((*r, total))
+        total += r[3]
+    assert sorted(tuple(r) for r in got) == want
+
+
 @pytest.mark.parametrize("compression", list(tiff.COMPRESSIONS))
 def test_geotiff_round_trip(dem, spark, tmp_path, compression):
     path = str(tmp_path / "a.tif")

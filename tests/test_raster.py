@@ -266,3 +266,9 @@ def test_systems_of_polygons():
     assert aligned(None, "EPSG:3857") is None and aligned("POLYGON EMPTY", "EPSG:3857") == "POLYGON EMPTY"
     with pytest.raises(ValueError):
         aligned("SRID=4326;" + box, None)
+
+
+def test_palettes_for_displays():
+    from tessera.functions.pixel import eight_bits
+
+    assert eight_bits((0, 256, 257, 32896, 65534, 65535)) == (0, 0, 1, 128, 254, 255) and eight_bits(()) == ()
