@@ -285,10 +285,22 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+#: The encoders of this Python worker.
+ENCODERS: list[WordEncoder] = []
+
+
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker, kept between tasks."""
-    return WordEncoder(path)
+    ENCODERS.append(WordEncoder(path))
+    return ENCODERS[-1]
+
+
+def forget_words() -> None:
+    """Free what tokenizing has kept, where a worker that encoded before now does something else."""
+    for encoder in ENCODERS:
+        encoder.forget_sizes()
+        encoder.forget_ids()
 
 
 def list_column(arrays: list, kind):

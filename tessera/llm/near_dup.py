@@ -1,7 +1,9 @@
 """Set-similarity join on word shingles: a size-aware heavy-light join.
 
 Two sets can only link if they lie in one size class or in neighbouring ones
-(a class spans sizes up to 1 / threshold times its least). For each class a
+(a class spans sizes up to 1 / threshold times its least, of WIDE_FROM elements
+and more up to about CLASS_SPAN times; only sets that can link with one of the
+class below take part in that too). For each class a
 cost rule chooses between two exact ways to find candidates:
 
 * small sets enumerate their subsets of fixed sizes: linked sets share a
@@ -21,9 +23,10 @@ which is likely close to them. These links are checked by exact set
 intersection. On lists where a check failed, other members are drawn and tried
 in rounds, each against all members of other components, as long as a round
 finds links and pairs would cost more; only then pairs of members of components that still differ are
-compared by their *sketches* (one bit for each of SKETCH_BITS hash ranges, the
+compared by their *sketches* (one bit for each of some hash ranges, the
 parity of the elements in it; the bits that differ are a lower bound of the
-elements that differ), a long list in parts, and those that can link are
+elements that differ; their number is a power of two that grows with the set, a
+longer one is folded to compare), a long list in parts, and those that can link are
 checked. Hence components are exact, while a group of copies costs as many
 checks as it has members, not as many as it has pairs. A set that takes part in
 many checks is dealt to several tasks.
@@ -40,13 +43,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, fresh, materialize, spread_join, text_or_empty
+from tessera.llm.common import discard, forget_words, fresh, materialize, spread_join, text_or_empty
 
 #: Costs of one enumerated subset and of one inverted-list entry (which is longer to verify).
 SUBSET_COST, LIST_COST = 1.0, 5.0
 #: Keys that a task gathers before it links them.
 CHUNK_KEYS = 500_000
-SKETCH_BITS = 2048
+#: Bits of a sketch: so many at least for each element in which linked sets may differ, within bounds.
+SKETCH_FACTOR, SKETCH_LEAST, SKETCH_MOST = 4, 64, 8192
+#: Classes of so many elements and more span about so many times their least size.
+WIDE_FROM, CLASS_SPAN = 64, 1.5
 ORDERS = 4
 BLOOM_BITS = 1 << 23
 
@@ -69,6 +75,7 @@ class Scheme:
 
     def __init__(self, percent: int):
         self.percent = percent
+        self.steps = max(1, round(math.log(CLASS_SPAN) / math.log(100 / percent))) if percent < 100 else 1
         self.lows: list[int] = [1]
         self.classes: list[SizeClass] = []
 
@@ -80,9 +87,16 @@ class Scheme:
         """Largest symmetric difference of linked sets of at most a and b elements."""
         return (100 - self.percent) * (a + b) // (100 + self.percent)
 
+    def add_class(self) -> None:
+        low = self.lows[-1]
+        most = low
+        for _ in range(self.steps if low >= WIDE_FROM else 1):
+            most = self.top(most)
+        self.lows.append(most + 1)
+
     def extend(self, size: int) -> None:
         while self.lows[-1] <= size:
-            self.lows.append(self.top(self.lows[-1]) + 1)
+            self.add_class()
 
     def index(self, size: int) -> int:
         from bisect import bisect_right
@@ -92,7 +106,7 @@ class Scheme:
 
     def get(self, i: int) -> SizeClass:
         while len(self.lows) < i + 3:
-            self.lows.append(self.top(self.lows[-1]) + 1)
+            self.add_class()
         while len(self.classes) <= i:
             k = len(self.classes)
             low, high = self.lows[k], self.lows[k + 1]
@@ -184,12 +198,12 @@ def sums_by_block(elements, block, blocks: int):
 
 
 def keys_of(elements, plan: Scheme):
-    """The keys of a set: of its own class, and of the one below for pairs with that."""
+    """The keys of a set: of its own class, and of the one below if it can link with sets of that."""
     import numpy as np
 
     n, mix = len(elements), Shingler.mix
     i, out = plan.index(n), []
-    for c in [plan.get(i)] + ([plan.get(i - 1)] if i else []):
+    for c in [plan.get(i)] + ([plan.get(i - 1)] if i and n <= plan.top(plan.get(i - 1).high - 1) else []):
         salt = np.uint64(0x2545F4914F6CDD1D * (c.index + 1) & (2**64 - 1))
         if c.small:
             total = elements.sum()
@@ -213,19 +227,22 @@ def keys_of(elements, plan: Scheme):
     return np.unique(np.concatenate(out))
 
 
-def sketch(elements):
-    """Parities of the elements in each of SKETCH_BITS ranges, as 64-bit integers."""
+def sketch(elements, plan: Scheme):
+    """Parities of the elements in each of a power of two of ranges, as 64-bit integers."""
     import numpy as np
 
-    counts = np.bincount((elements >> np.uint64(21)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    differ = plan.most_different(len(elements), len(elements))
+    bits = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << (SKETCH_FACTOR * differ - 1).bit_length())) if differ else SKETCH_LEAST
+    counts = np.bincount((elements >> np.uint64(21)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 # Kinds of entries: a set itself (other, more: its digest); a set equal to
 # another of the same task; a place on list ``key``; a set linked to another of
-# the same task for list ``more``. All but places are dealt by their id.
+# the same task for list ``more``. All but places are dealt by their id. Places
+# are by far the most, so they are a key and an id alone (``rest`` is null).
 SET, EQUAL, PLACE, NEAR = 0, 1, 2, 3
-ENTRY = "key long, id long, other long, more long, n int, kind byte, sketch array<long>"
+ENTRY = "key long, id long, rest struct<other: long, more: long, n: int, kind: byte, sketch: array<long>>"
 
 
 def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -235,17 +252,24 @@ def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        forget_words()
         shingler, plan = Shingler(words), scheme(percent)
         equal: dict[tuple, int] = {}
         held: list[tuple] = []  # keys, id
+        rest_type = pa.struct([("other", pa.int64()), ("more", pa.int64()), ("n", pa.int32()), ("kind", pa.int8()), ("sketch", pa.list_(pa.int64()))])
 
         def batch_of(kind, ident, other=0, more=0, n=0, sketches=None, key=None) -> pa.RecordBatch:
             size = len(ident)
             wide = lambda x: pa.array(np.broadcast_to(np.asarray(x, dtype=np.int64), size))
             ident = np.asarray(ident, dtype=np.int64)
             key = Shingler.mix(ident.view(np.uint64)).view(np.int64) if key is None else key
-            cols = [wide(key), wide(ident), wide(other), wide(more), pa.array(np.broadcast_to(np.asarray(n, dtype=np.int32), size)), pa.array(np.full(size, kind, dtype=np.int8)), pa.array(sketches if sketches is not None else [None] * size, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, names=["key", "id", "other", "more", "n", "kind", "sketch"])
+            if kind == PLACE:
+                rest = pa.nulls(size, rest_type)
+            else:
+                sketched = pa.array(sketches if sketches is not None else [None] * size, pa.list_(pa.int64()))
+                own = [wide(other), wide(more), pa.array(np.broadcast_to(np.asarray(n, dtype=np.int32), size)), pa.array(np.full(size, kind, dtype=np.int8)), sketched]
+                rest = pa.StructArray.from_arrays(own, fields=list(rest_type))
+            return pa.RecordBatch.from_arrays([wide(key), wide(ident), rest], names=["key", "id", "rest"])
 
         def lists() -> Iterator:
             """Link the places of this task on each list to the first of them."""
@@ -269,7 +293,7 @@ def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 elements = shingler.set_of(text)
                 a, b = digest(elements)
-                sets.append((ident, a, b, len(elements), sketch(elements)))
+                sets.append((ident, a, b, len(elements), sketch(elements, plan)))
                 if not len(elements):
                     continue
                 first = equal.setdefault((a, b, len(elements)), ident)
@@ -290,13 +314,20 @@ def entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, ENTRY)
 
 
+def bloom_place(ident: Column) -> Column:
+    return F.pmod(F.xxhash64(ident), F.lit(BLOOM_BITS)).cast("int")
+
+
+def bloom_words(ids: DataFrame) -> DataFrame:
+    """A Bloom filter of the ids: (word, bits), of BLOOM_BITS / 32 rows at most however many ids there are."""
+    words = ids.select(bloom_place(F.col("id")).alias("at")).selectExpr("CAST(at DIV 32 AS int) AS word", "shiftleft(1L, at % 32) AS bit")
+    return words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 def bloom(ids: DataFrame) -> bytes:
-    """A Bloom filter of the ids, of a fixed size however many there are."""
     import numpy as np
 
-    at = ids.select(F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).cast("int").alias("at"))
-    words = at.selectExpr("at DIV 32 AS word", "shiftleft(1L, at % 32) AS bit")
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # BLOOM_BITS / 32 rows at most
+    got = bloom_words(ids).toPandas()
     out = np.zeros(BLOOM_BITS // 32, dtype=np.uint32)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
     return out.tobytes()
@@ -311,6 +342,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        forget_words()
         shingler, table = Shingler(words), np.frombuffer(bits.value, dtype=np.uint32)
         for batch in batches:
             at = batch.column(2).to_numpy()
@@ -322,7 +354,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 values = np.concatenate(sets)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "set"])
 
-    some = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("at"))
+    some = docs.select("id", "text", bloom_place(F.col("id")).alias("at"))
     found = some.mapInArrow(run, "id long, set array<long>")
     return found.join(ids, "id", "left_semi")
 
@@ -399,12 +431,13 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     reachable by links).
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty().alias("text"))
-    # A list has one place for each chunk of a task at most.
-    by_list, place = Window.partitionBy("key"), F.col("kind") == PLACE
+    # A list has one place for each chunk of a task at most. They are dealt before what is drawn by is computed, which would be shuffled too.
+    by_list, place = Window.partitionBy("key"), F.col("rest").isNull()
     drawn = F.when(place, F.struct(F.xxhash64("id", F.pmod("key", F.lit(ORDERS))), "id"))
-    dealt = entries(rows, words, percent).withColumns({"hub": F.min(drawn).over(by_list)["id"], "n_places": F.count(drawn).over(by_list)})
+    dealt = entries(rows, words, percent).repartition("key").withColumns({"hub": F.min(drawn).over(by_list)["id"], "n_places": F.count(drawn).over(by_list)})
     kept = dealt.where(~place | (F.col("n_places") > 1))
-    found = materialize(kept.select("id", F.when(place, F.col("hub")).otherwise(F.col("other")).alias("other"), F.when(place, F.col("key")).otherwise(F.col("more")).alias("key"), "n", "kind", "sketch"), "places")
+    kind = F.coalesce(F.col("rest.kind"), F.lit(PLACE).cast("byte")).alias("kind")
+    found = materialize(kept.select("id", F.when(place, F.col("hub")).otherwise(F.col("rest.other")).alias("other"), F.when(place, F.col("key")).otherwise(F.col("rest.more")).alias("key"), "rest.n", kind, "rest.sketch"), "places")
 
     sets = found.where(F.col("kind") == SET)
     # Equal sets across tasks: linked to the least id, counted by partial sums.
@@ -442,8 +475,16 @@ def plausible(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
 
 def can_link(percent: int) -> Column:
     """Whether sizes na, nb and sketches sa, sb allow a link; never false for a pair that links."""
-    na, nb = F.col("na"), F.col("nb")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    na, nb, sa, sb = F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")
+
+    def bits_apart(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda t, v: t + v)
+
+    def folded(x: Column, size: Column) -> Column:
+        return F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda v, w: v.bitwiseXOR(w))
+
+    ka, kb = F.size(sa), F.size(sb)
+    apart = F.when(ka == kb, bits_apart(sa, sb)).when(ka == 2 * kb, bits_apart(folded(sa, kb), sb)).when(kb == 2 * ka, bits_apart(sa, folded(sb, ka))).otherwise(0)
     sized = (100 * na >= percent * nb) & (100 * nb >= percent * na)
     return sized & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
@@ -507,6 +548,14 @@ def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: Data
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is the least of its class; rows without id stay."""
     found = similar_components(docs, words, percent, id_col)
-    gone_id = fresh(docs, "gone_id")
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone_id))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")
+    gone = materialize(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")), "gone")
+    # Only rows that a Bloom filter can't tell from those that go are shuffled; it has a fixed size and is broadcast.
+    gone_id, word, bits = (fresh(docs, name) for name in ("gone_id", "gone_word", "gone_bits"))
+    ident = F.col(f"`{id_col}`")
+    at = bloom_place(ident.cast("long"))
+    marks = F.broadcast(bloom_words(gone).select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    marked = docs.join(marks, F.floor(at / 32).cast("int") == F.col(word), "left")
+    hit = F.coalesce(F.bit_get(F.col(bits), at % 32) == 1, F.lit(False))
+    stay = marked.where(~hit).drop(word, bits)
+    unsure = marked.where(hit).drop(word, bits)
+    return stay.union(unsure.join(gone.select(F.col("id").alias(gone_id)), ident == F.col(gone_id), "left_anti"))

@@ -670,6 +670,53 @@ def test_linked_sets_share_a_key(percent):
             assert np.intersect1d(near_dup.keys_of(x, plan), near_dup.keys_of(y, plan)).size, (n, m, low)
 
 
+def test_few_sets_have_keys_for_two_classes():
+    for percent in (80, 90):
+        plan, rng = near_dup.scheme(percent), np.random.default_rng(7)
+        sizes = range(100, 1000, 7)
+        keys = sum(len(near_dup.keys_of(np.sort(rng.integers(0, 2**63, size=n, dtype=np.uint64)), plan)) for n in sizes)
+        assert keys <= 1.7 * sum(plan.most_different(n, plan.top(n)) + 1 for n in sizes)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_sketches_never_part_linked_sets(spark, percent):
+    """Sketches have a size of their own for each size of sets; pairs at the very threshold, near each change of size."""
+    rng, plan, rows = np.random.default_rng(percent), near_dup.scheme(percent), []
+    for n in [3, 17, 30, 70, 140, 145, 280, 290, 570, 580, 1150, 2300]:
+        for m in {n, plan.top(n)}:
+            low = -(-percent * (n + m) // (100 + percent))
+            if low <= n:
+                both = rng.integers(0, 2**63, size=n + m - low, dtype=np.uint64)
+                x, y = np.sort(both[:n]), np.sort(both[n - low :])
+                far = np.sort(rng.integers(0, 2**63, size=m, dtype=np.uint64))
+                rows += [(n, m, *(near_dup.sketch(s, plan).tolist() for s in (x, z)), z is y) for z in (y, far)]
+    d = spark.createDataFrame(rows, "na int, nb int, sa array<long>, sb array<long>, linked boolean")
+    got = d.select("na", "linked", F.size("sa").alias("ka"), F.size("sb").alias("kb"), near_dup.can_link(percent).alias("can")).collect()
+    assert all(r.can for r in got if r.linked) and not any(r.can for r in got if not r.linked and r.na >= 70)
+    assert {r.ka == r.kb for r in got} == {True, False} and len({r.ka for r in got}) > 3
+
+
+def test_keep_first_shuffles_only_rows_that_may_go(spark, monkeypatch):
+    rows = edited(5) + [(None, "no id"), (None, "no id"), (900, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone_id", F.lit(1)).repartition(4)
+    least = {i for i, (_, c) in brute_components([r for r in rows if r[0] is not None], 3, 80).items() if c == i}
+    for bits in (near_dup.BLOOM_BITS, 64):  # with few bits the filter takes many rows for others
+        monkeypatch.setattr(near_dup, "BLOOM_BITS", bits)
+        left = near_dup.keep_first(d, 3, 80)
+        assert left.columns == d.columns
+        got = [r.doc_id for r in left.collect()]
+        assert got.count(None) == 2 and sorted(i for i in got if i is not None) == sorted(least)
+    assert "Union" in left._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_workers_forget_words():
+    encoder = common.word_encoder(common.default_tokenizer_path())
+    encoder.many(["some words"]), encoder.totals(["other words"])
+    common.forget_words()
+    assert not encoder.memo and len(encoder.runs) == len(encoder.sizes) == len(encoder.run_sizes) == 1
+    assert encoder.totals(["other words"]) == [len(encoder.many(["other words"])[0]) // 4]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 200) for i in range(20)] + [(7, 7), (300, 301)]
     got = {r.id: r.component for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
