@@ -50,7 +50,7 @@ SUBSET_COST, LIST_COST = 1.0, 5.0
 #: Keys that a task gathers before it links them.
 CHUNK_KEYS = 500_000
 #: Bits of a sketch: so many at least for each element in which linked sets may differ, within bounds.
-SKETCH_FACTOR, SKETCH_LEAST, SKETCH_MOST = 4, 64, 8192
+SKETCH_FACTOR, SKETCH_LEAST, SKETCH_MOST = 4, 2048, 8192
 #: Classes of so many elements and more span about so many times their least size.
 WIDE_FROM, CLASS_SPAN = 64, 1.5
 ORDERS = 4
