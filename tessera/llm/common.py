@@ -111,8 +111,9 @@ class WordEncoder:
     and then of its signs. Each distinct run of letters is encoded once by the
     library, many at a time in one text; the ids that close a word tell where
     each ends. Words of any other shape are encoded by the library as they
-    stand. A memo holds ids as little-endian unsigned 32-bit bytes and starts
-    anew when it is full.
+    stand. A memo holds ids as little-endian unsigned 32-bit bytes; one that is
+    full starts anew, that of words with those of the present texts, that of runs
+    with the short ones.
 
     All this is tried on PROBES when a vocabulary is loaded; one for which it
     doesn't hold has ``by_words`` false, and whole texts go to the library.
@@ -120,11 +121,11 @@ class WordEncoder:
 
     PLAIN = re.compile("(?m)^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*]*)|(.*))$")
 
-    def __init__(self, path: str, limit: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 500_000, longest: int = 64, ids_limit: int = 250_000):
         import numpy as np
 
         self.tokenizer = load_tokenizer(path)
-        self.limit, self.longest = limit, longest
+        self.limit, self.longest, self.ids_limit = limit, longest, min(limit, ids_limit)
         self.memo: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -176,9 +177,10 @@ class WordEncoder:
             return {}
         shapes = self.PLAIN.findall("\n".join(missing).lower())
         new = {x for a, b, _ in shapes for x in (a, b)}.difference(self.runs)
-        if len(self.runs) + len(new) > self.limit:
-            self.runs = {"": b""}
-            new = {x for a, b, _ in shapes for x in (a, b)} - {""}
+        if len(self.runs) + len(new) > self.ids_limit:
+            short = {w: b for w, b in self.runs.items() if len(w) <= SHORT_RUN}  # which occur again most often
+            self.runs = short if len(short) + len(new) <= self.ids_limit else {"": b""}
+            new = {x for a, b, _ in shapes for x in (a, b)}.difference(self.runs)
         self.runs.update(self._runs(list(new)))
         known = self.runs
         own = {w: known[a] + known[b] for w, (a, b, _) in zip(missing, shapes, strict=True)}
@@ -186,33 +188,61 @@ class WordEncoder:
             own |= self._whole(odd)
         return own
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_words:
-            own = self._whole(list(set(texts)))
-            return [own[t] for t in texts]
-        words = [split_words(t) for t in texts]
-        seen: set[str] = set()
-        for w in words:
-            seen.update(w)
-        missing = seen.difference(self.memo)
-        if len(self.memo) + len(missing) > self.limit:
-            self.memo, missing = {}, seen
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; they are kept for later, but for long ones."""
+        found = list(map(self.memo.get, words))
+        at = [i for i, b in enumerate(found) if b is None]
+        missing = [words[i] for i in at]
+        if len(self.memo) + len(missing) > self.ids_limit:
+            self.memo = {w: b for w, b in zip(words, found, strict=True) if b is not None}
         long = [w for w in missing if len(w) > self.longest]
-        own = self._whole(long) if long else {}
-        self.memo.update(self._learn(list(missing.difference(long))))
+        own = self._learn([w for w in missing if len(w) <= self.longest] if long else missing)
+        self.memo.update(own)
         if long:
-            get = self.memo.get
-            return [b"".join([own[x] if (b := get(x)) is None else b for x in w]) for w in words]
-        get = self.memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            own = own | self._whole(long)
+        for i, w in zip(at, missing, strict=True):
+            found[i] = own[w]
+        return found
+
+    def arrays(self, texts):
+        """Ids of all texts (a list or an Arrow array), one after the other, and where each text's begin, with the end of the last.
+
+        Texts are split by Arrow and their words numbered, so that only the
+        distinct words of a call are looked up.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.by_words:
+            texts = texts.to_pylist()
+            own = self._whole(list(set(texts)))
+            parts = [own[t] for t in texts]
+            return np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum([0, *(len(b) // 4 for b in parts)])
+        words = pc.ascii_split_whitespace(texts)
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)
+        numbered = words.flatten().dictionary_encode()
+        number = numbered.indices.to_numpy()
+        known = self._known(numbered.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        ids, first = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(sizes) - sizes
+        n = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return ids[np.repeat(first[number] - ends[:-1], n) + np.arange(ends[-1])], ends[bounds]
+
+    def many(self, texts) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, at = self.arrays(texts)
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def heads(self, texts: list[str], chars: list[int]) -> list[int]:
-        """How many ids the words that start in the first ``chars`` code points of each text have, just after ``many`` of it."""
+        """How many ids the words that start in the first ``chars`` code points of each text have."""
         if not self.by_words:
             return [len(b) // 4 for b in self.many([t[:n] for t, n in zip(texts, chars, strict=True)])]
-        get = lambda w: len(self.memo[w] if w in self.memo else self._whole([w])[w])
-        return [sum(map(get, split_words(self._whole_words(t, n)))) // 4 if n else 0 for t, n in zip(texts, chars, strict=True)]
+        _, at = self.arrays([self._whole_words(t, n) if n else "" for t, n in zip(texts, chars, strict=True)])
+        return [b - a for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
     @staticmethod
     def _whole_words(text: str, chars: int) -> str:
@@ -266,6 +296,8 @@ class WordEncoder:
         return [sum(map(get, some)) for some in words]
 
 
+#: Letters of a run that is kept longer than others.
+SHORT_RUN = 8
 #: White space to Python's split(), but not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 

@@ -130,6 +130,8 @@ class Packer:
             self.fill()
 
 
+#: Documents that a task encodes at a time.
+ROWS = 1024
 #: Limits of a sequence beside its tokens, for instruction data.
 MAX_SEGMENTS, MAX_LOSS = 16, 1920
 
@@ -195,13 +197,13 @@ def pack(
 
         for batch in batches:
             kind = batch.column(0).type
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column(1).fill_null("")
                 firsts = [max(0, int(n or 0)) for n in part.column(2).to_pylist()]
                 found = encoder.many(texts)
                 if not prompt_col:
-                    firsts = encoder.heads(texts, firsts)
+                    firsts = encoder.heads(texts.to_pylist() if any(firsts) else [""] * len(texts), firsts)
                 for doc, ids, first in zip(part.column(0).to_pylist(), found, firsts, strict=True):
                     held[count] = (doc, len(ids) // 4 + 1, 0, ids + end)
                     packer.add(count, len(ids) // 4 + 1, first)

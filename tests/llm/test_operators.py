@@ -679,8 +679,9 @@ def test_few_sets_have_keys_for_two_classes():
 
 
 @pytest.mark.parametrize("percent", [60, 80, 90])
-def test_sketches_never_part_linked_sets(spark, percent):
+def test_sketches_never_part_linked_sets(spark, monkeypatch, percent):
     """Sketches have a size of their own for each size of sets; pairs at the very threshold, near each change of size."""
+    monkeypatch.setattr(near_dup, "SKETCH_LEAST", 64)
     rng, plan, rows = np.random.default_rng(percent), near_dup.scheme(percent), []
     for n in [3, 17, 30, 70, 140, 145, 280, 290, 570, 580, 1150, 2300]:
         for m in {n, plan.top(n)}:
@@ -709,6 +710,18 @@ def test_keep_first_shuffles_only_rows_that_may_go(spark, monkeypatch):
     assert "Union" in left._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_kept_words_are_bounded():
+    """Full memos keep the words of the present texts and short runs of letters; ids stay those of the library."""
+    encoder = common.WordEncoder(common.default_tokenizer_path(), ids_limit=50)
+    rng = np.random.default_rng(3)
+    for turn in range(6):
+        texts = [" ".join("".join(rng.choice(list("abc\u00e9"), int(rng.integers(1, 14)))) + ("", ",", "\xa0x", "\x0b\x1cy")[int(rng.integers(0, 4))] for _ in range(5)) for _ in range(4)] + ["", f" the\x0c{turn} ", "z" * 90]
+        assert encoder.many(texts) == [encoder._whole([t])[t] for t in texts]
+        assert len(encoder.memo) <= 100 and len(encoder.runs) <= 100
+        heads = [int(rng.integers(0, len(t) + 1)) for t in texts]
+        assert encoder.heads(texts, heads) == [len(encoder._whole([encoder._whole_words(t, n)])[encoder._whole_words(t, n)]) // 4 if n else 0 for t, n in zip(texts, heads, strict=True)]
+
+
 def test_workers_forget_words():
     encoder = common.word_encoder(common.default_tokenizer_path())
     encoder.many(["some words"]), encoder.totals(["other words"])
