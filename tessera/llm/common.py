@@ -328,8 +328,16 @@ def word_encoder(path: str) -> WordEncoder:
     return ENCODERS[-1]
 
 
+def release() -> None:
+    """Give back what Arrow holds of batches that earlier tasks of this worker are done with."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def forget_words() -> None:
     """Free what tokenizing has kept, where a worker that encoded before now does something else."""
+    release()
     for encoder in ENCODERS:
         encoder.forget_sizes()
         encoder.forget_ids()

@@ -20,15 +20,17 @@ list never has more entries than there are tasks, and then every list's entries
 to one of the list. Which one is drawn by a hash, in one of ORDERS ways by the
 list's key: so members of a group of copies meet several of the group, one of
 which is likely close to them. These links are checked by exact set
-intersection. On lists where a check failed, other members are drawn and tried
-in rounds, each against all members of other components, as long as a round
-finds links and pairs would cost more; only then pairs of members of components that still differ are
-compared by their *sketches* (one bit for each of some hash ranges, the
-parity of the elements in it; the bits that differ are a lower bound of the
-elements that differ; their number is a power of two that grows with the set, a
-longer one is folded to compare), a long list in parts, and those that can link are
-checked. Hence components are exact, while a group of copies costs as many
-checks as it has members, not as many as it has pairs. A set that takes part in
+intersection. Lists whose members are then still of several components are
+each brought to one task, long ones in parts of which every two meet. It
+compares members of different components by their *sketches* (one bit for each
+of some hash ranges, the parity of the elements in it; the bits that differ are
+a lower bound of the elements that differ; their number is a power of two that
+grows with the set, a longer one is folded to compare) and returns a forest of
+likely links, so no more pairs than members. These are checked exactly. All
+other pairs of a list can't link or lie in one component, if all of its forest
+is confirmed; the few lists where some of it isn't are compared once more and
+all their pairs that can link are checked. Hence components are exact, while
+checks grow with a list's members, not with its pairs. A set that takes part in
 many checks is dealt to several tasks.
 """
 
@@ -359,10 +361,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return found.join(ids, "id", "left_semi")
 
 
-#: Pairs that a copy of a set is sent to, and members of a list that are compared with all at a time.
+#: Pairs that a copy of a set is sent to.
 SPREAD = 64
-#: Pairs of sketches that cost as much as a further round of drawn members.
-ROUND_PAIRS = 100_000_000
+#: Pairs of members of a list that a task compares in a round; longer lists are cut into parts.
+ROUND_PAIRS = 1 << 22
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -391,21 +393,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): the least id reachable, for each id on an edge (a, b).
 
     Every round links each id's larger neighbours to its least one and then
-    each id to its least neighbour; each halves the depth, roughly.
+    each id to its least neighbour; each halves the depth, roughly. An edge
+    stays one edge, so a round needs two shuffles; it's done when none moves.
     """
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges, seen = materialize(edges, "edges"), None
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").withColumn("moved", F.lit(True))
+    edges, by_end = materialize(edges, "edges"), Window.partitionBy("u")
     for _ in range(most_rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        after = materialize(small, "edges")
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.repartition("u").distinct().withColumn("m", F.least(F.min("v").over(by_end), "u")).where("v > u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
+        small = large.repartition("u").groupBy("u", "v").agg(F.max("moved").alias("moved")).withColumn("m", F.min("v").over(by_end))
+        kept = F.col("v") == F.col("m")
+        after = materialize(small.select(F.when(kept, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("moved") | ~kept).alias("moved")), "edges")
         discard(edges)
-        edges, last = after, seen
-        seen = after.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum("v").alias("s")).first()
-        if seen == last:
+        edges = after
+        if edges.where("moved").isEmpty():
             break
     else:
         raise RuntimeError("components didn't settle")
@@ -455,8 +457,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     likely = plausible(pairs, brief, percent)
     checked = verified(likely, rows, words, percent)
     linked = checked.where("linked").select("a", "b").distinct()
-    failed = pairs.join(linked, ["a", "b"], "left_anti")
-    label = components(equal.union(linked) if failed.isEmpty() else across(on_lists, failed, equal.union(linked), brief, rows, words, percent))
+    label = across(on_lists, equal.union(linked), brief, rows, words, percent)
     once = materialize(sets.groupBy("id").agg(F.max("n").cast("long").alias("n_shingles")), "once")
     discard(found, same, equal, pairs, likely, checked)
     return once.join(label, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -489,60 +490,167 @@ def can_link(percent: int) -> Column:
     return sized & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
 
-def across(on_lists: DataFrame, failed: DataFrame, edges: DataFrame, brief: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """``edges`` and the links between different components on the lists where a check failed."""
-    pair = on_lists.where("id != other").select("key", F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
-    doubtful = pair.join(failed, ["a", "b"], "left_semi").select("key").distinct()
-    places = on_lists.join(doubtful, "key", "left_semi")
-    left = places.select("key", "id").union(places.select("key", F.col("other").alias("id"))).distinct()
-    left = materialize(left, "members")
-    tried, links, turn, more = failed, materialize(edges.distinct(), "links"), 0, True
-
-    def check(met: DataFrame) -> bool:
-        """Add the links among plausible pairs (a, b) that weren't tried yet; whether there were any."""
-        nonlocal tried, links
-        near = materialize(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near")
-        checked = verified(near, rows, words, percent)
-        found = checked.where("linked").select("a", "b")
-        tried, any_ = tried.union(near), not found.isEmpty()
-        if any_:
-            before, links = links, materialize(links.union(found).distinct(), "links")
-            discard(before)
-        return any_
-
-    while True:
-        # The members of lists that hold several components, with these; of lists with equal members one will do.
-        label = components(links)
-        members = materialize(left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+def across(on_lists: DataFrame, edges: DataFrame, brief: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) by ``edges`` and by the links between different components of these on all lists.
+
+    Members of lists are compared by their sketches first, which yields a
+    forest of likely links. Where one of these fails its check, the list is
+    compared once more, and all its pairs that can link are checked.
+    """
+    both = on_lists.select("key", "id").union(on_lists.where("id != other").select("key", F.col("other").alias("id")))
+    lists, label = materialize(both.distinct(), "lists"), components(edges)
+    for every in (False, True):
+        members = materialize(lists.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
         several = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("first"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("second")).where("least < most")
-        several = materialize(several.groupBy("rows", "first", "second").agg(F.min("key").alias("key")).select("key", "rows"), "several")
-        discard(label, left)
-        total = several.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("rows")).alias("pairs")).first()
-        if not total["rows"]:
-            discard(members, several)
-            return links
-        left = materialize(spread_join(members, several, ["key"], "rows").join(brief, "id").select("key", "id", "component", "rows", "n", "sketch"), "members")
-        discard(members, several)
-        if not more or total["pairs"] <= (ROUND_PAIRS if turn else SPREAD * total["rows"]):  # pairs cost no more than a round
+        # Of two members the one pair has been checked; of lists with equal members one will do.
+        several = materialize(several.where("rows > 2").groupBy("rows", "first", "second").agg(F.min("key").alias("key")).select("key", "rows"), "several")
+        some = spread_join(members, several, ["key"], "rows").join(brief, "id")
+        near = materialize(likely_links(some, percent, every), "near")
+        checked = verified(near.select("a", "b").distinct(), rows, words, percent)
+        linked = checked.where("linked").select("a", "b")
+        before, doubtful = lists, near.join(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")).where("NOT linked"), ["a", "b"], "left_semi")
+        lists = materialize(lists.join(doubtful.select("key").distinct(), "key", "left_semi"), "lists") if not every else None
+        if not linked.isEmpty():
+            old, label = label, components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked))
+            discard(old)
+        discard(before, members, several, near, checked)
+        if every or lists.isEmpty():
             break
-        # Another drawn member of each list, against those of other components; after that it's done with.
-        turn += 1
-        hub = left.groupBy("key", "rows").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)), "id", "component", "n", "sketch")).alias("hub"))
-        hub = materialize(hub, "hubs")
-        met = spread_join(left.drop("rows"), hub, ["key"], "rows")
-        met = met.select("key", F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"), F.col("component").alias("ca"), F.col("hub.component").alias("cb"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("sketch").alias("sa"), F.col("hub.sketch").alias("sb"))
-        more = check(met.where((F.col("ca") != F.col("cb")) & can_link(percent)))
-        before, left = left, materialize(left.select("key", "id").join(hub.select("key", F.col("hub.id").alias("id")), ["key", "id"], "left_anti"), "members")
-        discard(before, hub)
-
-    # What is left of a list: pairs, in parts of about SPREAD members against all.
-    parts = F.ceil(F.col("rows") / SPREAD).cast("int")
-    x = left.select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = left.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    on = (x["key"] == y["key"]) & (x["part"] == y["part"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))
-    check(x.join(y, on & can_link(percent)))
-    discard(left)
-    return links
+    if lists is not None:
+        discard(lists)
+    return label
+
+
+def likely_links(members: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (key, a, b) of members of different components on a list that their sizes and sketches allow to link.
+
+    ``members``: key, id, component, rows (members of the list), n, sketch.
+    A task compares all members of a list, or those of two parts of one with more
+    than ROUND_PAIRS pairs. It returns ``every`` such pair, or only those that join what
+    no pair before has joined, closest pairs first.
+    """
+    most_rows = max(1, math.isqrt(ROUND_PAIRS))
+    long = members.where(F.col("rows") > most_rows).withColumn("parts", F.ceil(F.col("rows") / most_rows).cast("int"))
+    long = long.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    long = long.withColumn("at", F.least("part", "with") * F.col("parts") + F.greatest("part", "with"))
+    columns = ["key", "at", "part", "id", "component", "n", "sketch"]
+    dealt = members.where(F.col("rows") <= most_rows).withColumns({"at": F.lit(0), "part": F.lit(0)}).select(columns).union(long.select(columns))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def ready(table: pa.Table) -> pa.RecordBatch:
+            key, at, part, ident, component, n = (table.column(c).to_numpy() for c in columns[:-1])
+            group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
+            i, j = compare(group, part, component, n.astype(np.int64), Sketches(table.column("sketch").combine_chunks()), percent, every)
+            return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(np.maximum(ident[i], ident[j])), pa.array(np.minimum(ident[i], ident[j]))], names=["key", "a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < 2 * most_rows:
+                continue
+            table = pa.Table.from_batches(held)
+            key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
+            whole = int(np.flatnonzero((key != key[-1]) | (at != at[-1])).max(initial=-1)) + 1  # the last list may go on
+            if whole:
+                yield ready(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+            n -= whole
+        if n:
+            yield ready(pa.Table.from_batches(held))
+
+    return dealt.repartition("key", "at").sortWithinPartitions("key", "at").mapInArrow(run, "key long, a long, b long")
+
+
+class Sketches:
+    """A column of sketches, each with a length of its own."""
+
+    def __init__(self, column):
+        import numpy as np
+
+        bounds = column.offsets.to_numpy()
+        self.values = column.values.to_numpy().view(np.uint64)
+        self.first, self.width = bounds[:-1].astype(np.int64), np.diff(bounds)
+
+    def folded(self, rows, width: int):
+        """Those of ``rows``, folded to ``width`` integers."""
+        import numpy as np
+
+        out = np.empty((len(rows), width), dtype=np.uint64)
+        for w in np.unique(self.width[rows]).tolist():
+            own = self.width[rows] == w
+            got = self.values[self.first[rows[own]][:, None] + np.arange(w)]
+            while got.shape[1] > width:
+                half = got.shape[1] // 2
+                got = got[:, :half] ^ got[:, half:]
+            out[own] = got
+        return out
+
+
+def compare(group, part, component, n, sketches: Sketches, percent: int, every: bool):
+    """Rows i, j of one group, but of different components and (if it has several) parts, that can link.
+
+    Every such pair, or a forest of them over the components.
+    """
+    import numpy as np
+
+    size = np.bincount(group)
+    order = np.argsort(-size[group], kind="stable")  # groups of more than r rows are the first ones
+    group, part, comp, n = group[order], part[order], component[order].copy(), n[order]
+    size = size[group]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends = np.r_[starts[1:], len(group)]
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    apart_only = (np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts))[of]
+    coarse = sketches.folded(order, max(1, int(sketches.width.min()) // 4))
+    out_i, out_j, late = [], [], []
+
+    def joined(i: int, j: int) -> None:
+        """Make the components of rows i and j one."""
+        own = comp[starts[of[i]] : ends[of[i]]]
+        own[own == comp[i]] = comp[j]
+        out_i.append(i)
+        out_j.append(j)
+
+    for r in range(1, int(size[0])):
+        end = int(np.searchsorted(-size, -r))
+        x, y = slice(0, end - r), slice(r, end)
+        i = np.flatnonzero((group[x] == group[y]) & (comp[x] != comp[y]) & (~apart_only[x] | (part[x] != part[y])))
+        i = i[(100 * n[i] >= percent * n[i + r]) & (100 * n[i + r] >= percent * n[i])]
+        most = (100 - percent) * (n[i] + n[i + r]) // (100 + percent)
+        can = np.bitwise_count(coarse[i] ^ coarse[i + r]).sum(axis=1, dtype=np.int64) <= most
+        i, most = i[can], most[can]
+        if not len(i):
+            continue
+        apart, width = np.empty(len(i), dtype=np.int64), np.minimum(sketches.width[order[i]], sketches.width[order[i + r]])
+        for w in np.unique(width).tolist():
+            own = width == w
+            apart[own] = np.bitwise_count(sketches.folded(order[i[own]], w) ^ sketches.folded(order[i[own] + r], w)).sum(axis=1)
+        can = apart <= most
+        i, apart, most = i[can], apart[can], most[can]
+        if every:
+            out_i += i.tolist()
+            out_j += (i + r).tolist()
+            continue
+        sure = 5 * apart <= 4 * most  # a sketch tells too few differences, not too many
+        for k in i[sure].tolist():
+            if comp[k] != comp[k + r]:
+                joined(k, k + r)
+        late.append((i[~sure], i[~sure] + r, apart[~sure] / most[~sure]))
+    if late:
+        i, j, ratio = (np.concatenate(z) for z in zip(*late, strict=True))
+        nearest = np.argsort(ratio, kind="stable")
+        i, j = i[nearest], j[nearest]
+        for at in range(0, len(i), 1000):
+            a, b = i[at : at + 1000], j[at : at + 1000]
+            open_ = comp[a] != comp[b]
+            for k, m in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+                if comp[k] != comp[m]:
+                    joined(k, m)
+    return order[np.array(out_i, dtype=np.int64)], order[np.array(out_j, dtype=np.int64)]
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import OTHER_SPACE, default_tokenizer_path, discard, list_column, materialize, regex_spans, text_or_empty, word_encoder
+from tessera.llm.common import OTHER_SPACE, default_tokenizer_path, discard, list_column, materialize, regex_spans, release, text_or_empty, word_encoder
 
 SPACE = " \t\n\r"
 FANOUT = 16
@@ -252,6 +252,7 @@ def with_token_counts(docs: DataFrame, name: str, text_col: str = "text", tokeni
 
         encoder = word_encoder(path)
         encoder.forget_ids()
+        release()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -647,6 +648,86 @@ def test_near_duplicates_in_rounds_and_parts(spark, monkeypatch, spread):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2, 80)
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_list_members_are_compared_whole(every):
+    """A list's pairs that can link, against plain sketches of all pairs; widths differ, some components are known, one group is in two parts."""
+    rng, plan = np.random.default_rng(4), near_dup.scheme(80)
+    sets, group, part, comp = [], [], [], []
+    for g, (n, m) in enumerate([(2, 30), (90, 60), (1, 12), (40, 5200), (25, 40)]):
+        base = rng.integers(0, 2**63, size=m, dtype=np.uint64)
+        for k in range(n):
+            own = base.copy()
+            at = rng.random(m) < rng.choice([0.02, 0.06, 0.12, 0.5])
+            own[at] = rng.integers(0, 2**63, size=int(at.sum()), dtype=np.uint64)
+            sets.append(own[: m - int(rng.integers(0, 1 + m // 20))])
+            group.append(g)
+            part.append(k % 2 if g == 4 else 0)
+            comp.append(1000 + g if k % 7 == 0 else len(comp))
+    group, part, comp, n = np.array(group), np.array(part), np.array(comp), np.array([len(s) for s in sets])
+    sketches = [near_dup.sketch(s, plan) for s in sets]
+    assert len({len(s) for s in sketches}) > 1
+    held = near_dup.Sketches(pa.array([s.tolist() for s in sketches], pa.list_(pa.int64())))
+    i, j = near_dup.compare(group, part, comp, n, held, 80, every)
+
+    def fold(x, w):
+        x = x.view(np.uint64)
+        while len(x) > w:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
+
+    def can(a, b):
+        w = min(len(sketches[a]), len(sketches[b]))
+        apart = int(np.bitwise_count(fold(sketches[a], w) ^ fold(sketches[b], w)).sum())
+        return 180 * apart <= 20 * (n[a] + n[b]) and 100 * n[a] >= 80 * n[b] and 100 * n[b] >= 80 * n[a]
+
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if group[a] == group[b] and comp[a] != comp[b] and (group[a] != 4 or part[a] != part[b]) and can(a, b)}
+    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert want and got <= want and len(got) == len(i)
+    if every:
+        assert got == want
+        return
+
+    def joined(pairs):
+        up = {(int(g), int(c)): (int(g), int(c)) for g, c in zip(group, comp, strict=True)}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        merged = 0
+        for a, b in pairs:
+            x, y = find((int(group[a]), int(comp[a]))), find((int(group[b]), int(comp[b])))
+            up[x], merged = y, merged + (x != y)
+        return merged, {x: find(x) for x in up}
+
+    merged, roots = joined(got)
+    assert merged == len(got) == joined(want)[0]  # a forest that joins all
+    assert all(roots[int(group[a]), int(comp[a])] == roots[int(group[b]), int(comp[b])] for a, b in want)
+
+
+def test_groups_of_near_copies_make_no_pairs(spark, monkeypatch):
+    """Rows for tasks and pairs to check grow with a group's members, not with their square."""
+    made, old = {}, near_dup.materialize
+
+    def counted(df, name, *rest):
+        out = old(df, name, *rest)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    rng, rows = np.random.default_rng(6), []
+    base = [f"w{i}" for i in range(30)]
+    for i in range(240):
+        words = list(base)
+        for at in rng.choice(30, int(rng.integers(1, 7)), replace=False):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    got = near_dup.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 1, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 1, 80)
+    assert made["near"] <= 10 * len(rows) and made["checked"] <= 10 * len(rows), made
+
+
 def test_near_duplicate_edge_cases(docs, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.similar_components(docs, 3, 90).collect()}
     assert got[1] == got[2] == (6, 1) and got[3] == (0, 3) and got[4] == (0, 4) and got[5] == (1, 5) and got[6] == (1, 5)
