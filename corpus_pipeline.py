@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run`
 writes it as Parquet in the shared work folder and gives the next stage what
 it reads back. All stages but the last return the columns of ``documents``.
+Every stage bounds the batches of texts that the session hands to Python.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, near_dup, packing, quality
-from tessera.llm.common import materialize, table
+from tessera.llm.common import bound_batches, materialize, table
 
 #: Words and percentage of similarity for near copies.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -19,26 +20,31 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
+    bound_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    bound_batches(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies the document with the smallest id."""
+    bound_batches(spark)
     return near_dup.keep_first(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet the weights of domains, languages and sources: each once at least, those of short leaves several times."""
+    bound_batches(spark)
     return mixing.take(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens; a document's first line is its prompt."""
+    bound_batches(spark)
     return packing.pack(docs, prompt_chars=packing.first_line(F.col("text")))
 
 

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.shared import work_dir
 
@@ -31,6 +32,32 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return out
 
 
+def driver_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of few rows that the driver has; ``schema`` names columns and types.
+
+    It goes into the plan as Arrow data. A list of tuples would be unpickled on
+    the executors, by Python workers of a daemon of their own that stay there.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = StructType.fromDDL(schema)
+    names = to_arrow_schema(kinds)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, names, strict=True)], schema=names), kinds)
+
+
+#: Rows that a Python worker is given at a time, after :func:`bound_batches`.
+BATCH_ROWS = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of BATCH_ROWS at most; of long texts, Spark's 10 000 take much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import default_tokenizer_path, word_encoder
+from tessera.llm.common import default_tokenizer_path, release, word_encoder
 
 END_ID = 1
 PIECE_SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -180,6 +180,7 @@ def pack(
 
         encoder, packer = word_encoder(path), Packer(max_tokens, max_segments, max_loss, pool)
         encoder.forget_sizes()
+        release()
         base = TaskContext.get().partitionId() << 40
         end = int(end_id).to_bytes(4, "little")
         held: dict[int, tuple] = {}  # of documents that still wait: id, tokens, first token held, bytes of ids
@@ -213,6 +214,8 @@ def pack(
                 for d, start, _, _ in packer.waiting:
                     least[d] = min(start, least.get(d, start))
                 held = {d: (held[d][0], held[d][1], s, held[d][3][4 * (s - held[d][2]) :]) for d, s in least.items()}
+                del found
+                release()
         if kind is not None:
             packer.finish()
             yield out()

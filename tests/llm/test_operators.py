@@ -362,6 +362,19 @@ def test_mix_edge_cases(docs, none):
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, size(t)) for i, t, *_ in TEXTS) and set(got[0].row.asDict()) == set(docs.columns)
 
 
+def test_mix_starts_no_python_for_tables_of_the_driver(spark):
+    """Budgets and ranges are in the plan: a table made of a Python list is read by workers of a second daemon, which stay on the executors."""
+    d = real(spark, "/root/testdata/sf0.001", "documents")
+    weights, levels = mixing.production_tree()
+    plan = mixing.mix(d, weights, levels, tokens=mixing.words())._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    rows = [("a", 2**62, None), (None, -1, "\u00e9"), ("", None, "")]
+    table = common.driver_table(spark, rows, "`a b` string, n long, z string")
+    assert [tuple(r) for r in table.collect()] == rows and table.columns == ["a b", "n", "z"]
+    assert common.driver_table(spark, [], "a string, n long").dtypes == [("a", "string"), ("n", "bigint")]
+    assert common.driver_table(spark, [], "a string, n long").count() == 0
+
+
 @pytest.mark.parametrize("few", [1, 7, 2000])
 def test_mix_repeated_ids(spark, monkeypatch, few):
     """Rows that share an id are parted: a leaf exceeds its budget by less than a document."""
@@ -968,3 +981,26 @@ def test_pipeline(spark):
     near = kept["near_dedup"]
     assert sorted(r.doc_id for r in near) == sorted(i for i, (_, c) in label.items() if c == i)
     assert check_pieces(kept["packing"], [(r.doc_id, r.text) for r in kept["mixing"]], 2048, 512) == 0
+
+
+def test_pipeline_bounds_batches(spark):
+    """No stage hands a worker 10 000 texts at once; a session's smaller bound holds."""
+    import corpus_pipeline
+
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", real(spark, "/root/testdata/sf0.001", "documents")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    before = spark.conf.get(name)
+    try:
+        for given, most in (("10000", common.BATCH_ROWS), ("0", common.BATCH_ROWS), ("100", 100)):
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(name, given)
+                stage(spark, docs, "/root/testdata/sf0.001")
+                assert spark.conf.get(name) == str(most)
+            got = [r.n for r in spark.range(5000).coalesce(1).mapInArrow(sizes, "n long").collect()]
+            assert max(got) == most and sum(got) == 5000
+    finally:
+        spark.conf.set(name, before)
