@@ -8,6 +8,7 @@ import uuid
 from array import array
 from collections import ChainMap
 from functools import lru_cache
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,20 +200,25 @@ class WordEncoder:
                 first = end
         return own
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+    def _learn(self, missing: list[str]) -> list[bytes]:
+        """Ids of distinct words that no memo holds."""
         if not missing:
-            return {}
-        shapes = self.PLAIN.findall("\n".join(missing).lower())
-        new = {x for a, b, _ in shapes for x in (a, b)}.difference(self.runs)
+            return []
+        letters, signs, others = zip(*self.PLAIN.findall("\n".join(missing).lower()), strict=True)
+        present = {*letters, *signs}
+        new = present.difference(self.runs)
         if len(self.runs) + len(new) > self.ids_limit:
             short = {w: b for w, b in self.runs.items() if len(w) <= SHORT_RUN}  # which occur again most often
             self.runs = short if len(short) + len(new) <= self.ids_limit else {"": b""}
-            new = {x for a, b, _ in shapes for x in (a, b)}.difference(self.runs)
+            new = present.difference(self.runs)
         self.runs.update(self._runs(list(new)))
-        known = self.runs
-        own = {w: known[a] + known[b] for w, (a, b, _) in zip(missing, shapes, strict=True)}
-        if odd := [w for w, s in zip(missing, shapes, strict=True) if s[2]]:
-            own |= self._whole(odd)
+        known = self.runs.__getitem__
+        own = list(map(add, map(known, letters), map(known, signs)))
+        if any(others):
+            odd = [i for i, x in enumerate(others) if x]
+            whole = self._whole([missing[i] for i in odd])
+            for i in odd:
+                own[i] = whole[missing[i]]
         return own
 
     def _known(self, words: list[str]) -> list[bytes]:
@@ -222,13 +228,17 @@ class WordEncoder:
         missing = [words[i] for i in at]
         if len(self.memo) + len(missing) > self.ids_limit:
             self.memo = {w: b for w, b in zip(words, found, strict=True) if b is not None}
-        long = [w for w in missing if len(w) > self.longest]
-        own = self._learn([w for w in missing if len(w) <= self.longest] if long else missing)
-        self.memo.update(own)
-        if long:
-            own = own | self._whole(long)
-        for i, w in zip(at, missing, strict=True):
-            found[i] = own[w]
+        if max(map(len, missing), default=0) > self.longest:
+            long = [i for i in at if len(words[i]) > self.longest]
+            at = [i for i in at if len(words[i]) <= self.longest]
+            missing = [words[i] for i in at]
+            whole = self._whole([words[i] for i in long])
+            for i in long:
+                found[i] = whole[words[i]]
+        own = self._learn(missing)
+        self.memo.update(zip(missing, own, strict=True))
+        for i, b in zip(at, own, strict=True):
+            found[i] = b
         return found
 
     def arrays(self, texts):

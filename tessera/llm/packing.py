@@ -215,7 +215,7 @@ def pack(
                     least[d] = min(start, least.get(d, start))
                 held = {d: (held[d][0], held[d][1], s, held[d][3][4 * (s - held[d][2]) :]) for d, s in least.items()}
                 del found
-                release()
+            release()
         if kind is not None:
             packer.finish()
             yield out()
