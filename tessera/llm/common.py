@@ -8,7 +8,6 @@ import uuid
 from array import array
 from collections import ChainMap
 from functools import lru_cache
-from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,12 +135,12 @@ class WordEncoder:
     so a text's ids are the ids of its space-separated words one after the
     other. It also parts letters from what follows them and lower-cases, so a
     plain word (Latin letters, then perhaps signs) has the ids of its letters
-    and then of its signs. Each distinct run of letters is encoded once by the
-    library, many at a time in one text; the ids that close a word tell where
-    each ends. Words of any other shape are encoded by the library as they
-    stand. A memo holds ids as little-endian unsigned 32-bit bytes; one that is
-    full starts anew, that of words with those of the present texts, that of runs
-    with the short ones.
+    and then of its signs. Arrow takes plain words apart; each distinct run of
+    letters is encoded once, many at a time in one text, by the vocabulary's
+    model alone; the ids that close a word tell where each ends. Words of any
+    other shape are encoded by the library as they stand. A memo holds ids as
+    little-endian unsigned 32-bit bytes; one that is full starts anew, that of
+    words with those of the present texts, that of runs with the short ones.
 
     All this is tried on PROBES when a vocabulary is loaded; one for which it
     doesn't hold has ``by_words`` false, and whole texts go to the library.
@@ -151,8 +150,14 @@ class WordEncoder:
 
     def __init__(self, path: str, limit: int = 500_000, longest: int = 64, ids_limit: int = 250_000):
         import numpy as np
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = load_tokenizer(path)
+        self.bare = Tokenizer(self.tokenizer.model)  # for runs as the model spells them
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        split = self.tokenizer.pre_tokenizer
+        self.spelling = {c: "".join(x for x, _ in split.pre_tokenize_str(c)) if split else c for c in LETTERS if not c.isascii() and c.islower()}
         self.limit, self.longest, self.ids_limit = limit, longest, min(limit, ids_limit)
         self.memo: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
@@ -181,99 +186,136 @@ class WordEncoder:
         return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
     def _runs(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of runs that are one pre-token each; the model's letters are those of ASCII texts."""
+        """Ids of runs that are one pre-token each, of letters in lower case or of signs."""
         import numpy as np
 
-        step = self.tokenizer.model.tokenize
-        own = {w: array("I", [t.id for t in step(w)]).tobytes() for w in runs if w.isascii()}
-        runs = [w for w in runs if not w.isascii()]
-        for at in range(0, len(runs), 500):
-            part = runs[at : at + 500]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        own: dict[str, bytes] = {}
+        for at in range(0, len(runs), RUNS):
+            part = runs[at : at + RUNS]
+            text = " ".join(part)
+            spelled = text
+            for c in () if text.isascii() else set(text).intersection(self.spelling):
+                spelled = spelled.replace(c, self.spelling[c])
+            ids = np.asarray(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(part):
                 own |= self._whole(part)
                 continue
-            raw, first = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                own[w] = raw[4 * first : 4 * end]
-                first = end
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            own.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
         return own
 
-    def _learn(self, missing: list[str]) -> list[bytes]:
-        """Ids of distinct words that no memo holds."""
-        if not missing:
-            return []
-        letters, signs, others = zip(*self.PLAIN.findall("\n".join(missing).lower()), strict=True)
-        present = {*letters, *signs}
-        new = present.difference(self.runs)
+    def _run_ids(self, runs: list[str]) -> list[bytes]:
+        """Ids of distinct runs of letters or signs; the runs are kept for later."""
+        found = list(map(self.runs.get, runs))
+        at = [i for i, b in enumerate(found) if b is None]
+        if not at:
+            return found
+        new = self._runs([runs[i] for i in at])
         if len(self.runs) + len(new) > self.ids_limit:
             short = {w: b for w, b in self.runs.items() if len(w) <= SHORT_RUN}  # which occur again most often
             self.runs = short if len(short) + len(new) <= self.ids_limit else {"": b""}
-            new = present.difference(self.runs)
-        self.runs.update(self._runs(list(new)))
-        known = self.runs.__getitem__
-        own = list(map(add, map(known, letters), map(known, signs)))
-        if any(others):
-            odd = [i for i, x in enumerate(others) if x]
-            whole = self._whole([missing[i] for i in odd])
-            for i in odd:
-                own[i] = whole[missing[i]]
-        return own
+        self.runs.update(new)
+        for i in at:
+            found[i] = new[runs[i]]
+        return found
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words; they are kept for later, but for long ones."""
+    def _odd_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words of other shapes; they are kept for later, but for long ones."""
         found = list(map(self.memo.get, words))
-        at = [i for i, b in enumerate(found) if b is None]
-        missing = [words[i] for i in at]
+        missing = [w for w, b in zip(words, found, strict=True) if b is None]
+        if not missing:
+            return found
+        new = self._whole(missing)
         if len(self.memo) + len(missing) > self.ids_limit:
             self.memo = {w: b for w, b in zip(words, found, strict=True) if b is not None}
-        if max(map(len, missing), default=0) > self.longest:
-            long = [i for i in at if len(words[i]) > self.longest]
-            at = [i for i in at if len(words[i]) <= self.longest]
-            missing = [words[i] for i in at]
-            whole = self._whole([words[i] for i in long])
-            for i in long:
-                found[i] = whole[words[i]]
-        own = self._learn(missing)
-        self.memo.update(zip(missing, own, strict=True))
-        for i, b in zip(at, own, strict=True):
-            found[i] = b
-        return found
+        self.memo.update((w, b) for w, b in new.items() if len(w) <= self.longest)
+        return [new[w] if b is None else b for w, b in zip(words, found, strict=True)]
 
-    def arrays(self, texts):
-        """Ids of all texts (a list or an Arrow array), one after the other, and where each text's begin, with the end of the last.
+    def _spelled(self, words):
+        """Ids of distinct words (an Arrow array), as an Arrow array of bytes."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        letters, signs = pc.ascii_rtrim(words, characters=SIGNS), pc.utf8_ltrim(words, characters=LETTERS)
+        n, size = pc.binary_length(letters), pc.binary_length(words)
+        plain = pc.and_(pc.equal(pc.add(n, pc.binary_length(signs)), size), pc.and_(pc.greater(n, 0), pc.less_equal(size, self.longest)))
+        runs = pc.utf8_lower(letters.filter(plain)).dictionary_encode()
+        signs = signs.filter(plain).dictionary_encode()
+        heads = pa.array(self._run_ids(strings(runs.dictionary)), pa.large_binary()).take(runs.indices)
+        tails = pa.array(self._run_ids(strings(signs.dictionary)), pa.large_binary()).take(signs.indices)
+        own = pc.binary_join_element_wise(heads, tails, pa.scalar(b"", pa.large_binary()))
+        odd = strings(words.filter(pc.invert(plain)))
+        if not odd:
+            return own
+        shape = plain.to_numpy(zero_copy_only=False)
+        place = np.where(shape, np.cumsum(shape) - 1, len(own) + np.cumsum(~shape) - 1)
+        return pa.concat_arrays([own, pa.array(self._odd_ids(odd), pa.large_binary())]).take(pa.array(place))
+
+    def _by_word(self, texts):
+        """Ids of all words of all texts, one after the other; where each word's begin, with the end of the last; each text's first word, with the end of the last.
 
         Texts are split by Arrow and their words numbered, so that only the
         distinct words of a call are looked up.
         """
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
+        words = pc.ascii_split_whitespace(texts)
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)
+        numbered = words.flatten().dictionary_encode()
+        if not len(numbered):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64), bounds
+        _, ends, raw = self._spelled(numbered.dictionary).take(numbered.indices).buffers()
+        ends = np.frombuffer(ends, np.int64, len(numbered) + 1) // 4
+        return np.frombuffer(raw or b"", "<u4", int(ends[-1])), ends, bounds
+
+    def arrays(self, texts):
+        """Ids of all texts (a list or an Arrow array), one after the other, and where each text's begin, with the end of the last."""
+        import numpy as np
+        import pyarrow as pa
+
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_words:
             texts = texts.to_pylist()
             own = self._whole(list(set(texts)))
             parts = [own[t] for t in texts]
             return np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum([0, *(len(b) // 4 for b in parts)])
-        words = pc.ascii_split_whitespace(texts)
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)
-        numbered = words.flatten().dictionary_encode()
-        number = numbered.indices.to_numpy()
-        known = self._known(numbered.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        ids, first = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(sizes) - sizes
-        n = sizes[number]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return ids[np.repeat(first[number] - ends[:-1], n) + np.arange(ends[-1])], ends[bounds]
+        ids, ends, bounds = self._by_word(texts)
+        return ids, ends[bounds]
 
     def many(self, texts) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        ids, at = self.arrays(texts)
+        return self._cut(*self.arrays(texts))
+
+    @staticmethod
+    def _cut(ids, at) -> list[bytes]:
         raw, at = ids.tobytes(), (4 * at).tolist()
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
+    def many_and_heads(self, texts, chars: list[int]) -> tuple[list[bytes], list[int]]:
+        """Both :meth:`many` and :meth:`heads` of an Arrow array; words are looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not any(chars):
+            return self.many(texts), [0] * len(texts)
+        whole = strings(texts)
+        if not self.by_words:
+            return self.many(texts), self.heads(whole, chars)
+        ids, ends, bounds = self._by_word(texts)
+        first = [self._whole_words(t, n) if n else "" for t, n in zip(whole, chars, strict=True)]
+        own = [h.rstrip(ASCII_SPACE) for h in first]
+        count = pc.list_value_length(pc.ascii_split_whitespace(pa.array(own, pa.string()))).to_numpy()
+        heads = (ends[bounds[:-1] + count] - ends[bounds[:-1]]).tolist() if len(ends) > 1 else [0] * len(own)
+        for i, (t, h, o) in enumerate(zip(whole, first, own, strict=True)):
+            if not o:
+                heads[i] = 0
+            elif len(o) == len(h) and t[len(h) : len(h) + 1] not in END_OR_SPACE:  # a word that other white space ends
+                heads[i] = self.heads([t], [chars[i]])[0]
+        return self._cut(ids, ends[bounds]), heads
+
     def heads(self, texts: list[str], chars: list[int]) -> list[int]:
         """How many ids the words that start in the first ``chars`` code points of each text have."""
         if not self.by_words:
@@ -295,9 +337,8 @@ class WordEncoder:
         if len(self.run_sizes) + len(new) > self.limit:
             self.run_sizes = {"": 0}
             new = {x for a, b, _ in shapes for x in (a, b)} - {""}
-        step, known = self.tokenizer.model.tokenize, self.run_sizes
-        known.update((w, len(step(w))) for w in new if w.isascii())
-        known.update((w, len(b) // 4) for w, b in self._runs([w for w in new if not w.isascii()]).items())
+        known = self.run_sizes
+        known.update((w, len(b) // 4) for w, b in self._runs(list(new)).items())
         own = {w: known[a] + known[b] for w, (a, b, _) in zip(missing, shapes, strict=True)}
         if odd := [w for w, x in zip(missing, shapes, strict=True) if x[2]]:
             own |= {w: len(b) // 4 for w, b in self._whole(odd).items()}
@@ -335,13 +376,21 @@ class WordEncoder:
 
 #: Letters of a run that is kept longer than others.
 SHORT_RUN = 8
+#: Runs that the model encodes at a time.
+RUNS = 5000
+#: What plain words consist of: letters with lower case forms of one letter each, then signs.
+LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and (c.islower() or len(c.lower()) == 1) and c not in "\xaa\xb5\xba")
+SIGNS = ".,;:!?#$%&*"
+#: White space at which Arrow splits; what follows a whole word.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
+END_OR_SPACE = {"", *ASCII_SPACE}
 #: White space to Python's split(), but not to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 #: White space to Python's split() beyond blanks, tabs and line ends.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-PROBES = ["", "The cat, the dog.", "two  blanks\tand\n\nlines ", "don't can\u2019t 1234 5.6 x2y", "\u00dcn\u00ef,!! \u00c9*** stra\u00dfe", "a\xa0b\x0bc\x85d", "\u65e5\u672c\u8a9e \U0001f642\U0001f642 end."]
+PROBES = ["", "The cat, the dog.", "two  blanks\tand\n\nlines ", "don't can\u2019t 1234 5.6 x2y", "\u00dcn\u00ef,!! \u00c9*** stra\u00dfe", "a\xa0b\x0bc\x85d", "\u65e5\u672c\u8a9e \U0001f642\U0001f642 end.", LETTERS, " ".join(f"{c} x{c}" for c in LETTERS), " ".join(f"a{c} b{c}{c}" for c in SIGNS)]
 
 
 WORD_END = re.compile(r"[\s\x1c-\x1f]")
@@ -380,6 +429,11 @@ def forget_words() -> None:
         encoder.forget_ids()
 
 
+def strings(texts) -> list[str]:
+    """Texts of an Arrow array without nulls; ``to_pylist`` makes a scalar of each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def list_column(arrays: list, kind):
     """An Arrow list column of NumPy arrays."""
     import numpy as np

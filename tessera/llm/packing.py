@@ -202,9 +202,8 @@ def pack(
                 part = batch.slice(at, ROWS)
                 texts = part.column(1).fill_null("")
                 firsts = [max(0, int(n or 0)) for n in part.column(2).to_pylist()]
-                found = encoder.many(texts)
-                if not prompt_col:
-                    firsts = encoder.heads(texts.to_pylist() if any(firsts) else [""] * len(texts), firsts)
+                found, heads = encoder.many_and_heads(texts, [0] * len(firsts) if prompt_col else firsts)
+                firsts = firsts if prompt_col else heads
                 for doc, ids, first in zip(part.column(0).to_pylist(), found, firsts, strict=True):
                     held[count] = (doc, len(ids) // 4 + 1, 0, ids + end)
                     packer.add(count, len(ids) // 4 + 1, first)

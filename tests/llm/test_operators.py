@@ -816,6 +816,25 @@ def test_kept_words_are_bounded():
         assert encoder.heads(texts, heads) == [len(encoder._whole([encoder._whole_words(t, n)])[encoder._whole_words(t, n)]) // 4 if n else 0 for t, n in zip(texts, heads, strict=True)]
 
 
+def test_words_share_runs():
+    """Words that differ in case and signs are one lookup of a run; ids and heads are those of the library, whatever white space ends a head."""
+    path = common.default_tokenizer_path()
+    encoder, rng = common.WordEncoder(path), np.random.default_rng(5)
+    encoder.forget_ids()
+    encoder.many(["word Word WORD, word. \u00e9t\u00c9! \u00c9T\u00c9!"])
+    assert not encoder.memo and set(encoder.runs) == {"", "word", ",", ".", "\u00e9t\u00e9", "!"}
+    alphabet = list("ab\u00c9\u00df\u00ff\u0130\u212a\u00b5.,!*'7|") + [" ", " ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u0301"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 30)))) for _ in range(20)] + ["", "a" + "!" * 90, "b" * 90]
+        chars = [int(rng.integers(0, len(t) + 3)) for t in texts]
+        firsts = [encoder._whole_words(t, n) if n else "" for t, n in zip(texts, chars, strict=True)]
+        size = lambda t: len(encoder._whole([t])[t]) // 4
+        ids, heads = encoder.many_and_heads(pa.array(texts), chars)
+        assert ids == [encoder._whole([t])[t] for t in texts] and heads == list(map(size, firsts)) == encoder.heads(texts, chars)
+        words = [common.split_words(t) for t in texts]
+        assert [n.tolist() for n in encoder.counts(words)] == [list(map(size, some)) for some in words]
+
+
 def test_workers_forget_words():
     encoder = common.word_encoder(common.default_tokenizer_path())
     encoder.many(["some words"]), encoder.totals(["other words"])
